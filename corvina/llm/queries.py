@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvina.llm import quality_rules
+from corvina.llm import quality_rules, simhash_dedup
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,7 +16,12 @@ def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.line_frequency_rules(_docs(spark, sf_dir))
 
 
+def op10_simhash_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.near_duplicates(_docs(spark, sf_dir))
+
+
 QUERIES = {
     "op1_line_frequency": op1_line_frequency,
+    "op10_simhash_trie_join": op10_simhash_trie_join,
 }
 ORACLE: dict[str, str] = {}
