@@ -3,25 +3,42 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from corvina.llm import quality_rules, simhash_dedup
+from corvina.llm import quality_classifier, quality_rules, simhash_dedup, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # texts may be long: Arrow batches of fewer rows bound what a Python worker holds
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
 def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.line_frequency_rules(_docs(spark, sf_dir))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    return quality_classifier.score(docs, quality_classifier.train(docs, _labels(spark, sf_dir)))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    return toxicity.score(docs, toxicity.train(docs, _labels(spark, sf_dir)))
+
+
 def op10_simhash_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(_docs(spark, sf_dir))
 
 
 QUERIES = {
     "op1_line_frequency": op1_line_frequency,
+    "op5_quality_classifier": op5_quality_classifier,
+    "op7_toxicity": op7_toxicity,
     "op10_simhash_trie_join": op10_simhash_trie_join,
 }
 ORACLE: dict[str, str] = {}
