@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvina.llm import quality_classifier, quality_rules, simhash_dedup, toxicity
+from corvina.llm import fingerprints, quality_classifier, quality_rules, sharding, simhash_dedup, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.line_frequency_rules(_docs(spark, sf_dir))
 
 
+def op4_karmarkar_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_docs(spark, sf_dir))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     return quality_classifier.score(docs, quality_classifier.train(docs, _labels(spark, sf_dir)))
@@ -31,14 +35,20 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, _labels(spark, sf_dir)))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_likeness(_docs(spark, sf_dir))
+
+
 def op10_simhash_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(_docs(spark, sf_dir))
 
 
 QUERIES = {
     "op1_line_frequency": op1_line_frequency,
+    "op4_karmarkar_karp": op4_karmarkar_karp,
     "op5_quality_classifier": op5_quality_classifier,
     "op7_toxicity": op7_toxicity,
+    "op9_simhash": op9_simhash,
     "op10_simhash_trie_join": op10_simhash_trie_join,
 }
 ORACLE: dict[str, str] = {}
