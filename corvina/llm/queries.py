@@ -4,7 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvina.llm import fingerprints, quality_classifier, quality_rules, sharding, simhash_dedup, toxicity
+from corvina.llm import fingerprints, packing, quality_classifier, quality_rules, sharding, simhash_dedup, toxicity
+
+
+def tokenizer_path(name: str) -> str:
+    """Where a public tokenizer's file is on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +42,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, _labels(spark, sf_dir)))
 
 
+def op8_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_docs(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_likeness(_docs(spark, sf_dir))
 
@@ -48,6 +59,7 @@ QUERIES = {
     "op4_karmarkar_karp": op4_karmarkar_karp,
     "op5_quality_classifier": op5_quality_classifier,
     "op7_toxicity": op7_toxicity,
+    "op8_sum_of_squares": op8_sum_of_squares,
     "op9_simhash": op9_simhash,
     "op10_simhash_trie_join": op10_simhash_trie_join,
 }
