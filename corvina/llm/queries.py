@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvina.llm import fingerprints, packing, quality_classifier, quality_rules, sharding, simhash_dedup, toxicity
+from corvina.llm import fingerprints, packing, quality_classifier, quality_rules, sharding, simhash_dedup, suffix_dedup, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -28,6 +28,10 @@ def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.line_frequency_rules(_docs(spark, sf_dir))
 
 
+def op2_induced_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_docs(spark, sf_dir))
+
+
 def op4_karmarkar_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_docs(spark, sf_dir))
 
@@ -56,6 +60,7 @@ def op10_simhash_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_frequency": op1_line_frequency,
+    "op2_induced_suffixes": op2_induced_suffixes,
     "op4_karmarkar_karp": op4_karmarkar_karp,
     "op5_quality_classifier": op5_quality_classifier,
     "op7_toxicity": op7_toxicity,
