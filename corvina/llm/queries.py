@@ -4,7 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvina.llm import fingerprints, packing, quality_classifier, quality_rules, sharding, simhash_dedup, suffix_dedup, toxicity
+from corvina.llm import (
+    fingerprints,
+    masked_lm,
+    mixing,
+    packing,
+    quality_classifier,
+    quality_rules,
+    sharding,
+    simhash_dedup,
+    suffix_dedup,
+    toxicity,
+)
 
 
 def tokenizer_path(name: str) -> str:
@@ -32,6 +43,11 @@ def op2_induced_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_docs(spark, sf_dir))
 
 
+def op3_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    return masked_lm.score(docs, masked_lm.train(docs))
+
+
 def op4_karmarkar_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_docs(spark, sf_dir))
 
@@ -41,6 +57,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(docs, quality_classifier.train(docs, _labels(spark, sf_dir)))
 
 
+def op6_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_docs(spark, sf_dir))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     return toxicity.score(docs, toxicity.train(docs, _labels(spark, sf_dir)))
@@ -61,8 +81,10 @@ def op10_simhash_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_line_frequency": op1_line_frequency,
     "op2_induced_suffixes": op2_induced_suffixes,
+    "op3_masked_lm": op3_masked_lm,
     "op4_karmarkar_karp": op4_karmarkar_karp,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_raking": op6_raking,
     "op7_toxicity": op7_toxicity,
     "op8_sum_of_squares": op8_sum_of_squares,
     "op9_simhash": op9_simhash,
