@@ -93,8 +93,10 @@ def mix(
     keep: float = 0.9,
     temperature: float = 0.7,
     seed: int = 1,
+    carry: list[str] | None = None,
 ) -> DataFrame:
-    """One row for each row of df: id_col, source, lang, topic, n_tokens, weight, probability, kept.
+    """One row for each row of df: id_col, source, lang, topic, n_tokens, weight, probability, kept;
+    carry: columns of df that come along in a struct named row, which spares a join.
 
     Tokens (words) are summed by cell of source, language and topic; the cells are raked to the target marginals, and each
     document is kept with its cell's probability, decided by a hash of seed and id, so a rerun keeps the same documents.
@@ -113,6 +115,7 @@ def mix(
         F.col(lang_col).cast("string").alias("lang"),
         topic_of(text).alias("topic"),
         F.size(words(text)).cast("long").alias("n_tokens"),
+        *([F.struct(*carry).alias("row")] if carry else []),
     )
     cells = src.groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("n_tokens"))
     cells = staged(cells, "cells")
@@ -141,5 +144,13 @@ def mix(
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(1 << 53)) / float(1 << 53)
     out = keyed.join(F.broadcast(found), [f"c_{d}" for d in wanted])
     return out.select(
-        F.col("id").alias(id_col), "source", "lang", "topic", "n_tokens", "weight", "probability", (draw < F.col("probability")).alias("kept")
+        F.col("id").alias(id_col),
+        "source",
+        "lang",
+        "topic",
+        "n_tokens",
+        "weight",
+        "probability",
+        (draw < F.col("probability")).alias("kept"),
+        *(["row"] if carry else []),
     )

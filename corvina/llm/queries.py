@@ -25,9 +25,13 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # texts may be long: Arrow batches of fewer rows bound what a Python worker holds
+def bounded_batches(spark: SparkSession) -> None:
+    """Texts may be long: Arrow batches of fewer rows bound what a Python worker holds."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

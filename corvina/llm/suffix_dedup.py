@@ -237,9 +237,9 @@ def merged_spans(marks: list[bytes]) -> np.ndarray:
 
 RESULT = pa.schema([
     ("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),
-    ("kept_sha256", pa.string()), ("kept", pa.binary()),
+    ("kept_sha256", pa.string()), ("kept", pa.binary()), ("kept_text", pa.string()),
 ])
-RESULT_SQL = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+RESULT_SQL = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text string"
 
 
 def _results(length: int, with_kept: bool):
@@ -255,10 +255,11 @@ def _results(length: int, with_kept: bool):
                 for a, b in spans.tolist():
                     pieces.append(text[at:a])
                     at = b
-                kept = b"".join([*pieces, text[at:]])
-                rows.append((
-                    doc, len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept if with_kept else None
-                ))
+                pieces.append(text[at:])
+                kept = b"".join(pieces)
+                sha = hashlib.sha256(kept).hexdigest()
+                whole = "".join([p.decode("utf-8", "ignore") for p in pieces]) if with_kept else None
+                rows.append((doc, len(text), len(text) - len(kept), len(spans), sha, kept if with_kept else None, whole))
             yield _table(RESULT, rows)
 
     return run
@@ -283,7 +284,8 @@ def remove_repeats(
     text each and don't match one another (the smaller id decides), and each get the union of the spans found for their id
     only if their texts are equal, so ids should be unique; rows with a null id are left out; an empty table gives no rows;
     other columns are ignored.
-    Returns id_col, n_bytes, n_removed, n_spans, kept_sha256, and kept (bytes) if asked for.
+    Returns id_col, n_bytes, n_removed, n_spans, kept_sha256; if asked for also kept (bytes) and kept_text (without characters that a
+    cut went through).
     """
     spark = df.sparkSession
     src = df.filter(F.col(id_col).isNotNull()).select(
@@ -310,4 +312,4 @@ def remove_repeats(
     flags = by_row.join(copies.withColumn("copy", F.lit(True)), "id", "full")
     out = src.join(flags, "id", "left").select("id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "marks")
     result = out.mapInArrow(_results(length, with_kept), RESULT_SQL)
-    return (result if with_kept else result.drop("kept")).withColumnRenamed("id", id_col)
+    return (result if with_kept else result.drop("kept", "kept_text")).withColumnRenamed("id", id_col)

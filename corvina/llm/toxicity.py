@@ -291,3 +291,13 @@ def score(
     )
     out = src.mapInPandas(run, "id long, held_out boolean, score double, predicted int")
     return out.withColumnRenamed("id", id_col)
+
+
+def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows of docs that score under the threshold, with all their columns."""
+
+    @F.pandas_udf("double")
+    def toxic(texts: pd.Series) -> pd.Series:
+        return pd.Series(model.score(texts))
+
+    return docs.filter(toxic(F.col(text_col).cast("string").cast("binary")) < threshold)
