@@ -41,6 +41,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unstaged(df: DataFrame) -> None:
+    """Remove the folder of a table that staged() gave and nothing reads any more."""
+    spark = df.sparkSession
+    for path in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once a row, also where body names it inside lambdas."""
     return F.transform(F.array(value), body)[0]

@@ -8,25 +8,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (as pa.compute)
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvina.llm.common import partitions, staged
+from corvina.llm.common import partitions, staged, unstaged
 from corvina.llm.induced import sorted_suffixes
 
 #: An anchor is the hash of this many bytes; every window of the match length has one, its least hash.
-ANCHOR = 16
+ANCHOR = 12
 SALTS = 4
+COPIES = -1  # in place of a salt: the documents of this row are copies of others
 #: Bytes of text that an anchor bucket, or a shard of suffixes, stands for on average.
 BUCKET_BYTES = 24 << 20
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _LOW = np.uint64((1 << 24) - 1)
 
 
-def _freed(df: DataFrame, name: str) -> DataFrame:
-    """staged(), and let Spark drop the shuffle files of the steps before, which nothing reads any more."""
+def _freed(df: DataFrame, name: str, *used: DataFrame) -> DataFrame:
+    """staged(); then the staged tables in used go, and Spark may drop the shuffle files of the steps before."""
     out = staged(df, name)
+    for x in used:
+        unstaged(x)
     gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
     return out
@@ -40,7 +44,7 @@ def anchors(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
         return empty, empty, np.zeros(0, dtype=np.uint64)
     padded = np.frombuffer(data + bytes(16), dtype=np.uint8)
     words = np.ndarray((n,), dtype="<u8", buffer=padded.data, strides=(1,))
-    h = (words[: n - 15] * _M1) ^ (words[8 : n - 7] * _M2)
+    h = (words[: n - ANCHOR + 1] * _M1) ^ ((words[ANCHOR - 8 : n - 7]) * _M2)
     h ^= h >> np.uint64(29)
     h *= _M2
     h ^= h >> np.uint64(32)
@@ -91,22 +95,26 @@ MARKS = pa.schema([("id", pa.int64()), ("marks", pa.binary())])
 MARKS_SQL = "id long, marks binary"
 
 
+def _addresses(hashes: np.ndarray, n_buckets: int) -> np.ndarray:
+    """Bucket (upper half) and 32-bit key of anchors. Two anchors of one address are taken for one, which only adds candidates."""
+    return (((hashes >> np.uint64(24)) % np.uint64(n_buckets)) << np.uint64(32)) | (hashes & np.uint64(0xFFFFFF)) | (
+        (hashes >> np.uint64(56)) << np.uint64(24)
+    )
+
+
 def _anchor_blobs(length: int, n_buckets: int):
-    """For each batch of documents and bucket of anchors: the anchors (hash) and their documents, each pair once."""
+    """For each batch of documents and bucket of anchors: the anchors (keys) and their documents, each pair once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             ids, texts = x.column("id").to_pylist(), x.column("text").to_pylist()
-            found = [np.unique(anchors(t, length)[2]) for t in texts]
+            found = [np.unique(_addresses(anchors(t, length)[2], n_buckets)) for t in texts]
             sizes = [len(h) for h in found]
             if not sum(sizes):
                 continue
-            hashes, docs = np.concatenate(found), np.repeat(np.array(ids, dtype=np.int64), sizes)
-            salt = int(docs[0]) % SALTS
-            rows = [
-                (b, salt, hashes[at].tobytes(), _packed(docs[at].tobytes()), None)
-                for b, at in _groups((hashes >> np.uint64(24)) % np.uint64(n_buckets))
-            ]
+            where, docs = np.concatenate(found), np.repeat(np.array(ids, dtype=np.int64), sizes)
+            salt, keys = int(docs[0]) % SALTS, where.astype(np.uint32)
+            rows = [(b, salt, keys[at].tobytes(), _packed(docs[at].tobytes()), None) for b, at in _groups(where >> np.uint64(32))]
             yield _table(BLOBS, rows)
 
     return run
@@ -116,7 +124,7 @@ def _shared(t: pa.Table) -> pa.Table:
     """The anchors of one bucket that two documents or more hold. Each row is a batch, which holds a pair once."""
     b, once, many = t.column("bucket")[0].as_py(), [], []
     for k in t.column("keys").to_pylist():
-        u, n = np.unique(np.frombuffer(k, dtype=np.uint64), return_counts=True)
+        u, n = np.unique(np.frombuffer(k, dtype=np.uint32), return_counts=True)
         once.append(u)
         many.append(u[n > 1])
     u, n = np.unique(np.concatenate(once), return_counts=True)
@@ -124,43 +132,84 @@ def _shared(t: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_table(BLOBS, [(b, s, both.tobytes(), None, None) for s in range(SALTS)])])
 
 
-def _candidates(left: pa.Table, right: pa.Table) -> pa.Table:
-    """For the batches of one bucket and salt: each document's anchors that are shared."""
-    keep = [np.frombuffer(k, dtype=np.uint64) for k in right.column("keys").to_pylist()]
-    rows = []
-    if keep and len(keep[0]):
-        for k, d in zip(left.column("keys").to_pylist(), left.column("docs").to_pylist()):
-            h, docs = np.frombuffer(k, dtype=np.uint64), np.frombuffer(_unpacked(d), dtype=np.int64)
-            ok = np.isin(h, keep[0])
-            rows += [(doc, h[ok][at].tobytes()) for doc, at in _groups(docs[ok])]
-    return pa.Table.from_batches([_table(MARKS, rows)])
+def _candidates(n_buckets: int):
+    """For the batches of one bucket and salt: the shared anchors, dealt by their documents."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows: list[tuple] = []
+        keep = np.frombuffer(right.column("keys")[0].as_py(), dtype=np.uint32) if right.num_rows else np.zeros(0, np.uint32)
+        if len(keep) and left.num_rows:
+            high = np.uint64(left.column("bucket")[0].as_py()) << np.uint64(32)
+            where, docs = [], []
+            for k, d in zip(left.column("keys").to_pylist(), left.column("docs").to_pylist()):
+                h = np.frombuffer(k, dtype=np.uint32)
+                ok = keep[np.minimum(np.searchsorted(keep, h), len(keep) - 1)] == h
+                where.append(h[ok].astype(np.uint64) | high)
+                docs.append(np.frombuffer(_unpacked(d), dtype=np.int64)[ok])
+            where, docs = np.concatenate(where), np.concatenate(docs)
+            rows = [
+                (b, 0, where[at].tobytes(), _packed(docs[at].tobytes()), None) for b, at in _groups(_doc_bucket(docs, n_buckets))
+            ]
+        return pa.Table.from_batches([_table(BLOBS, rows)])
 
+    return run
 
-def _strings(length: int, n_shards: int):
-    """Runs of windows under shared anchors, dealt by the anchor: equal windows meet, whatever is around them.
 
-    Equal strings of a batch are stored once. keys: for each string its length, and the number of its places; docs: for
-    each place the document and the position; strings: all of them, concatenated.
-    """
+def _copy_blobs(n_buckets: int):
+    """The copies, dealt like other documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            shards: dict[int, dict[bytes, list[int]]] = {}
-            first_id = 0
-            for doc, text, marks in zip(*(x.column(c).to_pylist() for c in ("id", "text", "marks"))):
-                wanted = np.unique(np.concatenate([np.frombuffer(m, dtype=np.uint64) for m in marks]))
-                first, last, hashes = anchors(text, length)
-                ok = np.isin(hashes, wanted)
-                shard = ((hashes[ok] >> np.uint64(24)) % np.uint64(n_shards)).tolist()
-                for s, a, b in zip(shard, first[ok].tolist(), last[ok].tolist()):
-                    shards.setdefault(s, {}).setdefault(text[a : b + length], []).extend((doc, a))
-                first_id = doc
-            rows = []
-            for s, strings in shards.items():
-                keys = np.array([(len(k), len(v) // 2) for k, v in strings.items()], dtype=np.int64)
-                docs = np.array([x for v in strings.values() for x in v], dtype=np.int64)
-                rows.append((s, first_id % SALTS, _packed(keys.tobytes()), _packed(docs.tobytes()), _packed(b"".join(strings))))
-            yield _table(BLOBS, rows)
+            ids = np.array(x.column("id").to_pylist(), dtype=np.int64)
+            if len(ids):
+                rows = [(b, COPIES, b"", _packed(ids[at].tobytes()), None) for b, at in _groups(_doc_bucket(ids, n_buckets))]
+                yield _table(BLOBS, rows)
+
+    return run
+
+
+def _doc_bucket(docs: np.ndarray, n_buckets: int) -> np.ndarray:
+    """As the column expression pmod(id, n_buckets)."""
+    return np.mod(docs, n_buckets)
+
+
+def _strings(length: int, n_buckets: int):
+    """Runs of windows under shared anchors of one bucket of documents, dealt by the anchor: equal windows meet.
+
+    Equal strings are stored once. keys: for each string its length, and the number of its places; docs: for each place the
+    document and the position; strings: all of them, concatenated.
+    """
+
+    def run(texts: pa.Table, marks: pa.Table) -> pa.Table:
+        if not texts.num_rows or not marks.num_rows:
+            return pa.Table.from_batches([_table(BLOBS, [])])
+        copies = set()
+        for salt, d in zip(marks.column("salt").to_pylist(), marks.column("docs").to_pylist()):
+            if salt == COPIES:
+                copies.update(np.frombuffer(_unpacked(d), dtype=np.int64).tolist())
+        marks = marks.filter(pa.compute.not_equal(marks.column("salt"), COPIES))
+        if not marks.num_rows:
+            return pa.Table.from_batches([_table(BLOBS, [])])
+        where = np.concatenate([np.frombuffer(k, dtype=np.uint64) for k in marks.column("keys").to_pylist()])
+        docs = np.concatenate([np.frombuffer(_unpacked(d), dtype=np.int64) for d in marks.column("docs").to_pylist()])
+        order = np.argsort(docs, kind="stable")
+        where, docs = where[order], docs[order]
+        shards: dict[int, dict[bytes, list[int]]] = {}
+        for doc, text in zip(texts.column("id").to_pylist(), texts.column("text").to_pylist()):
+            a, b = np.searchsorted(docs, [doc, doc + 1])
+            if a == b or doc in copies:
+                continue
+            first, last, hashes = anchors(text, length)
+            at = _addresses(hashes, n_buckets)
+            ok = np.isin(at, where[a:b])
+            for s, lo, hi in zip((at[ok] >> np.uint64(32)).tolist(), first[ok].tolist(), last[ok].tolist()):
+                shards.setdefault(s, {}).setdefault(text[lo : hi + length], []).extend((doc, lo))
+        rows = []
+        for s, strings in shards.items():
+            keys = np.array([(len(k), len(v) // 2) for k, v in strings.items()], dtype=np.int64)
+            spots = np.array([x for v in strings.values() for x in v], dtype=np.int64)
+            rows.append((s, 0, _packed(keys.tobytes()), _packed(spots.tobytes()), _packed(b"".join(strings))))
+        return pa.Table.from_batches([_table(BLOBS, rows)])
 
     return run
 
@@ -299,15 +348,16 @@ def remove_repeats(
     copies = sizes.select("id", "g").join(firsts, "g")
     copies = _freed(copies.filter("id > first").select("id").distinct(), "copies")
 
-    pairs = _freed(src.filter(F.length("text") >= length).mapInArrow(_anchor_blobs(length, n_buckets), BLOBS_SQL), "anchors")
+    pairs = _freed(src.filter(F.length("text") >= length).mapInArrow(_anchor_blobs(length, n_buckets), BLOBS_SQL), "anchors", sizes)
     shared = pairs.select("bucket", "keys").groupBy("bucket").applyInArrow(_shared, BLOBS_SQL)
-    marked = pairs.groupBy("bucket", "salt").cogroup(shared.groupBy("bucket", "salt")).applyInArrow(_candidates, MARKS_SQL)
-    marked = _freed(marked.groupBy("id").agg(F.collect_list("marks").alias("marks")), "candidates")
-
-    wanted = src.join(marked.join(copies, "id", "left_anti").hint("shuffle_hash"), "id")
-    strings = _freed(wanted.mapInArrow(_strings(length, n_buckets), BLOBS_SQL), "strings")
-    spans = strings.groupBy("bucket").applyInArrow(_removals(length, budget), MARKS_SQL)
-    spans = _freed(spans, "spans")
+    marked = pairs.groupBy("bucket", "salt").cogroup(shared.groupBy("bucket", "salt"))
+    candidates = _freed(marked.applyInArrow(_candidates(n_buckets), BLOBS_SQL), "candidates", pairs)
+
+    marked = candidates.unionByName(copies.mapInArrow(_copy_blobs(n_buckets), BLOBS_SQL))
+    texts = src.filter(F.length("text") >= length).withColumn("bucket", F.pmod("id", F.lit(n_buckets)).cast("int"))
+    strings = texts.groupBy("bucket").cogroup(marked.groupBy("bucket")).applyInArrow(_strings(length, n_buckets), BLOBS_SQL)
+    strings = _freed(strings, "strings", candidates)
+    spans = _freed(strings.groupBy("bucket").applyInArrow(_removals(length, budget), MARKS_SQL), "spans", strings)
     by_row = spans.groupBy("id").agg(F.collect_list("marks").alias("marks"))
     flags = by_row.join(copies.withColumn("copy", F.lit(True)), "id", "full")
     out = src.join(flags, "id", "left").select("id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "marks")
