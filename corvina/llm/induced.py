@@ -38,18 +38,23 @@ class BucketQueue:
             self.blocks[char].append((pos, lcp))
 
     def pop(self, char: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Blocks of a character in their order, those that are pushed meanwhile included."""
+        """The tuples of a character in their order, those that are pushed meanwhile included, up to the budget at once."""
         queue = self.blocks[char]
         while queue:
-            block = queue.pop(0)
-            if len(block) == 2:
-                self.held -= block[0].nbytes + block[1].nbytes
-                yield block
-            else:
-                at, n, kind = block
-                self.file.seek(at)
-                pos = np.frombuffer(self.file.read(n * kind.itemsize), dtype=kind)
-                yield pos, np.frombuffer(self.file.read(n), dtype=np.uint8)
+            taken, size = [], 0
+            while queue and (not taken or size < self.budget):
+                taken.append(self._read(queue.pop(0)))
+                size += taken[-1][0].nbytes
+            yield np.concatenate([p for p, _ in taken]), np.concatenate([v for _, v in taken])
+
+    def _read(self, block) -> tuple[np.ndarray, np.ndarray]:
+        if len(block) == 2:
+            self.held -= block[0].nbytes + block[1].nbytes
+            return block
+        at, n, kind = block
+        self.file.seek(at)
+        pos = np.frombuffer(self.file.read(n * kind.itemsize), dtype=kind)
+        return pos, np.frombuffer(self.file.read(n), dtype=np.uint8)
 
     def close(self) -> None:
         if self.file is not None:
@@ -137,18 +142,17 @@ def _named(text: np.ndarray, small: np.ndarray, stars: np.ndarray, limit: int) -
     """
     n = len(stars)
     ends = np.append(stars[1:], stars[-1])
-    coded = np.zeros(len(text) + 8, dtype=np.uint64)
-    coded[: len(text)] = text.astype(np.uint64) * 2 + 1
-    coded[: len(small)] += small.astype(np.uint64)
+    coded = np.zeros(len(text) + 8, dtype=np.uint16)
+    coded[: len(text)] = text.astype(np.uint16) * 2 + 1 + small
     names = np.zeros(n, dtype=np.int64)
     open_ = np.arange(n)
     for step in range(0, limit, 6):
         key = np.zeros(len(open_), dtype=np.uint64)
         for k in range(6):
             at = stars[open_] + step + k
-            part = np.where(at <= ends[open_], coded[np.minimum(at, len(coded) - 1)], np.uint64(0))
+            part = np.where(at <= ends[open_], coded[np.minimum(at, len(coded) - 1)], np.uint16(0)).astype(np.uint64)
             key = (key << np.uint64(10)) | part
-        order = np.lexsort((key, names[open_]))
+        order = np.argsort(key) if step == 0 else np.lexsort((key, names[open_]))
         group, k2 = names[open_][order], key[order]
         new = np.append(True, (group[1:] != group[:-1]) | (k2[1:] != k2[:-1]))
         fresh = np.append(True, group[1:] != group[:-1])

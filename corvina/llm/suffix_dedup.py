@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,11 +18,11 @@ from corvina.llm.common import partitions, staged, unstaged
 from corvina.llm.induced import sorted_suffixes
 
 #: An anchor is the hash of this many bytes; every window of the match length has one, its least hash.
-ANCHOR = 12
+ANCHOR = 20
 SALTS = 4
 COPIES = -1  # in place of a salt: the documents of this row are copies of others
 #: Bytes of text that an anchor bucket, or a shard of suffixes, stands for on average.
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 8 << 20
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _LOW = np.uint64((1 << 24) - 1)
 
@@ -44,7 +45,7 @@ def anchors(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
         return empty, empty, np.zeros(0, dtype=np.uint64)
     padded = np.frombuffer(data + bytes(16), dtype=np.uint8)
     words = np.ndarray((n,), dtype="<u8", buffer=padded.data, strides=(1,))
-    h = (words[: n - ANCHOR + 1] * _M1) ^ ((words[ANCHOR - 8 : n - 7]) * _M2)
+    h = ((words[: n - ANCHOR + 1] * _M1) ^ words[8 : n - ANCHOR + 9]) * _M2 + words[ANCHOR - 8 : n - 7] * _M1
     h ^= h >> np.uint64(29)
     h *= _M2
     h ^= h >> np.uint64(32)
@@ -176,7 +177,7 @@ def _doc_bucket(docs: np.ndarray, n_buckets: int) -> np.ndarray:
 def _strings(length: int, n_buckets: int):
     """Runs of windows under shared anchors of one bucket of documents, dealt by the anchor: equal windows meet.
 
-    Equal strings are stored once. keys: for each string its length, and the number of its places; docs: for each place the
+    Equal strings are stored once. keys: for each string its length, the number of its places, and its anchor; docs: for each place the
     document and the position; strings: all of them, concatenated.
     """
 
@@ -194,7 +195,8 @@ def _strings(length: int, n_buckets: int):
         docs = np.concatenate([np.frombuffer(_unpacked(d), dtype=np.int64) for d in marks.column("docs").to_pylist()])
         order = np.argsort(docs, kind="stable")
         where, docs = where[order], docs[order]
-        shards: dict[int, dict[bytes, list[int]]] = {}
+        shards: dict[int, tuple[dict[bytes, int], array]] = {}
+        places: dict[int, array] = {}
         for doc, text in zip(texts.column("id").to_pylist(), texts.column("text").to_pylist()):
             a, b = np.searchsorted(docs, [doc, doc + 1])
             if a == b or doc in copies:
@@ -202,13 +204,20 @@ def _strings(length: int, n_buckets: int):
             first, last, hashes = anchors(text, length)
             at = _addresses(hashes, n_buckets)
             ok = np.isin(at, where[a:b])
-            for s, lo, hi in zip((at[ok] >> np.uint64(32)).tolist(), first[ok].tolist(), last[ok].tolist()):
-                shards.setdefault(s, {}).setdefault(text[lo : hi + length], []).extend((doc, lo))
+            at = at[ok]
+            for s, key, lo, hi in zip((at >> np.uint64(32)).tolist(), (at & np.uint64(0xFFFFFFFF)).tolist(), first[ok].tolist(), last[ok].tolist()):
+                strings, anchor = shards.setdefault(s, ({}, array("q")))
+                which = strings.setdefault(text[lo : hi + length], len(strings))
+                if which == len(anchor):
+                    anchor.append(key)
+                places.setdefault(s, array("q")).extend((which, doc, lo))
         rows = []
-        for s, strings in shards.items():
-            keys = np.array([(len(k), len(v) // 2) for k, v in strings.items()], dtype=np.int64)
-            spots = np.array([x for v in strings.values() for x in v], dtype=np.int64)
-            rows.append((s, 0, _packed(keys.tobytes()), _packed(spots.tobytes()), _packed(b"".join(strings))))
+        for s in list(shards):
+            (strings, anchor), spots = shards.pop(s), np.array(places.pop(s), dtype=np.int64).reshape(-1, 3)
+            spots = spots[np.argsort(spots[:, 0], kind="stable")]
+            sizes = np.fromiter(map(len, strings), dtype=np.int64, count=len(strings))
+            keys = np.stack([sizes, np.bincount(spots[:, 0], minlength=len(strings)), anchor], axis=1)
+            rows.append((s, 0, _packed(keys.tobytes()), _packed(spots[:, 1:].tobytes()), _packed(b"".join(strings))))
         return pa.Table.from_batches([_table(BLOBS, rows)])
 
     return run
@@ -236,28 +245,44 @@ def _removals(length: int, budget: int):
 
     def run(t: pa.Table) -> pa.Table:
         number: dict[bytes, int] = {}
-        which, docs, places = [], [], []
+        which, docs, places, anchor = [], [], [], array("q")
         for k, d, s in zip(*(t.column(c).to_pylist() for c in ("keys", "docs", "strings"))):
-            keys = np.frombuffer(_unpacked(k), dtype=np.int64).reshape(-1, 2)
+            keys = np.frombuffer(_unpacked(k), dtype=np.int64).reshape(-1, 3)
             spots = np.frombuffer(_unpacked(d), dtype=np.int64).reshape(-1, 2)
             text, at, ids = _unpacked(s), 0, []
-            for n in keys[:, 0].tolist():
+            for n, key in zip(keys[:, 0].tolist(), keys[:, 2].tolist()):
                 ids.append(number.setdefault(text[at : at + n], len(number)))
+                if ids[-1] == len(anchor):
+                    anchor.append(key)
                 at += n
             which.append(np.repeat(np.array(ids, dtype=np.int64), keys[:, 1]))
             docs.append(spots[:, 0])
             places.append(spots[:, 1])
         which, docs, places = np.concatenate(which), np.concatenate(docs), np.concatenate(places)
-        strings = list(number)
+        strings, anchor = list(number), np.array(anchor, dtype=np.int64)
         owners = np.full(len(strings), np.iinfo(np.int64).max)
         np.minimum.at(owners, which, docs)
+        latest = np.full(len(strings), np.iinfo(np.int64).min)
+        np.maximum.at(latest, which, docs)
+        # equal windows have equal anchors, so an anchor of one document has nothing to remove and needs no sorting
+        _, of = np.unique(anchor, return_inverse=True)
+        low, high = np.full(len(strings), np.iinfo(np.int64).max), np.full(len(strings), np.iinfo(np.int64).min)
+        np.minimum.at(low, of, owners)
+        np.maximum.at(high, of, latest)
+        wanted = (low < high)[of]
+        new = np.cumsum(wanted) - 1
+        strings = [x for x, w in zip(strings, wanted.tolist()) if w]
+        ok = wanted[which]
+        which, docs, places, owners = new[which[ok]], docs[ok], places[ok], owners[wanted]
+        if not strings:
+            return pa.Table.from_batches([_table(MARKS, [])])
         least = window_owners(strings, owners, length, budget)
         sizes = np.fromiter(map(len, strings), dtype=np.int64, count=len(strings))
         heads = np.append(0, np.cumsum(sizes + 1)[:-1])
         windows = sizes - length + 1
         rows = []
-        for lo in range(0, len(which), 500_000):
-            w, d, p = (v[lo : lo + 500_000] for v in (which, docs, places))
+        for lo in range(0, len(which), 40_000):
+            w, d, p = (v[lo : lo + 40_000] for v in (which, docs, places))
             n = windows[w]
             of = np.repeat(np.arange(len(w)), n)
             step = np.arange(len(of)) - np.repeat(np.append(0, np.cumsum(n)[:-1]), n)
