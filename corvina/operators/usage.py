@@ -81,7 +81,7 @@ def parsed_plans(raw: DataFrame) -> DataFrame:
     got = raw.select("key", p.alias("p"))
     period = F.coalesce("p.periodo", F.lit("dia"))
     tope = F.coalesce("p.tope", "p.tope_diario")
-    end = F.try_to_date("p.vence", F.lit("yyyy-MM-dd"))
+    end = F.try_to_date("p.vence", "yyyy-MM-dd")
     valid = period.isin("dia", "mes") & (tope.isNull() | (tope > 0)) & (F.col("p.vence").isNull() | end.isNotNull())
     return got.select("key", F.col("p.nombre").alias("nombre"), tope.alias("tope"), period.alias("periodo"), end.alias("vence"), valid.alias("valid"))
 
