@@ -29,7 +29,10 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def terms(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the different terms of a text and their weights: sublinear in how often they occur."""
+    """64-bit hashes of the different terms of a text and their weights: sublinear in how often they occur.
+
+    Weights are whole numbers, so that votes are exact and don't depend on what else is in a batch.
+    """
     tokens = data.lower().split()
     if not tokens:
         return np.zeros(0, dtype=np.uint64), np.zeros(0)
@@ -42,7 +45,7 @@ def terms(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     weights = np.concatenate([
         WORD_WEIGHT * np.log1p(np.bincount(at, minlength=len(number))), PAIR_WEIGHT * np.log1p(times)
     ])
-    return hashes, weights
+    return hashes, np.rint(1024 * weights)
 
 
 def fingerprint_batch(texts: list[bytes]) -> np.ndarray:
