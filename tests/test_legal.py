@@ -118,7 +118,7 @@ def test_grounding(spark):
     assert [(c["tipo"], c["respaldada"]) for c in r["v"]] == [("norma", True), ("norma", False), ("articulo", True)]
     assert "⚠[Ley 999 de 2010: no está en las fuentes citadas]" in r["m"] and r["u"] == ["La Ley 999 de 2010 lo cambia."]
     assert r["at"] == []  # number and two-digit year must be neighbours, so a four-digit year names no fragment
-    r = ground(spark, "Según DECRETO-1713-2002, el artículo 24 da 30 días. La Ley 5 de 2000 no.")
+    r = ground(spark, "Según DECRETO-1713-2002, el artículo 24 da 45 días. La Ley 5 de 2000 no.")
     assert [(a["citado"], [c["respaldada"] for c in a["afirmaciones"]]) for a in r["at"]] == [("DECRETO-1713-2002", [True, False])]
 
 
