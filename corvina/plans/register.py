@@ -63,7 +63,7 @@ KNN_SQL = """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embe
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM x)
 """
 L2 = "round(list_sum(list_transform(list_zip(e, qe), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 6)"
-COS = "round(1 - list_sum(list_transform(list_zip(e, qe), lambda z: z[1] * z[2])) / (sqrt(list_sum(list_transform(e, lambda z: z * z))) * sqrt(list_sum(list_transform(qe, lambda z: z * z)))), 6)"
+COS = "greatest(0.0, round(1 - list_sum(list_transform(list_zip(e, qe), lambda z: z[1] * z[2])) / (sqrt(list_sum(list_transform(e, lambda z: z * z))) * sqrt(list_sum(list_transform(qe, lambda z: z * z)))), 6))"
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:

@@ -15,10 +15,10 @@ DOCUMENT = (
     "id string, fuente string, tipo string, identificador string, titulo string, fecha string, texto string, "
     "url_original string, metadata string"
 )
-# Prefixes of the relations between norms in link labels.
+# The relations that link labels begin with, longer ones before their own beginnings.
 RELATIONS = (
-    "modificado", "modifica", "derogado", "deroga", "adicionado", "adiciona", "reglamentado", "reglamenta", "compilado", "compila",
-    "sustituido",
+    "Modificado por", "Modificado transitoriamente por", "Adicionado por", "Sustituido por", "Derogado parcialmente", "Derogado por",
+    "Deroga parcialmente", "Deroga", "Reglamenta parcialmente", "Reglamenta", "Adiciona",
 )
 # Minimum lengths of texts by kind of source.
 MIN_LENGTH = {"html": 200, "catalogue": 80, "api": 100, "markdown": 40}
@@ -160,7 +160,7 @@ def html_documents(pages: DataFrame, id_col: str = "page_id", html_col: str = "h
 def relation_edges(parsed: DataFrame) -> DataFrame:
     """(src, dst, tipo): links to other norms (…?i=123) with the relation that their label begins with."""
     link = parsed.select(F.col("id").alias("src"), F.explode("enlaces").alias("l"))
-    label = F.lower("l.label")
+    label = fix_mojibake(F.col("l.label"))
     kind = F.regexp_extract(label, r"^(" + "|".join(RELATIONS) + r")", 1)
     return link.select(
         "src", F.regexp_extract("l.href", r"[?&]i=(\d+)", 1).alias("dst"), F.when(kind == "", "relacionado").otherwise(kind).alias("tipo")

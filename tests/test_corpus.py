@@ -86,7 +86,7 @@ def test_sources(spark, tmp_path):
     parsed = connectors.html_documents(pages)
     r = parsed.first()
     assert parsed.count() == 1 and r["titulo"] == "Decreto 5" and "x()" not in r["texto"] and r["fecha"] == "2001-03-03"
-    assert [tuple(e) for e in connectors.relation_edges(parsed).collect()] == [(1, "77", "modificado")]
+    assert [tuple(e) for e in connectors.relation_edges(parsed).collect()] == [(1, "77", "Modificado por")]
     files = spark.createDataFrame([(bytearray(b"PK\x03\x04x"),), (bytearray(b"%PDF-1.4"),), (bytearray("texto áé".encode("latin-1")),), (bytearray(bytes(range(9)) * 50),)], "c binary")
     assert [r[0] for r in files.select(connectors.binary_kind(F.col("c"))).collect()] == ["zip", "pdf", "text", "unknown"]
     assert files.select(connectors.binary_text(F.col("c"))).collect()[2][0] == "texto áé"
