@@ -155,7 +155,7 @@ def edited_likeness(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return whole.withColumnRenamed("id", id_col)
 
 
-def within_radius(queries: DataFrame, index: DataFrame, radius: int = 3, blocks: int = 8) -> DataFrame:
+def within_radius(queries: DataFrame, index: DataFrame, radius: int = 3, blocks: int = 4) -> DataFrame:
     """All index fingerprints within radius bits of each query: (query, fingerprint, distance), for different fingerprints.
 
     queries and index have a column fingerprint (hex of WIDTH bytes). The bits are cut into blocks; each table leads with

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from corvina.llm.common import staged
 
 #: Words whose ids a worker remembers in each of two generations.
-CACHE = 250_000
+CACHE = 400_000
 #: Pieces that one packer takes, on average.
 PACKER_ROWS = 20_000
 #: Sequences filled to less than this share are opened again in the last rounds.
@@ -95,6 +95,16 @@ class WordTokenizer:
         return (low,) if low != word else ()
 
 
+_TOKENIZERS: dict[str, WordTokenizer] = {}
+
+
+def word_tokenizer(path: str) -> WordTokenizer:
+    """The tokenizer of this process: a worker's later tasks find the words of its earlier ones."""
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = WordTokenizer(path)
+    return _TOKENIZERS[path]
+
+
 PIECES = pa.schema([
     ("id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
     ("ids_crc32", pa.int64()), ("ids", pa.binary()), ("text_hash", pa.int64()),
@@ -107,7 +117,7 @@ def pieces(
     """Pieces of at most capacity ids of each row's ids and end_id: id, piece, start, length, ids_crc32, ids (or null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokenizer(tokenizer_path)
+        words = word_tokenizer(tokenizer_path)
         end = np.array([end_id], dtype="<u4").tobytes()
         for x in batches:
             texts = [t or b"" for t in x.column("text").to_pylist()]
