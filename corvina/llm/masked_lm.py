@@ -16,7 +16,6 @@ BUCKETS = 1 << 16  # words are hashed into so many buckets for the counts
 INPUTS = 1 << 13  # and into so many for the vectors of neighbours
 SIDE = 2  # neighbours on each side
 WIDTH, HIDDEN, CLASSES = 16, 32, 64
-STRIDE = 8  # in training, one position in so many is predicted, of every document
 PIECE = 1 << 13  # counts and parameters are summed in pieces of so many numbers
 CHUNK = 1 << 14
 
@@ -139,6 +138,7 @@ class Model:
     network: Network
     class_of: np.ndarray
     log_share: np.ndarray  # of a word bucket in its class
+    targets: int = 0  # positions that training predicted, over all rounds
 
     def log_probs(self, words: np.ndarray, around: np.ndarray) -> np.ndarray:
         out = np.empty(len(words))
@@ -164,8 +164,9 @@ def classes_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def train(df: DataFrame, text_col: str = "text", rounds: int = 2) -> Model:
     """Count all words of all rows, then train on every row in rounds of parameter averaging.
 
-    In a round each task starts from the shared parameters and walks over its own rows, predicting one position in STRIDE
-    of each; the parameters of all tasks are averaged by how many positions they saw. What tasks send grows with the number
+    In a round each task starts from the shared parameters and walks over its own rows, predicting one position in rounds,
+    another in each round, so every position is a target once; the parameters of all tasks are averaged by how many
+    positions they saw. What tasks send grows with the number
     of partitions, so with the input; what the driver gets is one vector of fixed length.
     """
     src = df.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
@@ -184,7 +185,7 @@ def train(df: DataFrame, text_col: str = "text", rounds: int = 2) -> Model:
 
     counts = _summed(src.mapInArrow(count, PIECES_SQL), BUCKETS)
     class_of, log_share = classes_of(counts)
-    network = Network.fresh()
+    network, targets = Network.fresh(), 0
     for turn in range(rounds):
         start = network.flat()
 
@@ -196,7 +197,7 @@ def train(df: DataFrame, text_col: str = "text", rounds: int = 2) -> Model:
                 texts = x.column("text").to_pylist()
                 for lo in range(0, len(texts), 100):
                     words, around, _ = _windows(texts[lo : lo + 100])
-                    at = np.arange(turn % STRIDE, len(words), STRIDE)
+                    at = np.arange(turn, len(words), rounds)
                     net.train(around[at], class_of[words[at]], squares)
                     n += len(at)
             if n:
@@ -205,7 +206,8 @@ def train(df: DataFrame, text_col: str = "text", rounds: int = 2) -> Model:
         total = _summed(src.mapInArrow(walk, PIECES_SQL), len(start) + 1)
         if total[-1]:
             network = Network.of(total[:-1] / total[-1])
-    return Model(network, class_of, log_share)
+        targets += round(total[-1])
+    return Model(network, class_of, log_share, targets)
 
 
 RESULT = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("log_prob", pa.float64()), ("mean_log_prob", pa.float64()), ("pseudo_perplexity", pa.float64())])

@@ -181,6 +181,14 @@ def test_masked_lm(docs, rows, empty):
     assert masked_lm.score(empty, model).count() == 0
 
 
+def test_masked_lm_predicts_every_position(spark):
+    texts = ["a", None, "b c", "d e f g h i j", "k", " ", "l m n o p q r s t u v w"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tokens = sum(len((t or "").split()) for t in texts)
+    assert masked_lm.train(df).targets == tokens
+    assert masked_lm.train(df, rounds=3).targets == tokens
+
+
 def test_differencing_is_no_worse_than_greedy():
     rng = random.Random(3)
     sizes = [rng.randint(1, 1000) for _ in range(200)]
