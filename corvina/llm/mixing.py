@@ -95,17 +95,21 @@ def mix(
     seed: int = 1,
     carry: list[str] | None = None,
 ) -> DataFrame:
-    """One row for each row of df: id_col, source, lang, topic, n_tokens, weight, probability, kept;
+    """One row for each row of df: id_col, source, lang, topic, n_tokens, weight, copies, probability, kept;
     carry: columns of df that come along in a struct named row, which spares a join.
 
     Tokens (words) are summed by cell of source, language and topic; the cells are raked to the target marginals, and each
-    document is kept with its cell's probability, decided by a hash of seed and id, so a rerun keeps the same documents.
+    document gets copies, decided by a hash of seed and id, so a rerun draws the same. A document is taken keep * weight
+    times in expectation (the whole part surely, the fraction by the draw), so the copies meet the target marginals and have
+    keep of all tokens; a weight over 1 / keep gives documents that are taken more than once. probability and kept are the
+    draw of those who take a document once at most: also keep of all tokens, but cells of high weight stop at 1, so the
+    marginals of kept stay between the measured ones and the targets.
     targets: shares for any of "source", "lang", "topic"; values that it doesn't name are the category OTHER. Marginals that
     aren't given are the measured shares to the power temperature. The driver sees one row a cell: at most the product of
     the categories named (1000 sources and 1000 languages at most where they are measured, five topics).
 
     Edge cases: null source or language is OTHER; a null or blank text has 0 tokens and the probability of its cell; rows
-    with equal ids are kept or not alike; a null id is hashed as such; an empty table gives no rows; columns that are not
+    with equal ids are taken equally often; a null id is hashed as such; an empty table gives no rows; columns that are not
     named are ignored.
     """
     text = F.col(text_col).cast("string")
@@ -142,6 +146,7 @@ def mix(
     found = df.sparkSession.createDataFrame(table, "c_source string, c_lang string, c_topic string, weight double, probability double")
     keyed = src.select("*", *(category(d).alias(f"c_{d}") for d in wanted))
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(1 << 53)) / float(1 << 53)
+    expected = F.col("weight") * F.lit(float(keep))
     out = keyed.join(F.broadcast(found), [f"c_{d}" for d in wanted])
     return out.select(
         F.col("id").alias(id_col),
@@ -150,6 +155,7 @@ def mix(
         "topic",
         "n_tokens",
         "weight",
+        (F.floor(expected) + (draw < expected - F.floor(expected)).cast("long")).alias("copies"),
         "probability",
         (draw < F.col("probability")).alias("kept"),
         *(["row"] if carry else []),

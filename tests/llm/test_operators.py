@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import os
 import random
 import zlib
 
@@ -267,6 +268,29 @@ def test_mixing(docs, rows, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixing_copies_meet_the_targets(spark):
+    rows = [(i, "a b c d e", "x" if i % 10 else "y", "es" if i % 4 else "en") for i in range(8000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    targets = {"source": {"x": 0.4, "y": 0.6}, "lang": {"es": 0.5, "en": 0.5}}
+    got = mixing.mix(df, targets=targets).collect()
+    total = sum(r["copies"] * r["n_tokens"] for r in got)
+    assert abs(total / sum(r["n_tokens"] for r in got) - 0.9) < 0.02
+    for d in targets:
+        for v, t in targets[d].items():
+            assert abs(sum(r["copies"] * r["n_tokens"] for r in got if r[d] == v) / total - t) < 0.02
+    assert all(abs(r["copies"] - 0.9 * r["weight"]) < 1 for r in got) and max(r["copies"] for r in got) > 1
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the driver's tables")
+def test_pipeline_mixing_takes_copies(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    want = {r["doc_id"]: r["copies"] for r in mixing.mix(docs).collect() if r["copies"]}
+    taken = [r["doc_id"] for r in corpus_pipeline.mixing_stage(spark, docs, "").collect()]
+    assert {i: taken.count(i) for i in set(taken)} == want and max(want.values()) > 1
+
+
 def test_toxicity(spark, docs, rows, labels, empty):
     model = toxicity.train(docs, labels)
     got = toxicity.score(docs, model).collect()
