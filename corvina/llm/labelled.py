@@ -17,7 +17,8 @@ def sample(
 ) -> DataFrame:
     """(id, text as bytes, label int) of at most limit labelled rows outside the held-out fold, by the order of their hashes.
 
-    The chosen ids are at most limit rows of two numbers, so they are broadcast; texts are read once and not shuffled.
+    The chosen ids are at most limit rows of two numbers, so they are broadcast. An id counts once: of rows that repeat it
+    the least text is taken, of labels that repeat it the least label.
     """
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("int").alias("label"))
@@ -29,4 +30,4 @@ def sample(
         .limit(limit)
     )
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    return src.join(F.broadcast(chosen), "id")
+    return src.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text")).select("id", "text", "label")

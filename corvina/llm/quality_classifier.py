@@ -18,6 +18,8 @@ from corvina.llm.common import staged
 _SYMBOLS = b"#*$%&<>"
 _PUNCT = b"!\"'(),-./:;?[]{}_"
 N_STATS = 20
+#: Parts of the sample (by the hash of the id) that take turns at being left out.
+FOLDS = 3
 
 
 def statistics(data: bytes) -> list[float]:
@@ -90,21 +92,19 @@ def train(
 ) -> Model:
     """Fit on at most sample_limit labelled rows outside the fold crc32(id) mod modulus = held.
 
-    Means and spreads, then the normal equations of four fifths of the sample, are summed in each of at most 8 partitions;
-    only these sums reach the driver. One fifth (by the hash of the id) calibrates. Rows of one label alone, or none: every
-    score is the share of label 1 (0.5 without labels).
+    Means and spreads, then the normal equations of each of FOLDS parts of the sample (by the hash of the id), are summed in
+    at most 4 partitions; only these sums reach the driver. The equations of all parts but one give the weights that score
+    that part, and these scores of the whole sample are calibrated together; the final weights solve the sum of all parts.
+    Rows of one label alone, or none: every score is the share of label 1 (0.5 without labels).
     """
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({
-                "label": b["label"],
-                "grow": pd.util.hash_array(b["id"].to_numpy()) % 5 != 0,
-                "x": [statistics(t or b"") for t in b["text"]],
-            })
+            fold = (pd.util.hash_array(b["id"].to_numpy()) % FOLDS).astype("int32")
+            yield pd.DataFrame({"label": b["label"], "fold": fold, "x": [statistics(t or b"") for t in b["text"]]})
 
     sample = labelled.sample(docs, labels, id_col, text_col, label, modulus, held, sample_limit)
-    rows = staged(sample.mapInPandas(measure, "label int, grow boolean, x array<double>"), "quality-sample").coalesce(8)
+    rows = staged(sample.mapInPandas(measure, "label int, fold int, x array<double>"), "quality-sample").coalesce(4)
 
     def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, ones, s, q = 0, 0, np.zeros(N_STATS), np.zeros(N_STATS)
@@ -123,33 +123,36 @@ def train(
     rng = np.random.default_rng(7)
     frequencies = rng.normal(0, math.sqrt(2 * gamma), (N_STATS, waves))
     model = Model(mean, scale, frequencies, rng.uniform(0, 2 * math.pi, waves), None, None, ones / n if n else 0.5)
-    if not 0 < ones < n or n < 20:
+    if not 0 < ones < n:
         return model
+    width = waves + N_STATS + 1
+    upper = np.triu_indices(width)  # the equations are symmetric
 
     def normal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        width = waves + N_STATS + 1
-        a, c = np.zeros((width, width)), np.zeros(width)
+        a, c = np.zeros((FOLDS, width, width)), np.zeros((FOLDS, width))
         for b in batches:
-            b = b[b["grow"]]
-            z = model.lift(np.array(b["x"].tolist()).reshape(-1, N_STATS))
-            a += z.T @ z
-            c += z.T @ b["label"].to_numpy(float)
-        yield pd.DataFrame({"a": [a.tobytes()], "c": [c.tobytes()]})
-
-    sums = rows.mapInPandas(normal, "a binary, c binary").collect()
-    width = waves + N_STATS + 1
-    a = np.sum([np.frombuffer(bytes(r["a"])) for r in sums], axis=0).reshape(width, width)
-    c = np.sum([np.frombuffer(bytes(r["c"])) for r in sums], axis=0)
-    model.weights = np.linalg.solve(a + ridge * np.eye(width), c)
+            z, y, fold = model.lift(np.array(b["x"].tolist()).reshape(-1, N_STATS)), b["label"].to_numpy(float), b["fold"].to_numpy()
+            for k in range(FOLDS):
+                a[k] += z[fold == k].T @ z[fold == k]
+                c[k] += z[fold == k].T @ y[fold == k]
+        yield pd.DataFrame({"fold": range(FOLDS), "a": [x[upper].tobytes() for x in a], "c": [x.tobytes() for x in c]})
+
+    a, c = np.zeros((FOLDS, width, width)), np.zeros((FOLDS, width))
+    for r in rows.mapInPandas(normal, "fold int, a binary, c binary").collect():
+        a[r["fold"]][upper] += np.frombuffer(bytes(r["a"]))
+        c[r["fold"]] += np.frombuffer(bytes(r["c"]))
+    a += np.triu(a, 1).transpose(0, 2, 1)
+    solve = lambda parts: np.linalg.solve(a[parts].sum(axis=0) + ridge * np.eye(width), c[parts].sum(axis=0))
+    without = np.stack([solve([j for j in range(FOLDS) if j != k]) for k in range(FOLDS)])
+    model.weights = solve(list(range(FOLDS)))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b = b[~b["grow"]]
-            raw = model.lift(np.array(b["x"].tolist()).reshape(-1, N_STATS)) @ model.weights
-            yield pd.DataFrame({"raw": raw, "label": b["label"].to_numpy(float)})
+            z = model.lift(np.array(b["x"].tolist()).reshape(-1, N_STATS))
+            yield pd.DataFrame({"raw": (z * without[b["fold"].to_numpy()]).sum(axis=1), "label": b["label"].to_numpy(float)})
 
-    held_back = rows.mapInPandas(judge, "raw double, label double").toPandas()
-    model.knots = isotonic.fit(held_back["raw"].to_numpy(), held_back["label"].to_numpy())
+    left_out = rows.mapInPandas(judge, "raw double, label double").toPandas()
+    model.knots = isotonic.fit(left_out["raw"].to_numpy(), left_out["label"].to_numpy())
     return model
 
 

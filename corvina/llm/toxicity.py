@@ -27,7 +27,8 @@ SECOND_PERSON = "you your yours yourself u ur tu te ton ta toi vous votre vos du
 NEAR = 5
 MIN_LIFT = 3.0
 MIN_SHARE = 0.01
-MAX_LEARNED = 1000
+#: Parts of the sample (by the hash of the id) that take turns at being left out.
+FOLDS = 5
 #: Stems are learned as well as words: the first so many bytes of a word.
 STEMS = (4, 5, 6)
 
@@ -115,7 +116,7 @@ class Boosted:
     rounds: int = 80
     rate: float = 0.15
     bins: int = 64
-    min_weight: float = 4.0
+    min_rows: int = 3
     penalty: float = 1.0
     base: float = 0.0
     edges: list[np.ndarray] = field(default_factory=list)
@@ -145,9 +146,10 @@ class Boosted:
                     key = node * width + binned[:, f]
                     gs = np.bincount(key, g, count * width).reshape(count, width).cumsum(axis=1)
                     hs = np.bincount(key, h, count * width).reshape(count, width).cumsum(axis=1)
+                    ns = np.bincount(key, minlength=count * width).reshape(count, width).cumsum(axis=1)
                     gt, ht = gs[:, -1:], hs[:, -1:]
                     score = gs**2 / (hs + self.penalty) + (gt - gs) ** 2 / (ht - hs + self.penalty) - gt**2 / (ht + self.penalty)
-                    score[(hs < self.min_weight) | (ht - hs < self.min_weight)] = 0
+                    score[(ns < self.min_rows) | (ns[:, -1:] - ns < self.min_rows)] = 0
                     best = score.argmax(axis=1)
                     top = score[np.arange(count), best]
                     better = top > gain + 1e-12
@@ -200,73 +202,77 @@ def _keys(text: bytes | None) -> set[bytes]:
     return words | {w[:k] + b"*" for k in STEMS for w in words if len(w) >= k}
 
 
-def learned_words(sample: DataFrame) -> tuple[list[bytes], list[bytes], list[bytes]]:
-    """Words and stems ("stem*") learned from the even half of the sample, from the odd half, and from all of it.
+def learned_words(sample: DataFrame, max_learned: int) -> list[list[bytes]]:
+    """Words (of 3 to 40 bytes) and stems ("stem*"): for each fold those learned from the other folds, then those from all.
 
-    At most MAX_LEARNED each, whose share among toxic texts is MIN_SHARE or more (and three texts) and e**MIN_LIFT times
-    that among others. Trees are grown on features of a row that come from the other half, so that they don't trust words
-    for having been learned from that very row. Equal texts count once.
+    A word is learned if its share among toxic texts is MIN_SHARE or more (and two texts) and e**MIN_LIFT times that among
+    others; of more than max_learned the ones in most toxic texts. Equal texts count once.
     """
+    columns = [f"n{k}" for k in range(2 * FOLDS)]
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[bytes, list[int]] = {}
         for x in batches:
-            for text, at in zip(x["text"], x["half"] * 2 + x["label"]):
+            for text, at in zip(x["text"], x["fold"] * 2 + x["label"]):
                 for w in _keys(text):
-                    seen.setdefault(w, [0, 0, 0, 0])[at] += 1
-        made = np.array(list(seen.values()), dtype=np.int64).reshape(-1, 4)
-        yield pd.DataFrame({"word": list(seen), **{f"n{k}": made[:, k] for k in range(4)}})
+                    seen.setdefault(w, [0] * 2 * FOLDS)[at] += 1
+        made = np.array(list(seen.values()), dtype=np.int64).reshape(-1, 2 * FOLDS)
+        yield pd.DataFrame({"word": list(seen), **{c: made[:, k] for k, c in enumerate(columns)}})
 
     once = sample.groupBy(F.md5("text").alias("h")).agg(F.min("id").alias("id")).select("id")
-    sizes = {(r["half"], r["label"]): r["n"] for r in sample.groupBy("half", "label").agg(F.count("*").alias("n")).collect()}
-    counts = sample.join(once, "id").select("text", "half", "label").mapInPandas(count, "word binary, n0 long, n1 long, n2 long, n3 long")
-    counts = staged(counts.groupBy("word").agg(*(F.sum(f"n{k}").alias(f"n{k}") for k in range(4))).filter("n1 + n3 >= 3"), "toxic-words")
+    sizes = {(r["fold"], r["label"]): r["n"] for r in sample.groupBy("fold", "label").agg(F.count("*").alias("n")).collect()}
+    counts = sample.join(once, "id").select("text", "fold", "label").mapInPandas(count, "word binary, " + ", ".join(f"{c} long" for c in columns))
+    toxic = sum((F.sum(c) for c in columns[3::2]), F.sum(columns[1]))
+    counts = staged(counts.groupBy("word").agg(*(F.sum(c).alias(c) for c in columns), toxic.alias("toxic")).filter("toxic >= 2"), "toxic-words")
     out = []
-    for halves in ((0,), (1,), (0, 1)):
-        n0, n1 = (sum(sizes.get((h, label), 0) for h in halves) for label in (0, 1))
-        non, tox = (sum((F.col(f"n{2 * h + label}") for h in halves), F.lit(0)) for label in (0, 1))
+    for left_out in range(FOLDS + 1):
+        used = [k for k in range(FOLDS) if k != left_out]
+        n0, n1 = (sum(sizes.get((k, label), 0) for k in used) for label in (0, 1))
+        non, tox = (sum((F.col(f"n{2 * k + label}") for k in used), F.lit(0)) for label in (0, 1))
         lift = F.log((tox + 0.5) / (n1 + 1)) - F.log((non + 0.5) / (n0 + 1))
         rows = (
-            counts.filter((tox >= max(3.0, MIN_SHARE * n1)) & (lift >= MIN_LIFT))
+            counts.filter((tox >= max(2.0, MIN_SHARE * n1)) & (lift >= MIN_LIFT))
             .orderBy(tox.desc(), "word")
-            .limit(MAX_LEARNED)
+            .limit(max_learned)
             .select("word")
             .collect()
         )
         out.append([bytes(r["word"]) for r in rows])
-    return tuple(out)
+    return out
 
 
 def train(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic",
-    modulus: int = 3, held: int = 1, sample_limit: int = 30_000,
+    modulus: int = 3, held: int = 1, sample_limit: int = 30_000, max_learned: int = 1000,
 ) -> Model:
     """Fit on at most sample_limit labelled rows outside the fold crc32(id) mod modulus = held.
 
-    Four fifths of the sample grow the trees, one fifth (by the hash of the id) calibrates them. With no rows of one label
-    there are no trees: texts with a listed insult score 0.9, others the share of toxic labels (0 without labels).
+    The sample has FOLDS parts by the hash of the id. A row's features use the words learned from the other parts, so trees
+    don't trust a word for having been learned from that very row, and growing and scoring see lexicons of nearly one size.
+    Raw scores of each part by trees grown on the others are calibrated together, so every row of the sample calibrates; the
+    final trees are grown on all rows. A leaf needs min_rows rows at any size of the sample. Without rows of both labels
+    nothing can be learned: texts with a listed insult then score 0.9, others the share of toxic labels (0 without labels).
     """
     sample = labelled.sample(docs, labels, id_col, text_col, label, modulus, held, sample_limit)
-    sample = staged(sample.withColumn("half", F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(2)).cast("int")), "toxic-sample")
-    even, odd, both = learned_words(sample)
-    lexicon, other = Lexicon(both), (Lexicon(odd), Lexicon(even))
+    sample = staged(sample.withColumn("fold", F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(FOLDS)).cast("int")), "toxic-sample")
+    learned = learned_words(sample, max_learned)
+    lexicons = [Lexicon(x) for x in learned]
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            rows = [features(t or b"", other[h]) for t, h in zip(x["text"], x["half"])]
-            yield pd.DataFrame({"id": x["id"], "label": x["label"], "x": rows})
+            rows = [features(t or b"", lexicons[k]) for t, k in zip(x["text"], x["fold"])]
+            yield pd.DataFrame({"id": x["id"], "fold": x["fold"], "label": x["label"], "x": rows})
 
-    got = sample.mapInPandas(measure, "id long, label int, x array<double>").toPandas()
-    if got["label"].nunique() < 2 or len(got) < 20:
-        return Model(lexicon, None, None, float(got["label"].mean()) if len(got) else 0.0)
+    got = sample.mapInPandas(measure, "id long, fold int, label int, x array<double>").toPandas()
+    if got["label"].nunique() < 2:
+        return Model(lexicons[-1], None, None, float(got["label"].mean()) if len(got) else 0.0)
     got = got.sort_values("id", kind="stable")
-    x, y = np.array(got["x"].tolist()), got["label"].to_numpy(float)
-    keep = pd.util.hash_array(got["id"].to_numpy()) % 5 != 0
-    if len(set(y[keep])) < 2 or len(set(y[~keep])) < 2:
-        keep = np.ones(len(y), dtype=bool)
-    trees = Boosted().fit(x[keep], y[keep])
-    check = ~keep if not keep.all() else keep
-    return Model(lexicon, trees, isotonic.fit(trees.raw(x[check]), y[check]), float(y.mean()))
+    x, y, fold = np.array(got["x"].tolist()), got["label"].to_numpy(float), got["fold"].to_numpy()
+    raw = np.empty(len(y))
+    for k in np.unique(fold):
+        out = fold == k
+        raw[out] = Boosted().fit(x[~out], y[~out]).raw(x[out]) if (~out).any() else 0.0
+    return Model(lexicons[-1], Boosted().fit(x, y), isotonic.fit(raw, y), float(y.mean()))
 
 
 def score(
