@@ -16,9 +16,9 @@ from corvina.llm.common import staged
 
 #: Words whose ids a worker remembers in each of two generations.
 CACHE = 400_000
-#: Pieces that one packer takes, on average.
+#: Pieces that one packer takes, on average, in every round.
 PACKER_ROWS = 20_000
-#: Sequences filled to less than this share are opened again in the last rounds.
+#: Sequences filled to less than this share are opened again while that saves sequences.
 GOOD_FILL = 0.98
 
 
@@ -107,7 +107,7 @@ def word_tokenizer(path: str) -> WordTokenizer:
 
 PIECES = pa.schema([
     ("id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
-    ("ids_crc32", pa.int64()), ("ids", pa.binary()), ("text_hash", pa.int64()),
+    ("ids_crc32", pa.int64()), ("ids", pa.binary()),
 ])
 
 
@@ -122,11 +122,11 @@ def pieces(
         for x in batches:
             texts = [t or b"" for t in x.column("text").to_pylist()]
             out: list[list] = [[] for _ in PIECES]
-            for key, h, ids in zip(x.column("id").to_pylist(), x.column("text_hash").to_pylist(), words.batch(texts)):
+            for key, ids in zip(x.column("id").to_pylist(), words.batch(texts)):
                 ids += end
                 for k, lo in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[lo : lo + 4 * capacity]
-                    row = (key, k, lo // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None, h)
+                    row = (key, k, lo // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None)
                     for column, value in zip(out, row):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, PIECES)], schema=PIECES)
@@ -134,37 +134,35 @@ def pieces(
     src = df.select(
         F.col(id_col).cast("long").alias("id"),
         F.col(text_col).cast("string").cast("binary").alias("text"),
-        F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"),
     )
-    schema = "id long, piece int, start long, length long, ids_crc32 long, ids binary, text_hash long"
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(run, "id long, piece int, start long, length long, ids_crc32 long, ids binary")
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """(sequence, offset) of each piece, placed in the order given.
 
-    count[g] is the number of open sequences with gap g. A piece goes to the gap, or to a new sequence, after which the sum
-    of count[g]**2 over 0 < g < capacity is smallest; ties go to the smallest gap, a new sequence comes last.
+    count[g] is the number of open sequences with gap g. A piece goes to the gap after which the sum of count[g]**2 over
+    0 < g < capacity is smallest, ties to the smallest gap; a new sequence is begun only where it fits in no gap. All pieces
+    are known and come longest first, so a sequence that is begun early to balance the gaps would only be one more.
     """
     count = np.zeros(capacity + 1, dtype=np.int64)
     open_: list[list[int]] = [[] for _ in range(capacity + 1)]
     sequence, offset = np.empty(len(lengths), dtype=np.int64), np.empty(len(lengths), dtype=np.int64)
-    made = 0
+    made, closed = 0, 1 << 60
     for i, s in enumerate(lengths.tolist()):
-        if s == capacity:
-            sequence[i], offset[i] = made, 0
-            made += 1
-            continue
-        change = 2 - 2 * count[s:capacity] + 2 * count[: capacity - s]  # gap g -> g - s
-        change[0] = 1 - 2 * count[s]  # filled up
-        change[count[s:capacity] == 0] = 1 << 60
-        g = int(change.argmin())
-        if change[g] <= 1 + 2 * count[capacity - s]:
-            g += s
+        g = capacity
+        if s < capacity:
+            change = 2 - 2 * count[s:capacity] + 2 * count[: capacity - s]  # gap g -> g - s
+            change[0] = 1 - 2 * count[s]  # filled up
+            change[count[s:capacity] == 0] = closed
+            best = int(change.argmin())
+            if change[best] < closed:
+                g = s + best
+        if g < capacity:
             at = open_[g].pop()
             count[g] -= 1
         else:
-            g, at = capacity, made
+            at = made
             made += 1
         sequence[i], offset[i] = at, capacity - g
         if g > s:
@@ -173,10 +171,6 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     return sequence, offset
 
 
-def _order(x: pd.DataFrame) -> pd.DataFrame:
-    return x.sort_values(["length", "id", "piece"], ascending=[False, True, True], kind="stable")
-
-
 def pack(
     df: DataFrame,
     tokenizer_path: str,
@@ -184,52 +178,54 @@ def pack(
     text_col: str = "text",
     capacity: int = 2048,
     with_ids: bool = False,
+    packer_rows: int = PACKER_ROWS,
 ) -> DataFrame:
     """Pack all rows into sequences of at most capacity ids; only longer ones are cut.
 
-    Packers take about PACKER_ROWS pieces each, dealt by hash, longest first, by the sum-of-squares rule. Sequences that
-    stay under GOOD_FILL are opened and packed again in rounds of fewer packers, until one packer is left or nothing is
-    under it, so that the loss is that of one packer and not one for each packer.
+    Packers take about packer_rows pieces each, dealt by hash, longest first, by the sum-of-squares rule. The pieces of
+    sequences under GOOD_FILL are dealt anew, again about packer_rows to a packer, as long as that makes fewer sequences of
+    them; a round that doesn't is thrown away. So the loss is that of one packer and not one for each, and where no better
+    filling exists (pieces that are all over half of capacity) it ends after two rounds.
 
-    Edge cases: a null or empty text is one piece of the end id alone; rows that are repeated are each packed (equal rows
-    are told apart by their order in a packer); a null id is an id of its own; an empty table gives no rows; other columns
-    are ignored.
+    Edge cases: a null or empty text is one piece of the end id alone; rows that are repeated, and rows with a null id, are
+    each packed (pieces are told apart by a row number); an empty table gives no rows; other columns are ignored.
     Returns id_col, piece, start, length, ids_crc32, sequence_id, offset, and ids if asked for.
     """
-    made = staged(pieces(df, id_col, text_col, tokenizer_path, capacity, with_ids=with_ids), "pieces")
-    todo = made.drop("ids")
-    n = todo.count()
-    done: list[DataFrame] = []
-    packers, level = max(1, -(-n // PACKER_ROWS)), 0
-    schema = "id long, piece int, start long, length long, ids_crc32 long, text_hash long, sequence_id long, offset long, fill long"
-    while True:
-        last = packers == 1
-        base = level << 56
-
-        def run(x: pd.DataFrame) -> pd.DataFrame:  # staged below, before base changes
-            x = _order(x)
+    coded = pieces(df, id_col, text_col, tokenizer_path, capacity, with_ids=with_ids)
+    made = staged(coded.withColumn("row", F.monotonically_increasing_id()), "pieces")
+    schema = "id long, piece int, start long, length long, ids_crc32 long, row long, sequence_id long, offset long, fill long"
+
+    def placed(todo: DataFrame, packers: int, level: int) -> DataFrame:
+        def run(x: pd.DataFrame) -> pd.DataFrame:
+            x = x.sort_values(["length", "id", "piece", "row"], ascending=[False, True, True, True], kind="stable")
             sequence, offset = sum_of_squares(x["length"].to_numpy(), capacity)
             fill = np.bincount(sequence, x["length"].to_numpy()).astype(np.int64)
-            return x.drop(columns="packer").assign(
-                sequence_id=base + (int(x["packer"].iloc[0]) << 32) + sequence, offset=offset, fill=fill[sequence]
-            )
-
-        dealt = todo.withColumn("packer", F.pmod(F.xxhash64(F.lit(level), "id", "piece"), F.lit(packers)).cast("int"))
-        packed = staged(dealt.groupBy("packer").applyInPandas(run, schema), f"packed{level}")
-        good = F.lit(True) if last else F.col("fill") >= int(GOOD_FILL * capacity)
-        done.append(packed.filter(good).drop("fill"))
-        if last:
+            number = (level << 56) + (int(x["packer"].iloc[0]) << 32) + sequence
+            return x.drop(columns="packer").assign(sequence_id=number, offset=offset, fill=fill[sequence])
+
+        dealt = todo.withColumn("packer", F.pmod(F.xxhash64(F.lit(level), "row"), F.lit(packers)).cast("int"))
+        return staged(dealt.groupBy("packer").applyInPandas(run, schema), f"packed{level}")
+
+    def sizes(x: DataFrame) -> tuple[int, int]:
+        return tuple(x.agg(F.count("*"), F.count(F.when(F.col("offset") == 0, 1))).first())
+
+    packers, level = max(1, -(-made.count() // packer_rows)), 0
+    packed, done = placed(made.drop("ids"), packers, 0), []
+    good = F.col("fill") >= int(GOOD_FILL * capacity)
+    while packers > 1:
+        n, sequences = sizes(packed.filter(~good))
+        packers, level = -(-n // packer_rows), level + 1
+        if not n:
             break
-        todo = packed.filter(~good).drop("sequence_id", "offset", "fill")
-        left = todo.count()
-        if not left:
+        again = placed(packed.filter(~good).drop("sequence_id", "offset", "fill"), packers, level)
+        if sizes(again)[1] >= sequences:
             break
-        packers, level = min(max(1, -(-left // PACKER_ROWS)), packers // 2), level + 1
-    out = done[0]
-    for x in done[1:]:
+        done.append(packed.filter(good))
+        packed = again
+    out = packed
+    for x in done:
         out = out.unionByName(x)
-    out = out.drop("text_hash")
+    out = out.drop("fill")
     if with_ids:
-        ids = made.select("id", "piece", "ids").distinct()
-        out = out.join(ids, out["id"].eqNullSafe(ids["id"]) & (out["piece"] == ids["piece"])).drop(ids["id"]).drop(ids["piece"])
-    return out.withColumnRenamed("id", id_col)
+        out = out.join(made.select("row", "ids"), "row")
+    return out.drop("row").withColumnRenamed("id", id_col)
