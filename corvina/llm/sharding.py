@@ -1,4 +1,4 @@
-"""Sharding of indivisible groups by Karmarkar-Karp differencing, in two levels."""
+"""Sharding of indivisible groups by Karmarkar-Karp differencing, in levels."""
 
 from __future__ import annotations
 
@@ -10,10 +10,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvina.llm.common import partitions, staged
+from corvina.llm.common import staged
 
 #: Copies of a group's shard that its rows are dealt over, and pieces of a shard that are numbered on their own.
 SALTS = 32
+#: Partial partitions that one task of a further level combines at most, on average.
+FAN = 1024
+#: Rows that are numbered in one sorted run, on average.
+RUN_ROWS = 100_000
 
 
 def differencing(parts: list[tuple[float, ...]]) -> tuple[np.ndarray, tuple[float, ...]]:
@@ -59,68 +63,87 @@ def differencing(parts: list[tuple[float, ...]]) -> tuple[np.ndarray, tuple[floa
     return place, tuple(sums[top])
 
 
+def _combine(n_shards: int):
+    """For the partial partitions under one parent: where each of their parts goes."""
+
+    def run(x: pd.DataFrame) -> pd.DataFrame:
+        nodes, at = np.unique(x["bucket"].to_numpy(), return_inverse=True)
+        sums = np.zeros((len(nodes), n_shards), dtype=np.int64)
+        sums[at, x["part"].to_numpy()] = x["size"].to_numpy()
+        place, _ = differencing([tuple(r) for r in sums.tolist()])
+        return pd.DataFrame({
+            "bucket": np.repeat(nodes, n_shards), "part": np.tile(np.arange(n_shards), len(nodes)),
+            "parent": x["parent"].iloc[0], "goes": place.ravel(), "size": sums.ravel(),
+        })
+
+    return run
+
+
+def _combined(placed: DataFrame, n_buckets: int, n_shards: int) -> DataFrame:
+    """(bucket, part, shard): the partial partitions of all buckets combined into one, FAN to a task, level by level."""
+    nodes = placed.groupBy("bucket", "part").agg(F.sum("size").alias("size"))
+    found, n = nodes.select("bucket", "part", F.col("bucket").alias("top"), F.col("part").alias("shard")), n_buckets
+    while n > 1:
+        n = -(-n // FAN)
+        dealt = nodes.withColumn("parent", F.pmod("bucket", F.lit(n)).cast("int"))
+        made = dealt.groupBy("parent").applyInPandas(_combine(n_shards), "bucket int, part int, parent int, goes int, size long")
+        made = staged(made, "combined")
+        step = made.select(F.col("bucket").alias("top"), F.col("part").alias("shard"), "parent", "goes")
+        found = found.join(step, ["top", "shard"]).select("bucket", "part", F.col("parent").alias("top"), F.col("goes").alias("shard"))
+        nodes = made.groupBy(F.col("parent").alias("bucket"), F.col("goes").alias("part")).agg(F.sum("size").alias("size"))
+    return found.select("bucket", "part", "shard")
+
+
 def shard(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_shards: int = 16, max_rows: int = 200_000
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_shards: int = 16, max_rows: int = 65_536
 ) -> DataFrame:
     """Law `bytes`: rows with equal texts stay together, shards get near equal bytes.
 
     1. Sizes are summed by group (128-bit hash of the text) with map-side aggregation, so a group of any number of rows
-       costs one row. 2. Each of B buckets of groups is differenced on its own into a partial partition of n_shards sums.
-    3. The B partial partitions (B rows of n_shards numbers, whatever the rows) are differenced on the driver: the method
-       takes partial partitions as items, so nothing else is needed. B grows with the groups: max_rows of them each.
-    Slots are numbered in pieces of a shard and shifted by the rows of the pieces before.
-
-    Edge cases: a null text counts as an empty one (size 1, crc32 0) and is grouped with those; repeated rows are members of
-    their group and each get a slot; a null id is numbered first in its piece; fewer groups than shards leave shards empty;
-    an empty table gives no rows; other columns are ignored.
+       costs one row. 2. Up to max_rows groups are differenced in one task; more are dealt by hash to buckets of about
+       max_rows, each differenced into a partial partition of n_shards sums. 3. Partial partitions are items of the same
+       method, so they are differenced again, FAN of them to a task, level by level, until one is left.
+    The number of buckets depends on the groups alone. Slots are numbered in runs of a shard and shifted by the rows of the
+    runs before.
+
+    Edge cases: a null text counts as an empty one (size 1, crc32 0) and is grouped with those; repeated rows and rows with
+    a null id are members of their group and each get a slot; fewer groups than shards leave shards empty; an empty table
+    gives no rows; other columns are ignored.
     Returns id_col, size, text_crc32, law, shard, slot, grown_shard (null).
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    rows = staged(
-        df.select(
-            F.col(id_col).cast("long").alias("id"),
-            (F.octet_length(text) + 1).cast("long").alias("size"),
-            F.crc32(text).alias("text_crc32"),
-            F.unhex(F.md5(text)).alias("g"),
-        ),
-        "sizes",
+    rows = df.select(
+        F.col(id_col).cast("long").alias("id"),
+        (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text).alias("text_crc32"),
+        F.unhex(F.md5(text)).alias("g"),
     )
-    groups = rows.groupBy("g").agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.min("id").alias("first"))
+    rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), "sizes")
+    salt = F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")
+    groups = rows.groupBy("g").agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.collect_set(salt).alias("salts"))
     groups = staged(groups, "groups")
-    n_buckets = max(1, -(-groups.count() // max_rows), min(partitions(df.sparkSession), 64))
+    n_groups, n_rows = groups.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    n_buckets = max(1, -(-n_groups // max_rows))
     groups = groups.withColumn("bucket", F.pmod(F.xxhash64("g"), F.lit(n_buckets)).cast("int"))
 
     def partial(x: pd.DataFrame) -> pd.DataFrame:
         x = x.sort_values(["size", "g"], ascending=[False, True], kind="stable")
         zeros = (0,) * (n_shards - 1)
         place, _ = differencing([(s, *zeros) for s in x["size"].tolist()])
-        return pd.DataFrame({"g": x["g"], "n": x["n"], "first": x["first"], "size": x["size"], "bucket": x["bucket"], "part": place[:, 0]})
+        return pd.DataFrame({"g": x["g"], "size": x["size"], "bucket": x["bucket"], "part": place[:, 0]})
 
-    placed = staged(
-        groups.groupBy("bucket").applyInPandas(partial, "g binary, n long, first long, size long, bucket int, part int"), "partial"
-    )
-    spark = df.sparkSession
-    sums = placed.groupBy("bucket", "part").agg(F.sum("size").alias("size")).collect()  # n_buckets * n_shards at most
-    by_bucket: dict[int, list[int]] = {}
-    for r in sums:
-        by_bucket.setdefault(r["bucket"], [0] * n_shards)[r["part"]] = r["size"]
-    buckets = sorted(by_bucket)
-    final = []
-    if buckets:
-        place, _ = differencing([tuple(by_bucket[b]) for b in buckets])
-        final = [(b, j, int(place[i, j])) for i, b in enumerate(buckets) for j in range(n_shards)]
-    mapping = spark.createDataFrame(final, "bucket int, part int, shard int")
-    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int")
-    salts = F.when(F.col("n") == 1, F.array(salt("first"))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    where = placed.join(F.broadcast(mapping), ["bucket", "part"]).select("g", "shard", F.explode(salts).alias("salt"))
-    out = rows.withColumn("salt", salt("id")).join(where, ["g", "salt"]).select("id", "size", "text_crc32", "shard")
-    n_pieces = n_buckets * 4
-    out = staged(out.withColumn("piece", F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(n_pieces)).cast("int")), "placed")
-    counts = out.groupBy("shard", "piece").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("shard").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    dealt = groups.select("g", "size", "bucket").groupBy("bucket")
+    placed = staged(dealt.applyInPandas(partial, "g binary, size long, bucket int, part int"), "partial")
+    where = placed.join(staged(_combined(placed, n_buckets, n_shards), "shards"), ["bucket", "part"]).select("g", "shard")
+    where = where.join(groups.select("g", F.explode("salts").alias("salt")), "g")
+    out = rows.withColumn("salt", salt).join(where, ["g", "salt"]).select("id", "size", "text_crc32", "row", "shard")
+    n_runs = max(1, -(-n_rows // (n_shards * RUN_ROWS)))
+    out = staged(out.withColumn("run", F.pmod(F.xxhash64(F.lit(2), "row"), F.lit(n_runs)).cast("int")), "placed")
+    counts = out.groupBy("shard", "run").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("shard").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    place_in = F.row_number().over(Window.partitionBy("shard", "piece").orderBy("id", "text_crc32"))
-    return out.withColumn("place", place_in).join(offsets, ["shard", "piece"]).select(
+    place_in = F.row_number().over(Window.partitionBy("shard", "run").orderBy("id", "row"))
+    return out.withColumn("place", place_in).join(offsets, ["shard", "run"]).select(
         F.col("id").alias(id_col),
         "size",
         "text_crc32",
