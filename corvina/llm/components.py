@@ -8,14 +8,19 @@ from pyspark.sql import functions as F
 from corvina.llm.common import staged
 
 
+#: A node's smallest neighbour is looked up under so many salts, so that the edges of one node are dealt out.
+SALTS = 16
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One step: each node links its larger (large) or its smaller neighbours and itself to its smallest neighbour."""
     if large:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-    linked = both.join(least, "a")
+    salt = F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.collect_set(salt).alias("salts")).withColumn("m", F.least("a", "m"))
+    linked = both.withColumn("salt", salt).join(least.select("a", "m", F.explode("salts").alias("salt")), ["a", "salt"])
     if large:
         out = linked.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -25,7 +30,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter(F.col("a") != F.col("b")).distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """edges(a, b) -> (node, root): each node that has an edge, with the smallest node it reaches (root itself included).
 
     After every round the edges are written to the shared folder, which also cuts the lineage. Rounds go on until the
@@ -33,13 +38,11 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """
     now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
     mark = None
-    for _ in range(max_rounds):
+    while True:
         now = staged(_star(_star(now, True), False), "edges")
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(seen) == mark:
+        seen = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if seen == mark:
             break
-        mark = tuple(seen)
-    else:
-        raise RuntimeError("components did not settle")
+        mark = seen
     out = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return out.union(out.select(F.col("root").alias("node"), "root").distinct())

@@ -18,8 +18,10 @@ BITS = 64
 LEAF = 8
 #: Node pairs that are traversed at once; it bounds the memory of the traversal.
 FRONTIER = 1 << 18
-#: Copies of a fingerprint's component row that its documents are dealt over.
+#: Salts under which a fingerprint's documents, and a component's fingerprints, are dealt out.
 SALTS = 32
+#: Fingerprints of a block that a task takes, on average, and at most of one lead before its tries are split.
+TASK_ROWS = 250_000
 
 
 def fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -34,35 +36,33 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int) -> Dat
     return src.mapInPandas(run, "id long, fp long")
 
 
-class _Sets:
-    """Union-find over 0..n-1 with path halving; the smaller index becomes the root."""
+def merged(up: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Unite a[i] and b[i] in the forest up, in which smaller indices are the roots; all pairs at once."""
+    while len(a):
+        a, b = up[a], up[b]
+        while (up[a] != a).any() or (up[b] != b).any():
+            a, b = up[a], up[b]
+        open_ = a != b
+        a, b = a[open_], b[open_]
+        np.minimum.at(up, np.maximum(a, b), np.minimum(a, b))
 
-    def __init__(self, n: int):
-        self.up = list(range(n))
 
-    def find(self, x: int) -> int:
-        up = self.up
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
+def roots_of(up: np.ndarray) -> np.ndarray:
+    while ((far := up[up]) != up).any():
+        up = far
+    return up
 
-    def union(self, a: int, b: int) -> None:
-        a, b = self.find(a), self.find(b)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
 
+def trie_links(keys: np.ndarray, pairs: tuple[np.ndarray, ...], top: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Join of binary tries: for each of pairs (alo, ahi, blo, bhi, diff) the tries over keys[alo:ahi] and keys[blo:bhi],
+    a trie with itself included; yields index pairs that lie within the budget.
 
-def trie_links(keys: np.ndarray, roots: list[tuple[int, int]], top: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Self-join of the binary tries over keys[lo:hi] for each root; yields index pairs that lie within the budget.
-
-    keys: sorted, different unsigned 64-bit numbers; the keys of a root agree on their highest top bits. A node is a range
-    of keys that share a prefix. The traversal takes pairs of nodes, one bit deeper each step: children on the same side
+    keys: sorted, different unsigned 64-bit numbers; the keys of a trie agree on their highest top bits, in which the two
+    tries of a pair differ by diff bits. A node is a range of keys that share a prefix. The traversal takes pairs of nodes, one bit deeper each step: children on the same side
     keep their differing bits, those on opposite sides gain one, and a pair over the budget is pruned. Pairs of nodes whose
     remaining bits can't exceed the budget are linked as stars without being compared; pairs of leaves are compared whole.
     """
-    pending = [(top, *(np.array(v, dtype=np.int64) for v in ([r[0] for r in roots], [r[1] for r in roots])))]
-    stack = [(d, lo, hi, lo.copy(), hi.copy(), np.zeros(len(lo), dtype=np.int64)) for d, lo, hi in pending if len(lo)]
+    stack = [(top, *pairs)] if len(pairs[0]) else []
     while stack:
         depth, alo, ahi, blo, bhi, diff = stack.pop()
         if len(alo) > FRONTIER:
@@ -128,43 +128,83 @@ def _rotl(x: np.ndarray, by: int) -> np.ndarray:
     return x if by == 0 else (x << np.uint64(by)) | (x >> np.uint64(BITS - by))
 
 
-def links(fps: DataFrame, budget: int) -> DataFrame:
+def links(fps: DataFrame, budget: int, task_rows: int = TASK_ROWS) -> DataFrame:
     """Links (a, b) between different fingerprints that connect all pairs within the budget; stars, not all pairs.
 
     Two fingerprints within the budget agree on one of budget + 1 blocks. Each fingerprint goes to each of its blocks,
-    rotated so that the block leads; the tries of a block's fingerprints are joined from below the block. Of the pairs
-    found in a partition only a spanning forest leaves it, so a group of near copies gives as many links as members.
+    rotated so that the block leads; the tries of a block's fingerprints are joined from below the block. A lead of more
+    than task_rows fingerprints is split by its next bits into nodes, and every pair of nodes that differ in no more bits
+    than the budget is a group of its own. Of the pairs found in a task only a spanning forest leaves it, so a group of near
+    copies gives as many links as members.
     """
     plan = _rotations(budget)
 
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got = list(batches)
-        x = pd.concat(got) if got else pd.DataFrame({"block": [], "fp": []})
-        for k, (by, width) in enumerate(plan):
-            keys = np.sort(_rotl(x.loc[x["block"] == k, "fp"].to_numpy(np.int64).view(np.uint64), by))
-            if len(keys) < 2:
-                continue
-            lead = keys >> np.uint64(BITS - width)
-            cut = np.flatnonzero(np.append(True, lead[1:] != lead[:-1]))
+        x = pd.concat(got) if got else pd.DataFrame({"block": [], "deep": [], "u": [], "v": [], "fp": []})
+        for (k, deep), part in x.groupby(["block", "deep"]):
+            by, width = plan[int(k)]
+            top = width + int(deep)
+            keys = _rotl(part["fp"].to_numpy(np.int64).view(np.uint64), by)
+            u, v = part["u"].to_numpy(np.int64), part["v"].to_numpy(np.int64)
+            order = np.lexsort((keys, v, u))
+            keys, u, v = keys[order], u[order], v[order]
+            lead = keys >> np.uint64(BITS - top)
+            group = np.append(True, (u[1:] != u[:-1]) | (v[1:] != v[:-1]) | (lead[1:] >> np.uint64(deep) != lead[:-1] >> np.uint64(deep)))
+            cut = np.flatnonzero(group | np.append(True, lead[1:] != lead[:-1]))
             ends = np.append(cut[1:], len(keys))
-            many = ends - cut > 1
-            sets = _Sets(len(keys))
-            for a, b in trie_links(keys, list(zip(cut[many], ends[many])), width, budget):
-                for i, j in zip(a.tolist(), b.tolist()):
-                    sets.union(i, j)
-            root = np.array([sets.find(i) for i in range(len(keys))], dtype=np.int64)
+            own = (u == v)[cut] & (ends - cut > 1)  # a node with itself; else the two nodes of a group
+            first = np.flatnonzero(~(u == v)[cut] & group[cut])
+            first = first[first + 1 < len(cut)]
+            first = first[~group[cut[first + 1]]]
+            diff = np.bitwise_count(lead[cut[first]] ^ lead[cut[np.minimum(first + 1, len(cut) - 1)]]).astype(np.int64)
+            pairs = (
+                np.concatenate([cut[own], cut[first]]), np.concatenate([ends[own], ends[first]]),
+                np.concatenate([cut[own], cut[first + 1]]), np.concatenate([ends[own], ends[first + 1]]),
+                np.concatenate([np.zeros(own.sum(), dtype=np.int64), diff]),
+            )
+            up = np.arange(len(keys))
+            for a, b in trie_links(keys, pairs, top, budget):
+                merged(up, a, b)
+            root = roots_of(up)
             linked = np.flatnonzero(root != np.arange(len(keys)))
             back = _rotl(keys, (BITS - by) % BITS).view(np.int64)
             yield pd.DataFrame({"a": back[linked], "b": back[root[linked]]})
 
+    n = fps.count()
     blocks = F.array(*(
-        F.struct(F.lit(k).alias("block"), _block_value("fp", by, width).alias("lead")) for k, (by, width) in enumerate(plan)
+        F.struct(F.lit(k).alias("block"), _block_value("fp", by, width).alias("lead"), _block_value("fp", (by + width) % BITS, DEEP).alias("next"))
+        for k, (by, width) in enumerate(plan)
     ))
-    dealt = fps.select("fp", F.explode(blocks).alias("x")).select("fp", "x.block", "x.lead")
-    return dealt.repartition(partitions(fps.sparkSession), "block", "lead").select("block", "fp").mapInPandas(join, "a long, b long")
+    each = fps.select("fp", F.explode(blocks).alias("x")).select("fp", "x.*")
+    if n <= task_rows:  # no lead can be over it
+        nodes = each.select("block", "lead", "fp", *(F.lit(0).alias(c) for c in ("deep", "u", "v")))
+    else:
+        sizes = each.groupBy("block", "lead").agg(F.count("*").alias("n")).filter(F.col("n") > task_rows)
+        bits = F.least(F.lit(DEEP), F.ceil(F.log2(F.col("n") / task_rows))).cast("int")
+        split = each.join(F.broadcast(sizes.select("block", "lead", bits.alias("deep"))), ["block", "lead"], "left")  # 2 ** width leads a block
+        split = split.withColumn("deep", F.coalesce("deep", F.lit(0))).withColumn("c", F.call_function("shiftright", F.col("next"), F.lit(DEEP) - F.col("deep")).cast("int"))
+        near = F.filter(
+            F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), F.col("deep")) - 1), lambda y: F.bit_count(y.bitwiseXOR(F.col("c"))) <= budget
+        )
+        nodes = split.withColumn("y", F.explode(near)).select(
+            "block", "lead", "fp", "deep", F.least("c", "y").alias("u"), F.greatest("c", "y").alias("v")
+        )
+    tasks = max(partitions(fps.sparkSession), -(-n * len(plan) // task_rows))
+    dealt = nodes.repartition(tasks, "block", "lead", "u", "v").select("block", "deep", "u", "v", "fp")
+    return dealt.mapInPandas(join, "a long, b long")
+
+
+#: A lead's tries are split by at most so many further bits.
+DEEP = 10
 
 
 def _block_value(name: str, start: int, width: int) -> Column:
+    """width bits of the fingerprint from bit start (the highest is 0), going on at the front beyond the end."""
+    over = start + width - BITS
+    if over > 0:
+        low = _block_value(name, 0, over)
+        return F.shiftleft(_block_value(name, start, width - over), over).bitwiseOR(low)
     shifted = F.shiftrightunsigned(name, BITS - start - width)
     return shifted.bitwiseAND(F.lit((1 << width) - 1).cast("long"))
 
@@ -180,24 +220,17 @@ def near_duplicates(
     whole; repeated rows and ids share their component; a null id is never the smallest and gets its component's id
     (null if it has no other); an empty table gives no rows; other columns are ignored.
     """
-    marked = staged(fingerprints(df, id_col, text_col, shingle), "fingerprints")
-    nodes = marked.groupBy("fp").agg(F.min("id").alias("first_id"), F.count("*").alias("n"))
+    source = fingerprints(df, id_col, text_col, shingle)
+    marked = staged(source.withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")), "fingerprints")
+    nodes = staged(marked.groupBy("fp").agg(F.min("id").alias("first_id"), F.collect_set("salt").alias("salts")), "nodes")
     reached = components(staged(links(nodes.select("fp"), budget), "links"))
+    mine = F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")
     labelled = nodes.join(reached, nodes["fp"] == reached["node"], "left").select(
-        "fp", "n", "first_id", F.coalesce("root", "fp").alias("root")
-    )
-    smallest = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of = labelled.join(smallest, "root").select("fp", "n", "first_id", "component_id")
-    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int")
-    dealt = of.select(
-        "fp",
-        "component_id",
-        F.explode(
-            F.when(F.col("n") == 1, F.array(salt("first_id"))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-        ).alias("salt"),
+        "fp", "salts", "first_id", F.coalesce("root", "fp").alias("root"), mine.alias("salt")
     )
-    return (
-        marked.withColumn("salt", salt("id"))
-        .join(dealt, ["fp", "salt"])
-        .select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    smallest = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"), F.collect_set("salt").alias("roots_salts"))
+    smallest = smallest.select("root", "component_id", F.explode("roots_salts").alias("salt"))
+    of = labelled.join(smallest, ["root", "salt"]).select("fp", "component_id", F.explode("salts").alias("salt"))
+    return marked.join(of, ["fp", "salt"]).select(
+        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
