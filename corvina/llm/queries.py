@@ -75,7 +75,7 @@ def op8_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.edited_likeness(_docs(spark, sf_dir))
+    return fingerprints.fingerprinted(_docs(spark, sf_dir))
 
 
 def op10_simhash_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
