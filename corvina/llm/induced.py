@@ -20,6 +20,7 @@ class BucketQueue:
 
     def __init__(self, budget: int):
         self.budget, self.held = budget, 0
+        self.spilled, self.most = 0, 0  # blocks that went to the file; bytes of positions popped at once
         self.blocks: list[list] = [[] for _ in range(ALPHABET)]
         self.file = None
 
@@ -33,19 +34,30 @@ class BucketQueue:
             self.file.write(pos.tobytes())
             self.file.write(lcp.tobytes())
             self.blocks[char].append((at, len(pos), pos.dtype))
+            self.spilled += 1
         else:
             self.held += size
             self.blocks[char].append((pos, lcp))
 
-    def pop(self, char: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """The tuples of a character in their order, those that are pushed meanwhile included, up to the budget at once."""
+    def pop(self, char: int, last_first: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The tuples of a character in their order, those that are pushed meanwhile included, up to the budget at once.
+
+        last_first: the latest ones come first; inside a block they keep their order.
+        """
         queue = self.blocks[char]
         while queue:
-            taken, size = [], 0
-            while queue and (not taken or size < self.budget):
-                taken.append(self._read(queue.pop(0)))
-                size += taken[-1][0].nbytes
-            yield np.concatenate([p for p, _ in taken]), np.concatenate([v for _, v in taken])
+            n, size = 0, 0
+            while n < len(queue) and (not n or size < self.budget):
+                block = queue[-1 - n] if last_first else queue[n]
+                size += block[0].nbytes if len(block) == 2 else block[1] * block[2].itemsize
+                n += 1
+            if last_first:
+                taken, queue[-n:] = queue[-n:], []
+            else:
+                taken, queue[:n] = queue[:n], []
+            read = [self._read(b) for b in taken]
+            self.most = max(self.most, size)
+            yield np.concatenate([p for p, _ in read]), np.concatenate([v for _, v in read])
 
     def _read(self, block) -> tuple[np.ndarray, np.ndarray]:
         if len(block) == 2:
@@ -193,12 +205,14 @@ def _ranked(names: np.ndarray, limit: int) -> np.ndarray:
     return np.argsort(rank, kind="stable")
 
 
-def sorted_suffixes(text: bytes | np.ndarray, limit: int, budget: int = 256 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Blocks (positions, common prefixes with the suffix before, at most limit) of all suffixes of text.
+def sorted_suffixes(
+    text: bytes | np.ndarray, limit: int, budget: int = 256 << 20, seen: list[BucketQueue] | None = None
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks (positions, common prefixes with the suffix before, at most limit) of all suffixes of text, largest suffix first.
 
-    Blocks come by falling first character; inside a block suffixes ascend, and the first one has common prefix 0. Suffixes
-    that agree on limit characters may stand in any order. text ends with one character 0 (not with two) and
-    holds no 255.
+    Suffixes that agree on limit characters may stand in any order. text ends with one character 0 (not with two) and holds
+    no 255. Blocks hold about budget bytes of positions at most; nothing of a whole character is brought into memory.
+    seen: takes the queues, for who wants to know how much they spilled.
 
     S* suffixes (smaller than their successor, after a larger one) are named by their substrings and ranked on the reduced
     string; L suffixes are induced from them over ascending characters, S suffixes from the L ones over descending
@@ -224,6 +238,9 @@ def sorted_suffixes(text: bytes | np.ndarray, limit: int, budget: int = 256 << 2
         return int(_common(padded, np.array([a]), np.array([b]), limit)[0])
 
     queue, done = BucketQueue(budget), BucketQueue(budget)
+    again = BucketQueue(budget)
+    if seen is not None:
+        seen += [queue, done, again]
     grow = _Inducer(text, ~small, queue, limit)
     for c in range(ALPHABET):
         last = None
@@ -238,35 +255,26 @@ def sorted_suffixes(text: bytes | np.ndarray, limit: int, budget: int = 256 << 2
             grow.feed(stars[lo:hi], lcp)
     queue.close()
 
-    queue = BucketQueue(budget)
-    shrink = _Inducer(text, small, queue, limit)
+    shrink = _Inducer(text, small, again, limit)
     for c in reversed(range(ALPHABET)):
-        down: list[tuple[np.ndarray, np.ndarray]] = []
-        for pos, lcp in queue.pop(c):
+        last = None
+        for pos, lcp in again.pop(c):
             shrink.feed(pos, lcp)
-            down.append((pos, lcp))
+            yield pos, lcp
+            last = pos[-1]
         if c == text[-1]:  # the last suffix has no successor to be induced from; it is the smallest S suffix of its character
-            end = np.array([n - 1], dtype=kind)
-            edge = np.array([meet(down[-1][0][-1], n - 1) if down else 0], dtype=np.uint8)
+            end, edge = np.array([n - 1], dtype=kind), np.array([0 if last is None else meet(last, n - 1)], dtype=np.uint8)
             shrink.feed(end, edge)
-            down.append((end, edge))
-        up = list(done.pop(c))
-        if not up and not down:
-            continue
-        pos = np.concatenate([p for p, _ in up] + [p[::-1] for p, _ in reversed(down)])
-        n_up = sum(len(p) for p, _ in up)
-        lcp = np.zeros(len(pos), dtype=np.uint8)
-        if n_up:
-            lcp[:n_up] = np.concatenate([v for _, v in up])
-        if down:
-            falling = np.concatenate([v for _, v in down])  # each with the larger suffix before it in the queue
-            lcp[n_up + 1 :] = falling[::-1][:-1] if len(falling) > 1 else falling[:0]
-            lcp[n_up] = meet(pos[n_up - 1], pos[n_up]) if n_up else 0
-        if n_up:
-            desc = np.zeros(n_up, dtype=np.uint8)
-            desc[1:] = lcp[1:n_up][::-1]
-            desc[0] = lcp[n_up] if down else 0
-            shrink.feed(pos[:n_up][::-1], desc)
-        yield pos, lcp
-    queue.close()
+            yield end, edge
+            last = n - 1
+        above = None  # the common prefix of the smallest suffix given so far with the one below it, once that is an L suffix
+        for pos, lcp in done.pop(c, last_first=True):
+            down = np.empty(len(pos), dtype=np.uint8)
+            down[0] = above if above is not None else 0 if last is None else meet(last, pos[-1])
+            down[1:] = lcp[1:][::-1]
+            above = lcp[0]
+            pos = pos[::-1]
+            shrink.feed(pos, down)
+            yield pos, down
+    again.close()
     done.close()

@@ -25,6 +25,8 @@ COPIES = -1  # in place of a salt: the documents of this row are copies of other
 BUCKET_BYTES = 8 << 20
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _LOW = np.uint64((1 << 24) - 1)
+# The primes of XXH64.
+_PRIMES = (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
 
 
 def _freed(df: DataFrame, name: str, *used: DataFrame) -> DataFrame:
@@ -170,8 +172,15 @@ def _copy_blobs(n_buckets: int):
 
 
 def _doc_bucket(docs: np.ndarray, n_buckets: int) -> np.ndarray:
-    """As the column expression pmod(id, n_buckets)."""
-    return np.mod(docs, n_buckets)
+    """As the column expression pmod(xxhash64(id), n_buckets): XXH64 of eight bytes, seed 42, for all documents at once."""
+    one, two, three, four, five = (np.uint64(p) for p in _PRIMES)
+    turned = lambda x, by: (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+    h = np.full(len(docs), (42 + _PRIMES[4] + 8) % (1 << 64), dtype=np.uint64)
+    h ^= turned(docs.astype(np.int64).view(np.uint64) * two, 31) * one
+    h = turned(h, 27) * one + four
+    h = (h ^ (h >> np.uint64(33))) * two
+    h = (h ^ (h >> np.uint64(29))) * three
+    return np.mod((h ^ (h >> np.uint64(32))).view(np.int64), n_buckets)
 
 
 def _strings(length: int, n_buckets: int):
@@ -233,10 +242,22 @@ def window_owners(strings: list[bytes], owners: np.ndarray, length: int, budget:
     sizes = np.fromiter(map(len, strings), dtype=np.int64, count=len(strings)) + 1
     own = np.repeat(owners, sizes)
     out = np.full(len(joined), np.iinfo(np.int64).max, dtype=np.int64)
+    run, owner = [], np.iinfo(np.int64).max  # the class that is still open at the end of a block
     for pos, lcp in sorted_suffixes(joined, length, budget):
-        start = np.flatnonzero(np.append(True, lcp[1:] < length))
+        start = np.flatnonzero(lcp < length)
+        if not len(start) or start[0]:  # the block begins inside the open class
+            head = pos[: start[0] if len(start) else len(pos)]
+            run.append(head)
+            owner = min(owner, int(own[head].min()))
+        if not len(start):
+            continue
+        for part in run:
+            out[part] = owner
         least = np.minimum.reduceat(own[pos], start)
-        out[pos] = np.repeat(least, np.diff(np.append(start, len(pos))))
+        out[pos[start[0] :]] = np.repeat(least, np.diff(np.append(start, len(pos))))
+        run, owner = [pos[start[-1] :]], int(least[-1])
+    for part in run:
+        out[part] = owner
     return out
 
 
@@ -309,14 +330,13 @@ def merged_spans(marks: list[bytes]) -> np.ndarray:
     return np.stack([spans[first, 0], far[np.append(first[1:], len(spans)) - 1]], axis=1)
 
 
-RESULT = pa.schema([
-    ("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),
-    ("kept_sha256", pa.string()), ("kept", pa.binary()), ("kept_text", pa.string()),
-])
-RESULT_SQL = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text string"
+RESULT = [
+    ("id", pa.int64(), "long"), ("n_bytes", pa.int64(), "long"), ("n_removed", pa.int64(), "long"), ("n_spans", pa.int64(), "long"),
+    ("kept_sha256", pa.string(), "string"), ("kept", pa.binary(), "binary"), ("kept_text", pa.string(), "string"),
+]
 
 
-def _results(length: int, with_kept: bool):
+def _results(length: int, with_kept: bool, carried: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             rows = []
@@ -334,13 +354,21 @@ def _results(length: int, with_kept: bool):
                 sha = hashlib.sha256(kept).hexdigest()
                 whole = "".join([p.decode("utf-8", "ignore") for p in pieces]) if with_kept else None
                 rows.append((doc, len(text), len(text) - len(kept), len(spans), sha, kept if with_kept else None, whole))
-            yield _table(RESULT, rows)
+            columns = [pa.array(list(c), kind) for c, (_, kind, _) in zip(zip(*rows) if rows else [[]] * len(RESULT), RESULT)]
+            more = [x.column("row")] if carried else []
+            yield pa.RecordBatch.from_arrays(columns + more, names=[n for n, *_ in RESULT] + ["row"] * carried)
 
     return run
 
 
 def remove_repeats(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, budget: int = 128 << 20, with_kept: bool = False
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    length: int = 50,
+    budget: int = 8 << 20,
+    with_kept: bool = False,
+    carry: list[str] | None = None,
 ) -> DataFrame:
     """Remove every byte that is covered by a string of length bytes that also starts in a row with a smaller id.
 
@@ -349,43 +377,58 @@ def remove_repeats(
        Only a window under such an anchor can be repeated, so nothing is lost, and single text is not sorted at all.
     3. Runs of windows under a shared anchor go to the shard of the anchor, equal runs of a batch once. There the suffixes
        of the different strings are sorted by external induction, whose common-prefix values give the classes of equal
-       windows; a window goes if its class starts in a smaller id.
+       windows; a window goes if its class starts in a smaller id. Queues over budget bytes go to disk.
     4. The spans of each row are merged and cut out.
     A shard holds about BUCKET_BYTES of candidate text at any size of the input; a bucket's pairs of anchor and row are
     filtered under SALTS salts; what a task holds for a passage of very many rows is 16 bytes a row.
 
-    Edge cases: a null text is an empty one; texts under length bytes lose nothing; rows with equal ids count as one row's
-    text each and don't match one another (the smaller id decides), and each get the union of the spans found for their id
-    only if their texts are equal, so ids should be unique; rows with a null id are left out; an empty table gives no rows;
+    Edge cases: a null text is an empty one; texts under length bytes lose nothing; rows with a null id come after all
+    others, and rows that repeat an id after one another, in the order of the table: each counts as a document of its own
+    (only then are the texts first sorted by id and numbered, which writes them once more); an empty table gives no rows;
     other columns are ignored.
-    Returns id_col, n_bytes, n_removed, n_spans, kept_sha256; if asked for also kept (bytes) and kept_text (without characters that a
-    cut went through).
+    Returns id_col, n_bytes, n_removed, n_spans, kept_sha256; if asked for also kept (bytes) and kept_text (without
+    characters that a cut went through), and the columns of carry in a struct named row.
     """
     spark = df.sparkSession
-    src = df.filter(F.col(id_col).isNotNull()).select(
+    src = df.select(
         F.col(id_col).cast("long").alias("id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"),
+        *([F.struct(*carry).alias("row")] if carry else []),
     )
-    sizes = _freed(src.select("id", F.octet_length("text").alias("n"), F.unhex(F.md5("text")).alias("g")), "texts")
+    light = lambda x: staged(x.select("id", F.octet_length("text").alias("n"), F.unhex(F.md5("text")).alias("g")), "texts")
+    sizes = light(src)
+    numbered = bool(sizes.filter("id is null").limit(1).count() or sizes.groupBy("id").count().filter("count > 1").limit(1).count())
+    if numbered:
+        order = [F.col("id").asc_nulls_last(), F.col("_n")]
+        rows = src.withColumn("_n", F.monotonically_increasing_id()).repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
+        src = staged(rows.drop("_n").withColumnRenamed("id", "_id").withColumn("id", F.monotonically_increasing_id()), "numbered")
+        sizes = light(src)
     total = sizes.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0
     n_buckets = max(partitions(spark), -(-total // BUCKET_BYTES))
     firsts = sizes.groupBy("g").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1")
     salted = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(31))))  # a text may be in a third of all rows
-    copies = sizes.select("id", "g", F.pmod("id", F.lit(32)).cast("int").alias("salt")).join(salted, ["g", "salt"])
+    copies = sizes.select("id", "g", F.pmod(F.xxhash64("id"), F.lit(32)).cast("int").alias("salt")).join(salted, ["g", "salt"])
     copies = _freed(copies.filter("id > first").select("id").distinct(), "copies")
 
-    pairs = _freed(src.filter(F.length("text") >= length).mapInArrow(_anchor_blobs(length, n_buckets), BLOBS_SQL), "anchors", sizes)
+    long_ = src.select("id", "text").filter(F.length("text") >= length)
+    pairs = _freed(long_.mapInArrow(_anchor_blobs(length, n_buckets), BLOBS_SQL), "anchors", sizes)
     shared = pairs.select("bucket", "keys").groupBy("bucket").applyInArrow(_shared, BLOBS_SQL)
     marked = pairs.groupBy("bucket", "salt").cogroup(shared.groupBy("bucket", "salt"))
     candidates = _freed(marked.applyInArrow(_candidates(n_buckets), BLOBS_SQL), "candidates", pairs)
 
     marked = candidates.unionByName(copies.mapInArrow(_copy_blobs(n_buckets), BLOBS_SQL))
-    texts = src.filter(F.length("text") >= length).withColumn("bucket", F.pmod("id", F.lit(n_buckets)).cast("int"))
+    texts = long_.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(n_buckets)).cast("int"))
     strings = texts.groupBy("bucket").cogroup(marked.groupBy("bucket")).applyInArrow(_strings(length, n_buckets), BLOBS_SQL)
     strings = _freed(strings, "strings", candidates)
     spans = _freed(strings.groupBy("bucket").applyInArrow(_removals(length, budget), MARKS_SQL), "spans", strings)
     by_row = spans.groupBy("id").agg(F.collect_list("marks").alias("marks"))
     flags = by_row.join(copies.withColumn("copy", F.lit(True)), "id", "full")
-    out = src.join(flags, "id", "left").select("id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "marks")
-    result = out.mapInArrow(_results(length, with_kept), RESULT_SQL)
+    shown = F.col("_id") if numbered else F.col("id")
+    out = src.join(flags, "id", "left").select(
+        shown.alias("id"), "text", F.coalesce("copy", F.lit(False)).alias("copy"), "marks", *(["row"] if carry else [])
+    )
+    schema = ", ".join(f"{n} {kind}" for n, _, kind in RESULT)
+    if carry:
+        schema += f", row {src.schema['row'].dataType.simpleString()}"
+    result = out.mapInArrow(_results(length, with_kept, bool(carry)), schema)
     return (result if with_kept else result.drop("kept", "kept_text")).withColumnRenamed("id", id_col)
