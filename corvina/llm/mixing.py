@@ -2,85 +2,118 @@
 
 from __future__ import annotations
 
-from itertools import product
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvina.llm.common import staged, words
+from corvina.llm import topics
+from corvina.llm.common import staged
 
 OTHER = "(other)"
+DIMENSIONS = ("source", "lang", "topic")
+#: Up to so many cells are raked on the driver; more are raked by joins and sums of the table of cells.
+DRIVER_CELLS = 200_000
+SALTS = 32
 
 
-def topic_of(text: Column) -> Column:
-    """A coarse topic that native expressions can tell: table, markup, list, note or prose."""
-    t = F.coalesce(text, F.lit(""))
-    n = F.greatest(F.length(t), F.lit(1))
-    bars = n - F.length(F.replace(t, F.lit("|"), F.lit("")))
-    marks = F.length(F.regexp_replace(t, "[^#*$%&<>]+", ""))
-    lines = n - F.length(F.replace(t, F.lit("\n"), F.lit(""))) + 1
-    return (
-        F.when(bars * 50 > n, "table")
-        .when(marks * 30 > n, "markup")
-        .when((lines > 4) & (n < 60 * lines), "list")
-        .when(n < 500, "note")
-        .otherwise("prose")
-    )
-
-
-def rake(mass: np.ndarray, targets: list[np.ndarray], rounds: int = 200, tolerance: float = 1e-9) -> np.ndarray:
-    """Weights of the cells so that every marginal of mass * weight meets its target shares.
+def rake(mass: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], rounds: int = 200, tolerance: float = 1e-9) -> np.ndarray:
+    """Weights of cells of a mass so that every marginal of mass * weight meets its target shares.
 
-    Categories without mass can't be met; their share goes to the others in proportion.
+    codes: for each dimension the category of each cell. Categories without mass can't be met; their share goes to the
+    others in proportion.
     """
-    weight = np.ones_like(mass, dtype=float)
-    total = mass.sum()
+    weight, total = np.ones(len(mass)), mass.sum()
     if total <= 0:
         return weight
+    wanted = []
+    for at, target in zip(codes, targets):
+        want = np.where(np.bincount(at, mass, len(target)) > 0, target, 0.0)
+        wanted.append(want / want.sum() * total if want.sum() > 0 else None)
     for _ in range(rounds):
         off = 0.0
-        for axis, target in enumerate(targets):
-            rest = tuple(a for a in range(mass.ndim) if a != axis)
-            have = (mass * weight).sum(axis=rest)
-            want = np.where(mass.sum(axis=rest) > 0, target, 0.0)
-            if want.sum() <= 0:
+        for at, want in zip(codes, wanted):
+            if want is None:
                 continue
-            want = want / want.sum() * total
+            have = np.bincount(at, mass * weight, len(want))
             factor = np.where(have > 0, want / np.where(have > 0, have, 1), 1.0)
             off = max(off, float(np.abs(factor[have > 0] - 1).max(initial=0.0)))
-            weight *= factor.reshape([-1 if a == axis else 1 for a in range(mass.ndim)])
+            weight *= factor[at]
         if off < tolerance:
             break
     return weight
 
 
-def calibrated(mass: np.ndarray, weight: np.ndarray, keep: float) -> np.ndarray:
-    """Probabilities min(1, c * weight) whose expected mass is keep of all; c is found by filling up the cells at 1."""
-    want, full = keep * mass.sum(), np.zeros(mass.shape, dtype=bool)
-    for _ in range(mass.size + 1):
-        open_mass = (mass * weight)[~full].sum()
-        c = max(0.0, want - mass[full].sum()) / open_mass if open_mass > 0 else 0.0
-        over = ~full & (c * weight > 1)
-        if not over.any():
+def _on_driver(cells: pd.DataFrame, targets: dict[str, dict[str, float]], temperature: float) -> np.ndarray:
+    mass = cells["n"].to_numpy(float)
+    codes, wanted = [], []
+    for d in DIMENSIONS:
+        at, values = pd.factorize(cells[f"c_{d}"])
+        share = np.bincount(at, mass, len(values))
+        want = np.array([targets[d].get(v, 0.0) for v in values]) if targets.get(d) else share**temperature * (share > 0)
+        codes.append(at)
+        wanted.append(want)
+    return rake(mass, codes, wanted)
+
+
+def _by_joins(cells: DataFrame, targets: dict[str, dict[str, float]], temperature: float, rounds: int = 50, tolerance: float = 1e-4) -> DataFrame:
+    """The same for a table of cells of any size: (c_source, c_lang, c_topic, n, weight)."""
+    spark, total = cells.sparkSession, float(cells.agg(F.sum("n")).first()[0] or 0)
+    wanted = {}
+    for d in DIMENSIONS:
+        have = cells.groupBy(f"c_{d}").agg(F.sum("n").alias("n")).filter("n > 0")
+        if targets.get(d):
+            given = spark.createDataFrame(list(targets[d].items()), f"c_{d} string, want double")
+            want = have.join(given, f"c_{d}", "left").select(f"c_{d}", F.coalesce("want", F.lit(0.0)).alias("want"))
+        else:
+            want = have.select(f"c_{d}", F.pow(F.col("n").cast("double"), temperature).alias("want"))
+        norm = float(want.agg(F.sum("want")).first()[0] or 0)
+        if norm > 0:
+            wanted[d] = staged(want.withColumn("want", F.col("want") / norm * total), "wanted")
+    now = cells.withColumn("weight", F.lit(1.0))
+    for _ in range(rounds):
+        before = now
+        for d, want in wanted.items():
+            have = now.groupBy(f"c_{d}").agg(F.sum(F.col("n") * F.col("weight")).alias("have"))
+            factor = have.join(want, f"c_{d}").select(f"c_{d}", F.when(F.col("have") > 0, F.col("want") / F.col("have")).otherwise(1.0).alias("f"))
+            now = now.join(factor, f"c_{d}", "left").withColumn("weight", F.col("weight") * F.coalesce("f", F.lit(1.0))).drop("f")
+        now = staged(now, "raked")
+        keys = [f"c_{d}" for d in DIMENSIONS]
+        moved = now.join(before.select(*keys, F.col("weight").alias("old")), keys).filter("old > 0")
+        if (moved.agg(F.max(F.abs(F.col("weight") / F.col("old") - 1))).first()[0] or 0.0) < tolerance:
             break
-        full |= over
-    return np.where(full, 1.0, np.minimum(1.0, c * weight))
-
+    return now
+
+
+def _measured(df: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str, topic_col: str | None, carry: list[str]) -> DataFrame:
+    """(id, source, lang, topic, n_tokens, vector, row): the texts are read once; vector is null where the topic is given."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            texts = [t or b"" for t in x.column("text").to_pylist()]
+            vectors = [None if topic_col else topics.vector(t).tobytes() for t in texts]
+            columns = {
+                "id": x.column("id"), "source": x.column("source"), "lang": x.column("lang"), "topic": x.column("topic"),
+                "n_tokens": pa.array([len(t.split()) for t in texts], pa.int64()), "vector": pa.array(vectors, pa.binary()),
+            }
+            if carry:
+                columns["row"] = x.column("row")
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-def damped(df: DataFrame, col: str, temperature: float, least_share: float = 0.001) -> dict[str, float]:
-    """Target shares: measured token shares to the power temperature. Values under least_share are one category, OTHER,
-
-    so there are at most 1 / least_share categories."""
-    total = df.agg(F.sum("n_tokens")).first()[0] or 0
-    rows = df.groupBy(col).agg(F.sum("n_tokens").alias("n")).filter(F.col("n") >= max(1.0, least_share * total)).collect()
-    shares = {r[0] if r[0] is not None else OTHER: r["n"] / total for r in rows}
-    rest = 1.0 - sum(shares.values())
-    if rest > 0:
-        shares[OTHER] = shares.get(OTHER, 0.0) + rest
-    powered = {k: v**temperature for k, v in shares.items() if v > 0}
-    norm = sum(powered.values()) or 1.0
-    return {k: v / norm for k, v in powered.items()}
+    src = df.select(
+        F.col(id_col).alias("id"),
+        F.col(source_col).cast("string").alias("source"),
+        F.col(lang_col).cast("string").alias("lang"),
+        (F.col(topic_col).cast("string") if topic_col else F.lit(None).cast("string")).alias("topic"),
+        F.col(text_col).cast("string").cast("binary").alias("text"),
+        *([F.struct(*carry).alias("row")] if carry else []),
+    )
+    types = [f"id {src.schema['id'].dataType.simpleString()}", "source string, lang string, topic string, n_tokens long, vector binary"]
+    if carry:
+        types.append(f"row {src.schema['row'].dataType.simpleString()}")
+    return src.mapInArrow(run, ", ".join(types))
 
 
 def mix(
@@ -89,65 +122,66 @@ def mix(
     text_col: str = "text",
     source_col: str = "source",
     lang_col: str = "lang",
+    topic_col: str | None = None,
     targets: dict[str, dict[str, float]] | None = None,
     keep: float = 0.9,
     temperature: float = 0.7,
     seed: int = 1,
     carry: list[str] | None = None,
+    driver_cells: int = DRIVER_CELLS,
 ) -> DataFrame:
-    """One row for each row of df: id_col, source, lang, topic, n_tokens, weight, copies, probability, kept;
+    """One row for each row of df: id_col, source, lang, topic, n_tokens, weight, expected, copies;
     carry: columns of df that come along in a struct named row, which spares a join.
 
-    Tokens (words) are summed by cell of source, language and topic; the cells are raked to the target marginals, and each
-    document gets copies, decided by a hash of seed and id, so a rerun draws the same. A document is taken keep * weight
-    times in expectation (the whole part surely, the fraction by the draw), so the copies meet the target marginals and have
-    keep of all tokens; a weight over 1 / keep gives documents that are taken more than once. probability and kept are the
-    draw of those who take a document once at most: also keep of all tokens, but cells of high weight stop at 1, so the
-    marginals of kept stay between the measured ones and the targets.
-    targets: shares for any of "source", "lang", "topic"; values that it doesn't name are the category OTHER. Marginals that
-    aren't given are the measured shares to the power temperature. The driver sees one row a cell: at most the product of
-    the categories named (1000 sources and 1000 languages at most where they are measured, five topics).
-
-    Edge cases: null source or language is OTHER; a null or blank text has 0 tokens and the probability of its cell; rows
-    with equal ids are taken equally often; a null id is hashed as such; an empty table gives no rows; columns that are not
-    named are ignored.
+    topic is topic_col, or the cluster of the text that k-means over all rows gives (topics.learn). Tokens (words) are
+    summed by cell of source, language and topic; the cells are raked to the target marginals. A document is expected
+    keep * weight times and taken copies times: the whole part surely, the fraction by a draw that a hash of seed and id
+    decides, so a rerun draws the same. So the copies meet the target marginals and have keep of all tokens; a weight over
+    1 / keep gives documents that are taken more than once.
+    targets: shares for any of "source", "lang", "topic"; values that it doesn't name are the one category OTHER, which it
+    may name too. Marginals that aren't given are the measured shares to the power temperature, every value a category of
+    its own. Up to driver_cells cells are raked on the driver and broadcast; more are raked and joined as a table.
+
+    Edge cases: a null source or language is a category of its own (of the given targets: OTHER); a null or blank text has 0
+    tokens and the weight of its cell, 1 if the cell has no tokens; rows with equal ids are taken equally often if their
+    cells are equal; a null id is hashed as such; an empty table gives no rows; columns that are not named are ignored.
     """
-    text = F.col(text_col).cast("string")
-    src = df.select(
-        F.col(id_col).alias("id"),
-        F.col(source_col).cast("string").alias("source"),
-        F.col(lang_col).cast("string").alias("lang"),
-        topic_of(text).alias("topic"),
-        F.size(words(text)).cast("long").alias("n_tokens"),
-        *([F.struct(*carry).alias("row")] if carry else []),
-    )
-    cells = src.groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("n_tokens"))
-    cells = staged(cells, "cells")
-    wanted = {d: (targets or {}).get(d) or damped(cells, d, temperature) for d in ("source", "lang", "topic")}
+    targets = targets or {}
+    rows = staged(_measured(df, id_col, text_col, source_col, lang_col, topic_col, carry or []), "measured")
+    if topic_col is None:
+        mean, centres = topics.learn(rows)
+
+        def assign(v: pd.Series) -> pd.Series:
+            m = np.frombuffer(b"".join(v), dtype=np.int8).reshape(-1, topics.WIDTH).astype(np.float64)
+            return pd.Series([f"t{k:02}" for k in topics.nearest(m, mean, centres)])
+
+        rows = rows.withColumn("topic", F.pandas_udf(assign, "string")("vector"))
+    rows = rows.drop("vector")
 
     def category(d: str) -> Column:
-        return F.when(F.col(d).isin([k for k in wanted[d] if k != OTHER]), F.col(d)).otherwise(F.lit(OTHER))
-
-    named = cells.select(*(category(d).alias(d) for d in wanted), "n_tokens")
-    rows = named.groupBy(*wanted).agg(F.sum("n_tokens").alias("n")).collect()
-    values = {d: sorted({*wanted[d], OTHER}) for d in wanted}
-    place = {d: {v: i for i, v in enumerate(values[d])} for d in wanted}
-    mass = np.zeros([len(values[d]) for d in wanted])
-    for r in rows:
-        mass[tuple(place[d][r[d]] for d in wanted)] = r["n"]
-    weight = rake(mass, [np.array([wanted[d].get(v, 0.0) for v in values[d]]) for d in wanted])
-    chance = calibrated(mass, weight, keep)
-    present = {tuple(r[d] for d in wanted) for r in rows}
-    table = [
-        (*key, float(weight[at]), float(chance[at]))
-        for key, at in zip(product(*values.values()), np.ndindex(*mass.shape))
-        if key in present
-    ]
-    found = df.sparkSession.createDataFrame(table, "c_source string, c_lang string, c_topic string, weight double, probability double")
-    keyed = src.select("*", *(category(d).alias(f"c_{d}") for d in wanted))
+        if not targets.get(d):
+            return F.coalesce(F.concat(F.lit("="), d), F.lit(OTHER))
+        named = [k for k in targets[d] if k != OTHER]
+        return F.when(F.col(d).isin(named), F.concat(F.lit("="), d)).otherwise(OTHER)
+
+    keys = [f"c_{d}" for d in DIMENSIONS]
+    wanted = {d: {OTHER if k == OTHER else f"={k}": v for k, v in t.items()} for d, t in targets.items()}
+    rows = rows.withColumns({f"c_{d}": category(d) for d in DIMENSIONS})
+    if topic_col is None:  # topics are computed once
+        rows = staged(rows, "topics")
+    cells = staged(rows.groupBy(*keys).agg(F.sum("n_tokens").alias("n"), F.collect_set(F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).alias("salts")), "cells")
+    few = cells.drop("salts").limit(driver_cells + 1).toPandas()
+    if len(few) <= driver_cells:
+        few = few.sort_values(keys, kind="stable")
+        few["weight"] = _on_driver(few, wanted, temperature)
+        found = df.sparkSession.createDataFrame(few[[*keys, "weight"]].values.tolist(), ", ".join(f"{k} string" for k in keys) + ", weight double")
+        out = rows.join(F.broadcast(found), keys)
+    else:
+        raked = _by_joins(cells.drop("salts"), wanted, temperature).select(*keys, "weight")
+        salted = cells.select(*keys, F.explode("salts").alias("salt")).join(raked, keys)
+        out = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, [*keys, "salt"])
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(1 << 53)) / float(1 << 53)
     expected = F.col("weight") * F.lit(float(keep))
-    out = keyed.join(F.broadcast(found), [f"c_{d}" for d in wanted])
     return out.select(
         F.col("id").alias(id_col),
         "source",
@@ -155,8 +189,7 @@ def mix(
         "topic",
         "n_tokens",
         "weight",
+        expected.alias("expected"),
         (F.floor(expected) + (draw < expected - F.floor(expected)).cast("long")).alias("copies"),
-        "probability",
-        (draw < F.col("probability")).alias("kept"),
         *(["row"] if carry else []),
     )
