@@ -79,7 +79,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_simhash_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_dedup.near_duplicates(_docs(spark, sf_dir))
+    return simhash_dedup.near_duplicates(_docs(spark, sf_dir)).drop("first")
 
 
 QUERIES = {

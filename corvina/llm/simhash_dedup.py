@@ -6,12 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvina.llm.common import partitions, staged
 from corvina.llm.components import components
-from corvina.llm.simhash import ascii_lower, majority, shingle_hashes
+from corvina.llm.simhash import majority, shingle_hashes
 
 BITS = 64
 #: A trie node of so many fingerprints or fewer is a leaf bucket; pairs of leaves are compared whole.
@@ -24,16 +25,21 @@ SALTS = 32
 TASK_ROWS = 250_000
 
 
-def fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, fp long) for each row of df; the long holds the 64 bits as they are."""
+def fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int, carry: list[str] | None = None) -> DataFrame:
+    """(id, fp long) for each row of df, and the columns of carry in a struct named row; the long holds the 64 bits as they are."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            fps = [majority(shingle_hashes(ascii_lower(t or ""), shingle)) for t in x["text"]]
-            yield pd.DataFrame({"id": x["id"], "fp": np.array(fps, dtype=np.uint64).view(np.int64)})
-
-    src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInPandas(run, "id long, fp long")
+            fps = [majority(shingle_hashes((t or b"").lower(), shingle)) for t in x.column("text").to_pylist()]
+            columns = {"id": x.column("id"), "fp": pa.array(np.array(fps, dtype=np.uint64).view(np.int64))}
+            if carry:
+                columns["row"] = x.column("row")
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    src = df.select(
+        F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"), *([F.struct(*carry).alias("row")] if carry else [])
+    )
+    return src.mapInArrow(run, "id long, fp long" + (f", row {src.schema['row'].dataType.simpleString()}" if carry else ""))
 
 
 def merged(up: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -210,27 +216,30 @@ def _block_value(name: str, start: int, width: int) -> Column:
 
 
 def near_duplicates(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, budget: int = 4
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, budget: int = 4, carry: list[str] | None = None
 ) -> DataFrame:
-    """One row for each row of df: id_col, fingerprint (16 hex digits), component_id (smallest id that links reach).
+    """One row for each row of df: id_col, fingerprint (16 hex digits), component_id (smallest id that links reach), first:
+    whether this is the row that stands for its component; carry: columns of df that come along in a struct named row.
 
     Fingerprints are the majority bits of XXH64 of all shingles of the lower-cased (A-Z) words; they link at budget or
     fewer differing bits. Equal fingerprints are one node throughout, so copies are neither joined nor paired.
     Edge cases: null and blank texts have fingerprint zero, linked like any other; texts shorter than a shingle count
-    whole; repeated rows and ids share their component; a null id is never the smallest and gets its component's id
-    (null if it has no other); an empty table gives no rows; other columns are ignored.
+    whole; repeated rows and ids share their component, of which one row is first; a null id is never the smallest and gets
+    its component's id (null if it has no other); an empty table gives no rows; other columns are ignored.
     """
-    source = fingerprints(df, id_col, text_col, shingle)
-    marked = staged(source.withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")), "fingerprints")
-    nodes = staged(marked.groupBy("fp").agg(F.min("id").alias("first_id"), F.collect_set("salt").alias("salts")), "nodes")
+    source = fingerprints(df, id_col, text_col, shingle, carry).withColumn("n", F.monotonically_increasing_id())
+    marked = staged(source.withColumn("salt", F.pmod(F.xxhash64("n"), F.lit(SALTS)).cast("int")), "fingerprints")
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "n"))
+    nodes = staged(marked.groupBy("fp").agg(least.alias("least"), F.collect_set("salt").alias("salts")), "nodes")
     reached = components(staged(links(nodes.select("fp"), budget), "links"))
     mine = F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")
     labelled = nodes.join(reached, nodes["fp"] == reached["node"], "left").select(
-        "fp", "salts", "first_id", F.coalesce("root", "fp").alias("root"), mine.alias("salt")
-    )
-    smallest = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"), F.collect_set("salt").alias("roots_salts"))
-    smallest = smallest.select("root", "component_id", F.explode("roots_salts").alias("salt"))
-    of = labelled.join(smallest, ["root", "salt"]).select("fp", "component_id", F.explode("salts").alias("salt"))
-    return marked.join(of, ["fp", "salt"]).select(
-        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        "fp", "salts", "least", F.coalesce("root", "fp").alias("root"), mine.alias("salt")
     )
+    smallest = labelled.groupBy("root").agg(F.min("least").alias("m"), F.collect_set("salt").alias("of"))
+    smallest = smallest.select("root", "m", F.explode("of").alias("salt"))
+    found = labelled.join(smallest, ["root", "salt"]).select("fp", "m", F.explode("salts").alias("salt"))
+    return marked.join(found, ["fp", "salt"]).select(
+        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("m.id").alias("component_id"),
+        (F.col("n") == F.col("m.n")).alias("first"), *(["row"] if carry else []),
+    )
