@@ -129,14 +129,32 @@ def test_sorted_suffixes_with_spilled_queues():
         t = b"".join(
             bytes(rng.choice(range(1, 1 + k)) for _ in range(rng.randint(1, 14))) * rng.choice([1, 2, 5]) + b"\0" for _ in range(rng.randint(1, 8))
         )
-        out = list(induced.sorted_suffixes(t, limit, budget=rng.choice([0, 50, 1 << 20])))[::-1]
+        out = list(induced.sorted_suffixes(t, limit, budget=rng.choice([0, 50, 1 << 20])))
         pos, lcp = (np.concatenate([x[k] for x in out]).tolist() for k in (0, 1))
-        assert [t[i : i + limit] for i in pos] == [t[i : i + limit] for i in sorted(range(len(t)), key=lambda i: t[i:])]
+        assert [t[i : i + limit] for i in pos] == [t[i : i + limit] for i in sorted(range(len(t)), key=lambda i: t[i:], reverse=True)]
         for a, b, v in zip(pos, pos[1:], lcp[1:]):
             x, y = t[a : a + limit], t[b : b + limit]
             assert v == next((i for i, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
 
 
+def test_queues_far_over_their_budget():
+    rng = np.random.default_rng(4)
+    passage = rng.integers(97, 101, 3000, dtype=np.uint8)
+    parts = [np.concatenate([rng.integers(97, 101, int(n), dtype=np.uint8), passage]) for n in rng.integers(10, 3000, 500)]
+    text = np.concatenate([x for p in parts for x in (p, np.zeros(1, np.uint8))])
+    seen, before, n = [], None, 0
+    for pos, lcp in induced.sorted_suffixes(text, 50, budget=64 << 10, seen=seen):
+        assert pos.nbytes < 3 << 20  # a block that one step pushed may be over the budget, the tuples of a character are not
+        n += len(pos)
+        for k in range(0, len(pos), 997):
+            a = int(pos[k - 1]) if k else before
+            if a is not None:
+                x, y = text[a : a + 50].tobytes(), text[pos[k] : pos[k] + 50].tobytes()
+                assert x >= y and lcp[k] == next((i for i, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
+        before = int(pos[-1])
+    assert n == len(text) and all(q.spilled > 10 for q in seen)
+
+
 def brute_repeats(texts, length=50):
     first = {}
     for i, t in sorted(texts.items()):
@@ -160,36 +178,106 @@ def test_suffix_dedup(docs, rows, empty):
     assert {r["doc_id"]: tuple(r)[1:] for r in got} == want
     assert sum(v[1] for v in want.values()) > 1000
     assert suffix_dedup.remove_repeats(empty).count() == 0
-    kept = suffix_dedup.remove_repeats(docs, with_kept=True).filter("doc_id = 12").first()
+    kept = suffix_dedup.remove_repeats(docs, with_kept=True, carry=["row", "doc_id"]).filter("doc_id = 12").first()
+    assert kept["row"]["row"] == "r" and kept["row"]["doc_id"] == 12
     assert hashlib.sha256(bytes(kept["kept"])).hexdigest() == want[12][3]
 
 
+def test_suffix_dedup_of_repeated_and_missing_ids(spark):
+    passage = "".join(random.Random(3).choice("abcdefgh ") for _ in range(120))
+    rows = [(None, passage), (5, "x" + passage), (5, passage + "y"), (2, passage), (2, "short"), (None, None)]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert sorted((r["doc_id"] or 0, r["n_bytes"], r["n_removed"]) for r in got) == [
+        (0, 0, 0), (0, 120, 120), (2, 5, 0), (2, 120, 0), (5, 121, 120), (5, 121, 120)
+    ]
+
+
+def test_document_buckets_agree_with_sql(spark):
+    ids = [0, 1, -1, 20, 40, 2**62, -(2**63), 123456789]
+    got = [r[0] for r in spark.createDataFrame([(i,) for i in ids], "id long").selectExpr("pmod(xxhash64(id), 37)").collect()]
+    assert suffix_dedup._doc_bucket(np.array(ids), 37).tolist() == got
+
+
+def brute_log_prob(text, model, n_of):
+    """The whole score of a text, one token at a time."""
+    words = [int(masked_lm.hashed(w)[0]) for w in text.encode().lower().split()]
+    places, net = model.places, model.network
+    unigram = places.counts / places.counts.sum()
+    of = {w: int(places.of(np.array([w]))[0]) for w in words}
+    total = 0.0
+    for i, w in enumerate(words):
+        near = [1 + words[j] % (1 << 64) % (masked_lm.INPUTS - 1) if 0 <= j < len(words) else 0 for j in (i - 2, i - 1, i + 1, i + 2)]
+        h = np.tanh(np.concatenate([net.vectors[k] for k in near]) @ net.w1 + net.b1)
+        z = h @ net.w2 + net.b2
+        share = np.exp(z) / np.exp(z).sum()
+        like = (net.mass[of[w]] + masked_lm.SMOOTH * unigram[of[w]]) / (net.mass.sum(axis=0) + masked_lm.SMOOTH)
+        p = float((share * like).sum())
+        if of[w] >= places.n_own:
+            own, beside = words.count(w), sum(of[x] == of[w] for x in words)
+            p *= (n_of.get(w, 0) - own + masked_lm.ALPHA) / (places.counts[of[w]] - beside + masked_lm.ALPHA * places.words[of[w]])
+        total += math.log(p)
+    return total
+
+
+FEW = {"n_own": 64, "n_shared": 16}
+
+
 def test_masked_lm(docs, rows, empty):
-    model = masked_lm.train(docs)
+    model = masked_lm.train(docs, walk_bytes=2000, **FEW)
     got = {r["doc_id"]: r for r in masked_lm.score(docs, model).collect()}
     assert {k: v["n_tokens"] for k, v in got.items()} == {r[0]: len((r[1] or "").encode().split()) for r in rows}
-    text = rows[0][1].encode()
-    ids = [zlib.crc32(w) for w in text.lower().split()]
-    total = 0.0
-    for i, h in enumerate(ids):
-        near = [(1 + ids[j] % (masked_lm.INPUTS - 1)) if 0 <= j < len(ids) else 0 for j in (i - 2, i - 1, i + 1, i + 2)]
-        word = h % masked_lm.BUCKETS
-        total += model.network.forward(np.array([near]))[2][0, model.class_of[word]] + model.log_share[word]
-    assert abs(total - got[0]["log_prob"]) < 1e-3 * abs(total)
-    probabilities = np.bincount(model.class_of, np.exp(model.log_share))
-    assert np.allclose(probabilities, 1)
-    untrained = masked_lm.Model(masked_lm.Network.fresh(), model.class_of, model.log_share)
-    before = sum(r["log_prob"] for r in masked_lm.score(docs, untrained).collect())
-    assert sum(r["log_prob"] for r in got.values()) > before
-    assert masked_lm.score(empty, model).count() == 0
-
-
-def test_masked_lm_predicts_every_position(spark):
+    n_of = {r["word"]: r["n"] for r in model.vocabulary.collect()}
+    assert sum(n_of.values()) == sum(v["n_tokens"] for v in got.values())
+    for k in (0, 12, rows[-1][0]):
+        want = brute_log_prob(next(r[1] for r in rows if r[0] == k), model, n_of)
+        assert abs(want - got[k]["log_prob"]) < 1e-3 * abs(want)
+    blank = [v for v in got.values() if not v["n_tokens"]]
+    assert blank and all(v["log_prob"] == 0 and v["mean_log_prob"] is None for v in blank)
+    # the probabilities of all places add up to one, whatever is on both sides
+    unigram = model.places.counts / model.places.counts.sum()
+    around = np.random.default_rng(1).integers(0, masked_lm.INPUTS, (1, 4))
+    every = np.arange(len(unigram))
+    p = np.exp(model.network.log_probs(every, np.repeat(around, len(every), axis=0), unigram.astype(np.float32), model.network.mass.sum(axis=0)))
+    assert abs(p.sum() - 1) < 1e-3
+    none = masked_lm.train(empty)
+    assert masked_lm.score(empty, none).count() == 0 and masked_lm.score(docs, none).count() == len(rows)
+
+
+def test_masked_lm_depends_on_the_rows_alone(docs):
+    scores = []
+    for df in (docs, docs.repartition(7)):
+        model = masked_lm.train(df, walk_bytes=2000, **FEW)
+        scores.append({r["doc_id"]: r["log_prob"] for r in masked_lm.score(df, model).collect()})
+    assert scores[0] == scores[1]
+
+
+def test_masked_lm_trains_on_every_position_in_every_round(spark):
     texts = ["a", None, "b c", "d e f g h i j", "k", " ", "l m n o p q r s t u v w"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     tokens = sum(len((t or "").split()) for t in texts)
-    assert masked_lm.train(df).targets == tokens
-    assert masked_lm.train(df, rounds=3).targets == tokens
+    assert masked_lm.train(df, **FEW).targets == 2 * tokens
+    assert masked_lm.train(df, rounds=3, walk_bytes=10, **FEW).targets == 3 * tokens
+
+
+def test_masked_lm_beats_the_unigram_on_held_out_text(spark):
+    rng = random.Random(11)
+    kinds = [[f"{c}{i}" for i in range(30)] for c in "abcd"]
+
+    def text():
+        words = rng.choice(kinds)
+        return " ".join(rng.choice(words) for _ in range(60))
+
+    df = spark.createDataFrame([(i, text()) for i in range(1500)], "doc_id long, text string")
+    model = masked_lm.train(df, walk_bytes=60_000, **FEW)
+    held_out = [text() for _ in range(40)]
+    unigram = (model.places.counts / model.places.counts.sum()).astype(np.float32)
+    gain = n = 0
+    for t in held_out:
+        words = masked_lm.hashed(t.encode())
+        place = model.places.of(words)
+        gain += (model.network.log_probs(place, masked_lm.windows(words), unigram, model.network.mass.sum(axis=0)) - np.log(unigram[place])).sum()
+        n += len(words)
+    assert gain / n > 0.7  # nats a token; knowing the kind is worth ln 4
 
 
 def test_differencing_is_no_worse_than_greedy():
@@ -315,24 +403,38 @@ def test_isotonic():
 
 def test_raking():
     rng = np.random.default_rng(1)
-    mass = rng.uniform(1, 5, (4, 3, 2))
-    targets = [rng.dirichlet(np.ones(n)) for n in mass.shape]
-    done = mass * mixing.rake(mass, targets)
-    for axis, t in enumerate(targets):
-        rest = tuple(a for a in range(3) if a != axis)
-        assert np.allclose(done.sum(axis=rest) / done.sum(), t, atol=1e-6)
-    p = mixing.calibrated(mass, mixing.rake(mass, targets), 0.6)
-    assert p.max() <= 1 and abs((p * mass).sum() - 0.6 * mass.sum()) < 1e-9 * mass.sum()
+    shape = (4, 3, 2)
+    mass, codes = rng.uniform(1, 5, 24), [x.ravel() for x in np.indices(shape)]
+    targets = [rng.dirichlet(np.ones(n)) for n in shape]
+    done = mass * mixing.rake(mass, codes, targets)
+    for at, t in zip(codes, targets):
+        assert np.allclose(np.bincount(at, done) / done.sum(), t, atol=1e-6)
 
 
 def test_mixing(docs, rows, empty):
     got = mixing.mix(docs, keep=0.8, carry=["doc_id", "row"]).collect()
-    assert sorted(r["doc_id"] for r in got) == sorted(r[0] for r in rows) and all(0 < r["probability"] <= 1 for r in got)
-    assert all(r["row"]["row"] == "r" for r in got)
-    expected = sum(r["probability"] * r["n_tokens"] for r in got)
+    assert sorted(r["doc_id"] for r in got) == sorted(r[0] for r in rows)
+    assert all(r["row"]["row"] == "r" and abs(r["expected"] - 0.8 * r["weight"]) < 1e-9 and 0 <= r["copies"] - r["expected"] + 1 < 2 for r in got)
+    expected = sum(r["expected"] * r["n_tokens"] for r in got)
     assert abs(expected - 0.8 * sum(r["n_tokens"] for r in got)) < 1
+    joined = {r["doc_id"]: r["weight"] for r in mixing.mix(docs, keep=0.8, driver_cells=0).collect()}
+    assert all(abs(joined[r["doc_id"]] - r["weight"]) < 0.02 * r["weight"] for r in got)
     assert mixing.mix(docs, targets={"lang": {"es": 1.0}}).count() == len(rows)
-    assert mixing.mix(empty).count() == 0
+    given = {r["topic"] for r in mixing.mix(docs, topic_col="fp").collect()}
+    assert given == {"f"} and mixing.mix(empty).count() == 0
+
+
+def test_topics_are_found(spark):
+    rng = random.Random(12)
+    kinds = [[f"word{c}{i}" for i in range(40)] for c in "abc"]
+    rows = [(i, " ".join(rng.choice(kinds[i % 3]) for _ in range(60)), "s", "en") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    topic = {r["doc_id"]: r["topic"] for r in mixing.mix(df).collect()}
+    for i in range(3):
+        for j in range(i):
+            assert not {topic[k] for k in range(i, 300, 3)} & {topic[k] for k in range(j, 300, 3)}
+    again = {r["doc_id"]: r["topic"] for r in mixing.mix(df.repartition(7)).collect()}
+    assert again == topic
 
 
 def test_mixing_copies_meet_the_targets(spark):
@@ -609,8 +711,12 @@ def test_near_duplicates(docs, rows, empty):
         values.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs)))
     for r, v, c in zip(rows, values, brute_components(values)):
         assert got[r[0]]["fingerprint"] == f"{v:016x}"
-        assert got[r[0]]["component_id"] == rows[c][0]
+        assert got[r[0]]["component_id"] == rows[c][0] and got[r[0]]["first"] == (rows[c][0] == r[0])
     assert simhash_dedup.near_duplicates(empty).count() == 0
+    again = docs.select("doc_id", "text").unionByName(docs.selectExpr("null as doc_id", "text"))
+    firsts = simhash_dedup.near_duplicates(again, carry=["text"]).filter("first").collect()
+    assert sorted(r["doc_id"] for r in firsts) == sorted({r["component_id"] for r in got.values()})
+    assert all(r["row"]["text"] == next(x[1] for x in rows if x[0] == r["doc_id"]) for r in firsts)
 
 
 def test_majority_matches_definition():
