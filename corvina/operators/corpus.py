@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvina.functions.text import has_mojibake
+from corvina.shared import staged
 
 
 def audit_profile(docs: DataFrame, source_col: str = "source", text_col: str = "text", short: int = 100) -> DataFrame:
@@ -109,7 +110,7 @@ def closure(edges: DataFrame, seeds: DataFrame, depth: int, checkpoint_every: in
         step = frontier.join(e, frontier["node"] == e["src"]).select("seed", F.col("dst").alias("node")).distinct()
         frontier = step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("level", F.lit(level))
         if level % checkpoint_every == 0:
-            frontier = frontier.checkpoint()
+            frontier, seen = staged(frontier, "frontier"), staged(seen, "seen")
         seen = seen.unionByName(frontier)
     return seen
 
@@ -131,3 +132,50 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 def eav_pivot(rows: DataFrame, id_col: str, key_col: str, value_col: str, keys: list[str]) -> DataFrame:
     """Entity-attribute-value rows to one row for each entity; the keys are given, so nothing is scanned for them."""
     return rows.groupBy(id_col).pivot(key_col, keys).agg(F.first(value_col, ignorenulls=True))
+
+
+def graph_totals(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One row: n_edges, n_broken (whose dst is no node), pct_broken (whole per cent, rounded down)."""
+    known = nodes.select(F.col("id").alias("dst")).distinct().withColumn("known", F.lit(True))
+    return edges.select("dst").join(known, "dst", "left").agg(
+        F.count("*").alias("n_edges"),
+        F.count_if(F.col("known").isNull()).alias("n_broken"),
+        F.coalesce(F.floor(100 * F.count_if(F.col("known").isNull()) / F.nullif(F.count("*"), F.lit(0))), F.lit(0)).cast("long").alias("pct_broken"),
+    )
+
+
+def bad_dates(docs: DataFrame, date_col: str) -> DataFrame:
+    """Rows whose date doesn't begin like an ISO date; null and empty dates are not looked at."""
+    return docs.filter((F.coalesce(date_col, F.lit("")) != "") & ~F.col(date_col).rlike(r"^\d{4}-\d{2}-\d{2}"))
+
+
+def all_sources(tables: list[DataFrame]) -> DataFrame:
+    """The sources' tables one after the other, by column names; columns that one lacks are null there."""
+    out = tables[0]
+    for x in tables[1:]:
+        out = out.unionByName(x, allowMissingColumns=True)
+    return out
+
+
+def flattened(docs: DataFrame, metadata: str) -> DataFrame:
+    """docs with the fields of a struct column as columns of their own, in its place; columns of docs win over equal names."""
+    fields = [f for f in docs.schema[metadata].dataType.names if f not in docs.columns]
+    return docs.select(*(c for c in docs.columns if c != metadata), *(F.col(f"{metadata}.{f}").alias(f) for f in fields))
+
+
+def ordered_union(lists: DataFrame) -> DataFrame:
+    """(query_id, doc_id, place) of several lists (query_id, list, rank, doc_id): each id once, where it is first met."""
+    first = lists.groupBy("query_id", "doc_id").agg(F.min(F.struct("list", "rank")).alias("m"))
+    order = Window.partitionBy("query_id").orderBy("m", "doc_id")
+    return first.select("query_id", "doc_id", F.row_number().over(order).alias("place"))
+
+
+def reindex_checks(vectors: DataFrame, postings: DataFrame, hits: DataFrame, probe_id, tolerance: float = 0.01) -> DataFrame:
+    """One row after a reindexing: n_vectors, n_lexical (documents with postings), agree (within tolerance), found_itself.
+
+    hits: the search results (doc_id, rank) for a stored fragment's own text; probe_id: that fragment.
+    """
+    counts = vectors.agg(F.count("*").alias("n_vectors")).crossJoin(postings.select("doc_id").distinct().agg(F.count("*").alias("n_lexical")))
+    own = hits.agg(F.coalesce(F.bool_or(F.col("doc_id") == F.lit(probe_id)), F.lit(False)).alias("found_itself"))
+    agree = F.abs(F.col("n_vectors") - F.col("n_lexical")) <= tolerance * F.col("n_vectors")
+    return counts.crossJoin(own).select("n_vectors", "n_lexical", agree.alias("agree"), "found_itself")  # one row each

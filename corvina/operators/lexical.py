@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvina.functions.text import query_terms, tokens
+from corvina.shared import small, staged
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 
@@ -17,18 +18,41 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def term_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(term, df, cf): each document emits a term once with its count, so nothing is shuffled but partial sums."""
+    """(term, df): each document emits a term once, so nothing is shuffled but partial sums."""
     each = docs.select(F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("term"))
     return each.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def write_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """postings sorted by term in range partitions (row groups are skipped by term), document lengths and term statistics."""
-    lengths = docs.select(F.col(id_col).alias("doc_id"), F.size(tokens(F.col(text_col))).alias("dl"))
-    p = postings(docs, id_col, text_col)
-    p.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-    lengths.write.mode("overwrite").parquet(f"{path}/lengths")
-    p.groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
+def write_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> None:
+    """A segment of an inverted index under path; further calls add segments (insert), optimize_index() makes them one.
+
+    postings (term, doc_id, keep, dl, tf), by ranges of the term and sorted, so row groups are skipped by term; terms (term,
+    df); totals (n, tokens), one row. The texts are tokenised once.
+    """
+    keep, spark = keep or [], docs.sparkSession
+    w = docs.select(F.col(id_col).alias("doc_id"), *keep, tokens(F.col(text_col)).alias("w"))
+    totals = Observation()
+    sized = w.select("doc_id", *keep, F.size("w").alias("dl"), "w").observe(
+        totals, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")
+    )
+    each = sized.select("doc_id", *keep, "dl", F.explode("w").alias("term"))
+    found = each.groupBy("term", "doc_id", *keep, "dl").agg(F.count("*").alias("tf"))
+    stage = f"{path}/_new"
+    found.write.mode("overwrite").parquet(stage)
+    rows = spark.read.schema(found.schema).parquet(stage)
+    rows.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("append").parquet(f"{path}/postings")
+    rows.groupBy("term").agg(F.count("*").alias("df")).write.mode("append").parquet(f"{path}/terms")
+    spark.createDataFrame([(totals.get["n"], totals.get["tokens"])], "n long, tokens long").write.mode("append").parquet(f"{path}/totals")
+
+
+def optimize_index(spark: SparkSession, path: str, target: str) -> None:
+    """The segments of path as one, under target: postings in new ranges, term and corpus totals summed."""
+    p = spark.read.parquet(f"{path}/postings")
+    p.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{target}/postings")
+    terms = spark.read.parquet(f"{path}/terms").groupBy("term").agg(F.sum("df").alias("df"))
+    terms.write.mode("overwrite").parquet(f"{target}/terms")
+    totals = spark.read.parquet(f"{path}/totals").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens"))
+    totals.write.mode("overwrite").parquet(f"{target}/totals")
 
 
 def query_table(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -36,40 +60,61 @@ def query_table(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return queries.select(F.col(id_col).alias("query_id"), F.explode(query_terms(F.col(text_col))).alias("term"))
 
 
+def _scored(hits: DataFrame, df: DataFrame, n: int, avgdl: float, queries: DataFrame, keep: list[str], top: int | None) -> DataFrame:
+    """hits: (term, doc_id, keep, dl, tf) of the terms of queries (query_id, term); df: (term, df)."""
+    idf = F.greatest(F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl)))
+    asked = small(queries.join(df, "term"))
+    scored = hits.join(asked, "term").groupBy("query_id", "doc_id", *keep).agg(F.round(F.sum(part), 6).alias("score"))
+    if top is None:
+        return scored
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+
+
 def bm25(
     docs: DataFrame, queries: DataFrame, top: int | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None
 ) -> DataFrame:
     """(query_id, doc_id, score, rank) of the best documents of each query; queries: (query_id, term).
 
-    Tokens are filtered by the set of query terms before anything is shuffled, so what moves is the postings of those terms
-    alone. Scores are rounded to six places before ranking; ties go to the smaller id.
+    For documents without an index: they are tokenised once, tokens are filtered by the batch's terms before anything is
+    shuffled, and the postings of those terms alone are kept; the corpus totals are counted on the way. Scores are rounded
+    to six places before ranking; ties go to the smaller id.
     """
     keep = keep or []
-    terms = queries.select("term").distinct()
+    queries = staged(queries, "query-terms")
     toks = docs.select(F.col(id_col).alias("doc_id"), *keep, tokens(F.col(text_col)).alias("w"))
-    sized = toks.select("doc_id", *keep, F.size("w").alias("dl"), "w")
-    corpus = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    totals = Observation()
+    sized = toks.select("doc_id", *keep, F.size("w").alias("dl"), "w").observe(
+        totals, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")
+    )
     hits = (
         sized.select("doc_id", *keep, "dl", F.explode("w").alias("term"))
-        .join(terms, "term", "left_semi")
+        .join(small(queries.select("term").distinct()), "term", "left_semi")
         .groupBy("doc_id", *keep, "dl", "term")
         .agg(F.count("*").alias("tf"))
     )
+    hits = staged(hits, "hits")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    weighted = df.crossJoin(F.broadcast(corpus))  # one row
-    scored = (
-        hits.join(weighted, "term")
-        .withColumn("part", part)
-        .join(queries, "term")
-        .groupBy("query_id", "doc_id", *keep)
-        .agg(F.round(F.sum("part"), 6).alias("score"))
-    )
-    if top is None:
-        return scored
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    n, tokens_ = totals.get["n"], totals.get["tokens"]
+    return _scored(hits, df, n, tokens_ / n if n else 0.0, queries, keep, top)
+
+
+def bm25_index(
+    spark: SparkSession, path: str, queries: DataFrame, top: int | None, keep: list[str] | None = None, sources: list[str] | None = None
+) -> DataFrame:
+    """As bm25(), from what write_index() wrote under path: one scan of the postings, joined by term; no text is read.
+
+    sources: only postings of these (the index must carry the column source) are read; term and corpus statistics stay
+    those of the whole index.
+    """
+    queries = staged(queries, "query-terms")
+    n, tokens_ = spark.read.parquet(f"{path}/totals").agg(F.sum("n"), F.sum("tokens")).first()
+    df = spark.read.parquet(f"{path}/terms").join(small(queries.select("term").distinct()), "term", "left_semi")
+    df = df.groupBy("term").agg(F.sum("df").alias("df"))
+    hits = spark.read.parquet(f"{path}/postings")
+    hits = hits.filter(F.col("source").isin(sources)) if sources else hits
+    return _scored(hits, df, n or 0, tokens_ / n if n else 0.0, queries, keep or [], top)
 
 
 def df_band_terms(

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvina.shared import small
+
 SOFT_LIMIT, HARD_LIMIT, MAX_KEYS, HOURS_WEST = 15, 30, 200_000, 5
 TOKENS_PER_CHAR, OUTPUT_TOKENS, PESOS_PER_USD = 0.28, 400, 4100
 FREE_ANSWERS, MONTHLY_BUDGET = 3, 10.0
@@ -59,20 +63,70 @@ def daily_verdicts(
     ).drop("_n")
 
 
-def plan_verdicts(requests: DataFrame, plans: DataFrame, key: str, ts: str, order: str) -> DataFrame:
-    """Keyed plans (key, tope, periodo, vence): per day or month, with an end; a null tope has no limit."""
-    joined = requests.join(plans, key).withColumn("period", period_id(F.col(ts), F.col("periodo")))
+def plan_verdicts(
+    requests: DataFrame, plans: DataFrame, key: str, ts: str, order: str, address: str | None = None, hard: int = HARD_LIMIT
+) -> DataFrame:
+    """Every request with verdict, period, used, allowed. plans: (key, tope, periodo, vence), each key once.
+
+    A known key counts by day or month until its end (verdicts ok, over, expired); a null tope has no limit. A key that is
+    not in plans is refused (unknown). A request without a key falls under the daily quota of its address, if that column is
+    named (anonymous); else it is refused.
+    """
+    p = plans.select(key, "tope", "periodo", "vence", F.lit(True).alias("_known"))
+    joined = requests.join(small(p), key, "left").withColumn("_known", F.coalesce("_known", F.lit(False)))
+    bare = F.col(key).isNull() | (F.trim(F.col(key).cast("string")) == "")
+    open_ = bare & (F.lit(address is not None))
+    joined = joined.withColumn("period", period_id(F.col(ts), F.when(F.col("_known"), F.col("periodo")).otherwise("dia")))
+    tope = F.when(open_, F.lit(hard).cast("long")).otherwise(F.col("tope"))
     expired = F.coalesce(local_time(F.col(ts)).cast("date") > F.col("vence"), F.lit(False))
-    joined = joined.withColumn("expired", expired)
-    w = Window.partitionBy(key, "period").orderBy(ts, order).rowsBetween(Window.unboundedPreceding, 0)
-    n = F.sum(F.when(F.col("expired"), 0).otherwise(1)).over(w)
-    out = joined.withColumn("_n", n)
-    within = F.col("tope").isNull() | (F.col("_n") <= F.col("tope"))
+    refused = F.when(~F.col("_known") & ~open_, "unknown").when(expired, "expired")
+    # refused requests of all keys aren't counted, so they are dealt by their order and not by their key
+    who = F.when(refused.isNotNull(), F.concat(F.lit("r"), F.col(order).cast("string")))
+    who = who.when(open_, F.concat(F.lit("a"), F.col(address or key).cast("string"))).otherwise(F.concat(F.lit("k"), F.col(key).cast("string")))
+    w = Window.partitionBy("_who", "period").orderBy(ts, order)
+    out = joined.withColumns({"_refused": refused, "_who": who, "_tope": tope}).withColumn("_n", F.row_number().over(w))
+    within = F.col("_tope").isNull() | (F.col("_n") <= F.col("_tope"))
     return out.select(
         "*",
-        F.when(F.col("expired"), 0).when(within, F.col("_n")).otherwise(F.col("tope")).cast("long").alias("used"),
-        (~F.col("expired") & within).alias("allowed"),
-    ).drop("_n")
+        F.coalesce("_refused", F.when(~within, "over"), F.when(F.col("_known"), "ok").otherwise("anonymous")).alias("verdict"),
+        F.when(F.col("_refused").isNotNull(), 0).when(within, F.col("_n")).otherwise(F.col("_tope")).cast("long").alias("used"),
+        (F.col("_refused").isNull() & within).alias("allowed"),
+    ).drop("_n", "_known", "_refused", "_who", "_tope")
+
+
+def capped_keys(requests: DataFrame, key: str, ts: str, order: str, most: int = MAX_KEYS) -> DataFrame:
+    """requests with remembered: whether the key was among the first most different ones of its local day.
+
+    What is ordered is one row a key and day, never the requests; a day's keys are counted in runs by hour and added up.
+    """
+    day = requests.withColumn("period", period_id(F.col(ts), "dia"))
+    first = day.groupBy("period", key).agg(F.min(F.struct(ts, order)).alias("m")).withColumn("hour", F.hour(local_time(F.col(f"m.{ts}"))))
+    before = Window.partitionBy("period").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
+    hours = first.groupBy("period", "hour").agg(F.count("*").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    inside = F.row_number().over(Window.partitionBy("period", "hour").orderBy("m"))
+    place = first.withColumn("i", inside).join(hours.drop("n"), ["period", "hour"])
+    known = place.select("period", key, (F.col("base") + F.col("i") <= most).alias("remembered"))
+    return day.join(known, ["period", key])
+
+
+# The plans with (requests, period, days of validity from the day of issue).
+PLANS = {"pase-dia": (100, "dia", 0), "mensual": (100, "mes", 31), "pro": (None, "mes", 31), "empresarial": (None, "mes", 31), "gold": (None, "dia", math.floor(math.pi * 365.2425))}
+# When the prices were looked up, for how many months they are taken as known, days of a month.
+PRICES_VERIFIED, STALE_MONTHS, MONTH_DAYS = "2026-09-06", 3, 30.44
+
+
+def issued_plans(requests: DataFrame, plan_col: str, day_col: str) -> DataFrame:
+    """requests with tope, periodo and vence (the last valid day) of the plan that is issued on a day; unknown plans are null."""
+    table = F.create_map(*(x for k, (t, p, d) in PLANS.items() for x in (F.lit(k), F.struct(F.lit(t).cast("long"), F.lit(p), F.lit(d)))))
+    plan = table[F.col(plan_col)]
+    return requests.select(
+        "*", plan["col1"].alias("tope"), plan["col2"].alias("periodo"), F.date_add(F.col(day_col).cast("date"), plan["col3"]).alias("vence")
+    )
+
+
+def prices_stale(day: Column, verified: str = PRICES_VERIFIED, months: int = STALE_MONTHS) -> Column:
+    """Whether on that day the prices were looked up more than so many months ago."""
+    return F.date_diff(day.cast("date"), F.lit(verified).cast("date")) / MONTH_DAYS > months
 
 
 def parsed_plans(raw: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corvina.functions import text as tx
 from corvina.operators import chunking, corpus, evaluate, fusion, grounding, lexical, routing, usage, validity, vector
 from corvina.session import table
+from corvina.shared import shared_dir, small, staged
 from corvina.sources import connectors
 from corvina.streaming import quota
 
@@ -58,7 +59,7 @@ BENCH_Q = f"q AS (SELECT item_id AS query_id, unnest({qterms('text')}) AS term F
 ONE = "the licensed version of the text and an erhea thing with oned"
 ONE_Q = f"q AS (SELECT 1 AS query_id, unnest({qterms(f'$q${ONE}$q$')}) AS term)"
 KNN_SQL = """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
-    q AS (SELECT vec_id AS query_id, e AS qe FROM v WHERE vec_id < 20),
+    q AS (SELECT vec_id AS query_id, e AS qe FROM v WHERE vec_id % 20 = 0),
     x AS (SELECT query_id, vec_id, {d} AS distance FROM v, q {where}),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM x)
 """
@@ -79,7 +80,7 @@ def one_query(spark: SparkSession) -> DataFrame:
 
 
 def query_vectors(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "embeddings").filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
+    return table(spark, d, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
 
 
 # --- text ------------------------------------------------------------------
@@ -214,9 +215,9 @@ FUSED_SQL = (
     + """, v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
     x AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, """
     + L2.replace("e, qe", "a.e, b.e")
-    + """ AS distance FROM v a, v b WHERE a.vec_id IN (SELECT item_id FROM benchmark WHERE item_id < 20)),
+    + """ AS distance FROM v a, v b WHERE a.vec_id IN (SELECT item_id FROM benchmark)),
     vr AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id) AS vr FROM x),
-    lr AS (SELECT query_id, doc_id, rank AS lr FROM ranked WHERE rank <= 24 AND query_id < 20),
+    lr AS (SELECT query_id, doc_id, rank AS lr FROM ranked WHERE rank <= 24),
     u AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.doc_id, b.doc_id) AS doc_id, vr, lr
         FROM (SELECT * FROM vr WHERE vr <= 24) a FULL JOIN lr b ON a.query_id = b.query_id AND a.doc_id = b.doc_id)
 """
@@ -224,9 +225,9 @@ FUSED_SQL = (
 
 
 def both_lists(spark, d):
-    lex = lexical.bm25(docs(spark, d), bench_terms(spark, d).filter("query_id < 20"), 24)
-    bench = table(spark, d, "benchmark").filter("item_id < 20").select(F.col("item_id").alias("vec_id"))
-    qv = table(spark, d, "embeddings").join(F.broadcast(bench), "vec_id").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
+    lex = lexical.bm25(docs(spark, d), bench_terms(spark, d), 24)
+    bench = table(spark, d, "benchmark").select(F.col("item_id").alias("vec_id"))
+    qv = table(spark, d, "embeddings").join(small(bench), "vec_id").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
     near = vector.knn(table(spark, d, "embeddings"), qv, 24).withColumnRenamed("vec_id", "doc_id")
     return near, lex
 
@@ -380,9 +381,12 @@ def superset_violations(spark, d):
     return corpus.superset_violations(indexed, table(spark, d, "labels"), "doc_id")
 
 
-@query("SELECT range AS o_custkey FROM range(1, 1501) WHERE range NOT IN (SELECT o_custkey FROM orders)")
+@query(
+    "SELECT o_custkey FROM (SELECT unnest(range(1, (SELECT max(c_custkey) + 1 FROM customer))) AS o_custkey) WHERE o_custkey NOT IN (SELECT o_custkey FROM orders)"
+)
 def missing_numbers(spark, d):
-    return corpus.missing_numbers(table(spark, d, "orders"), "o_custkey", 1, 1500)
+    most = table(spark, d, "customer").agg(F.max("c_custkey")).first()[0]
+    return corpus.missing_numbers(table(spark, d, "orders"), "o_custkey", 1, most)
 
 
 @query("SELECT doc_id AS src, doc_id * 2 AS dst FROM documents WHERE doc_id * 2 NOT IN (SELECT doc_id FROM documents)")
@@ -415,57 +419,61 @@ def eav_pivot(spark, d):
 
 # --- validity and grounding -------------------------------------------------
 
-# Inline fragments: each documents row is given one of these notes by its id, so the whole table is run through the readers.
+# Notes are put into the texts of documents, at their start or their end, so that the readers and the SQL parse whole texts.
 NOTE_TEXTS = (
-    "<Artículo derogado por el artículo 5 de la Ley 10 de 1990> texto",
-    "<Decreto 150 de 1997 derogado por el Decreto 9 de 2001> texto",
-    "<Ley INEXEQUIBLE> texto",
-    "<NOTA DE VIGENCIA: Resolución revocada por el Oficio 33> texto",
-    "texto sin nota alguna",
-    "<Numeral suspendido por el Consejo de Estado> texto",
-)
-NOTE_STATES = (
-    ("derogada", "parcial"), ("incierta", "documento"), ("inexequible", "documento"), ("revocada", "documento"), (None, None),
-    ("suspendida", "parcial"),
-)
+    "<Artículo derogado por el artículo 5 de la Ley 10 de 1990>",
+    "<Decreto 150 de 1997 derogado por el Decreto 9 de 2001>",
+    "<Ley INEXEQUIBLE> y <Numeral 3 suspendido>",
+    "<NOTA DE VIGENCIA: Resolución revocada por el Oficio 33>",
+    "NOTA DE VIGENCIA: Concepto 7 de 2005 declarado nulo por la Sentencia 4",
+    "sin nota alguna, <Editorial: texto>",
+    "<Derogado> <Circular   nula>",
+)
+NOTE_TEXTS_SQL = "[" + ", ".join("'" + t + "'" for t in NOTE_TEXTS) + "]"
+_DOC_SQL = r"(?:Decreto|Ley|Resoluci[oó]n|Oficio|Concepto|Circular|Acuerdo|Orden|Norma)"
+_PART_SQL = r"(?:Art[ií]culo|Par[aá]grafo|Inciso|Numeral|Literal|Aparte(?: tachado)?|Cap[ií]tulo|T[ií]tulo|Ordinal)"
+_VERB_SQL = r"((?i:(?:declarad[oa]s? )?inexequibles?|derogad[oa]s?|revocad[oa]s?|suspendid[oa]s?|declarad[oa]s? nul[oa]s?|nul[oa]s?))"
+NOTES_SQL = rf"""f AS (SELECT doc_id, 'dian:circular_' || (doc_id // 3) || '_2005' AS document_id, doc_id % 3 AS ord, CASE WHEN doc_id % 2 = 0
+        THEN ({NOTE_TEXTS_SQL})[(doc_id % 7)::INT + 1] || ' ' || text ELSE text || chr(10) || ({NOTE_TEXTS_SQL})[(doc_id % 7)::INT + 1] END AS texto FROM documents),
+    raw AS (SELECT doc_id, document_id, ord, regexp_extract_all(texto, '<\s*(?:NOTA DE VIGENCIA:\s*)?[^<>]{{0,200}}?>|NOTA DE VIGENCIA:\s*[^\n<>]{{0,200}}') AS ms FROM f),
+    u AS (SELECT doc_id, document_id, ord, unnest(ms) AS m, unnest(range(len(ms))) AS pos FROM raw),
+    body AS (SELECT doc_id, document_id, ord, pos, trim(regexp_replace(regexp_replace(m, '^<\s*(?:NOTA DE VIGENCIA:\s*)?|^NOTA DE VIGENCIA:\s*|>$', '', 'g'), '\s+', ' ', 'g')) AS b FROM u),
+    v AS (SELECT *, regexp_extract(b, '^\s*{_PART_SQL}\b[^<>]{{0,40}}?{_VERB_SQL}', 1) AS part, regexp_extract(b, '^\s*{_DOC_SQL}\b(?:\s+[\d.]+\s+de\s+\d{{4}})?\s+{_VERB_SQL}', 1) AS whole,
+        regexp_extract(b, '^\s*{_VERB_SQL}\b', 1) AS bare FROM body),
+    s AS (SELECT *, lower(CASE WHEN part <> '' THEN part WHEN whole <> '' THEN whole ELSE bare END) AS verb, CASE WHEN part <> '' THEN 'parcial' WHEN whole <> '' THEN 'documento'
+        WHEN bare <> '' THEN 'parcial' END AS alcance, regexp_extract(b, '^\S+\s+(\d[\d.]*)\s+de\s+(\d{{4}})', 1) AS number, regexp_extract(b, '^\S+\s+(\d[\d.]*)\s+de\s+(\d{{4}})', 2) AS year FROM v),
+    n AS (SELECT doc_id, document_id, ord, pos, b AS texto, alcance, CASE WHEN alcance = 'documento' AND year <> '' AND NOT (contains(document_id, year) AND
+        list_contains(regexp_extract_all(document_id, '\d+'), ltrim(replace(number, '.', ''), '0'))) THEN 'incierta' WHEN contains(verb, 'inexequible') THEN 'inexequible'
+        WHEN contains(verb, 'derogad') THEN 'derogada' WHEN contains(verb, 'revocad') THEN 'revocada' WHEN contains(verb, 'suspendid') THEN 'suspendida' ELSE 'nula' END AS estado
+        FROM s WHERE alcance IS NOT NULL AND b <> ''),
+    z AS (SELECT *, CASE estado WHEN 'inexequible' THEN 0 WHEN 'derogada' THEN 1 WHEN 'nula' THEN 2 WHEN 'revocada' THEN 3 WHEN 'suspendida' THEN 4 ELSE 5 END AS sev FROM n),
+    t AS (SELECT document_id, min(row(sev, ord, pos, estado, texto)) AS m FROM z WHERE alcance = 'documento' GROUP BY document_id)"""
 
 
 def note_fragments(spark, d):
-    which = F.array(*map(F.lit, NOTE_TEXTS))[F.pmod("doc_id", F.lit(6)).cast("int")]
+    i, which = F.col("doc_id"), F.array(*map(F.lit, NOTE_TEXTS))[F.pmod("doc_id", F.lit(7)).cast("int")]
     return docs(spark, d).select(
-        F.concat(F.lit("dian:circular_"), (F.col("doc_id") / 3).cast("long").cast("string"), F.lit("_2005::frag"), (F.col("doc_id") % 3).cast("string")).alias("id"),
-        which.alias("texto"), "doc_id",
+        F.concat(F.lit("dian:circular_"), (i / 3).cast("long").cast("string"), F.lit("_2005::frag"), (i % 3).cast("string")).alias("id"),
+        F.when(i % 2 == 0, F.concat(which, F.lit(" "), "text")).otherwise(F.concat("text", F.lit("\n"), which)).alias("texto"), "doc_id",
     )
 
 
-def _state_sql(k: int) -> str:
-    cases = " ".join(f"WHEN {i} THEN " + (f"'{s[k]}'" if s[k] else "NULL") for i, s in enumerate(NOTE_STATES))
-    return f"CASE doc_id % 6 {cases} END"
-
-
-@query(f"SELECT doc_id, {_state_sql(0)} AS estado, {_state_sql(1)} AS alcance FROM documents WHERE doc_id % 6 <> 4")
+@query(f"WITH {NOTES_SQL} SELECT doc_id, pos, texto, estado, alcance FROM n")
 def validity_notes(spark, d):
-    f = note_fragments(spark, d).withColumn("n", F.explode(validity.notes(F.col("texto"))))
+    f = note_fragments(spark, d).select("id", "doc_id", F.posexplode(validity.all_notes(F.col("texto"))).alias("pos", "n")).filter("n.alcance is not null and n.texto <> ''")
     n = validity.attributed(F.col("n"), tx.document_of(F.col("id")))
-    return f.select("doc_id", n["estado"].alias("estado"), n["alcance"].alias("alcance"))
+    return f.select("doc_id", F.col("pos").cast("long").alias("pos"), n["texto"].alias("texto"), n["estado"].alias("estado"), n["alcance"].alias("alcance"))
 
 
-@query(
-    f"""WITH n AS (SELECT doc_id, 'dian:circular_' || (doc_id // 3) || '_2005' AS document_id, {_state_sql(0)} AS estado, {_state_sql(1)} AS alcance FROM documents),
-    s AS (SELECT *, CASE estado WHEN 'inexequible' THEN 0 WHEN 'derogada' THEN 1 WHEN 'nula' THEN 2 WHEN 'revocada' THEN 3 WHEN 'suspendida' THEN 4 ELSE 5 END AS sev
-        FROM n WHERE alcance = 'documento'),
-    r AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY sev, doc_id) AS rn FROM s)
-    SELECT document_id, estado, alcance FROM r WHERE rn = 1"""
-)
+@query(f"WITH {NOTES_SQL} SELECT document_id, m[4] AS estado, 'documento' AS alcance, m[5] AS texto FROM t")
 def validity_table(spark, d):
-    return validity.validity_table(note_fragments(spark, d)).select("document_id", "estado", "alcance")
+    return validity.validity_table(note_fragments(spark, d)).select("document_id", "estado", "alcance", "texto")
 
 
 @query(
-    f"""WITH n AS (SELECT doc_id, doc_id // 3 AS doc, {_state_sql(0)} AS estado, {_state_sql(1)} AS alcance FROM documents),
-    s AS (SELECT doc, min(CASE estado WHEN 'inexequible' THEN 0 WHEN 'revocada' THEN 3 ELSE 5 END) AS sev FROM n WHERE alcance = 'documento' GROUP BY doc)
-    SELECT doc_id, CASE WHEN sev = 0 THEN 'inexequible' WHEN sev = 3 THEN 'revocada' WHEN alcance = 'parcial' THEN estado
-        WHEN sev = 5 THEN 'incierta' ELSE 'sin_nota' END AS estado FROM n LEFT JOIN s USING (doc)"""
+    f"""WITH {NOTES_SQL}, p AS (SELECT doc_id, min(row(sev, pos, estado)) AS m FROM z WHERE alcance = 'parcial' GROUP BY doc_id)
+    SELECT f.doc_id, CASE WHEN t.m[1] < 5 THEN t.m[4] WHEN p.m IS NOT NULL THEN p.m[3] WHEN t.m IS NOT NULL THEN 'incierta' ELSE 'sin_nota' END AS estado
+    FROM f LEFT JOIN t USING (document_id) LEFT JOIN p ON p.doc_id = f.doc_id"""
 )
 def validity_annotate(spark, d):
     f = note_fragments(spark, d)
@@ -476,42 +484,90 @@ def validity_annotate(spark, d):
     FUSED_SQL
     + """, f AS (SELECT query_id, doc_id, vr, lr, round(coalesce(1.0 / (59 + vr), 0) + coalesce(0.8 / (59 + lr), 0), 9) AS score FROM u),
     g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vr NULLS LAST, lr NULLS LAST, doc_id) AS rank FROM f),
-    b AS (SELECT query_id, max(score) FILTER (rank = 1) AS s1, coalesce(max(score) FILTER (rank = 2), 0) AS s2,
-        bool_and(doc_id % 6 IN (2, 3)) FILTER (rank <= 5) AS gone FROM g GROUP BY query_id)
-    SELECT item_id AS query_id, CASE WHEN s1 IS NULL OR gone THEN 'abstenerse' WHEN s1 < 0.020 THEN 'condicional'
-        WHEN s1 >= 0.045 AND (s2 = 0 OR s1 / s2 >= 1.15) THEN 'local' ELSE 'local' END AS motor FROM benchmark LEFT JOIN b ON item_id = query_id"""
+    off AS (SELECT *, query_id % 5 = 0 OR doc_id % 6 IN (2, 3) AS gone FROM g),
+    b AS (SELECT query_id, max(score) FILTER (rank = 1) AS s1, coalesce(max(score) FILTER (rank = 2), 0) AS s2, bool_and(gone) FILTER (rank <= 5) AS gone,
+        string_agg('Doc ' || doc_id, ', ' ORDER BY rank) FILTER (rank <= 5) AS names FROM off GROUP BY query_id),
+    k AS (SELECT unnest([true, false]) AS external_key),
+    w AS (SELECT item_id AS query_id, external_key, names, CASE WHEN s1 IS NULL THEN 'none' WHEN gone THEN 'gone' WHEN s1 < 0.020 THEN 'weak'
+        WHEN s1 >= 0.045 AND (s2 = 0 OR s1 / s2 >= 1.15) THEN 'clear' WHEN external_key THEN 'external' ELSE 'local' END AS w
+        FROM benchmark LEFT JOIN b ON item_id = query_id, k)
+    SELECT query_id, external_key, CASE w WHEN 'none' THEN 'abstenerse' WHEN 'gone' THEN 'abstenerse' WHEN 'weak' THEN 'condicional' WHEN 'external' THEN 'externo' ELSE 'local' END AS motor,
+        CASE w WHEN 'none' THEN 'La búsqueda no encontró nada en el índice.'
+        WHEN 'gone' THEN 'Lo único que el índice tiene sobre esto son normas que ya no rigen según su propia nota oficial: ' || names || '. Busca la norma que las reemplazó.'
+        WHEN 'weak' THEN 'Coincidencia débil: solo un método de búsqueda encontró estos documentos.' WHEN 'clear' THEN 'Un documento destaca con claridad: el modelo propio basta.'
+        WHEN 'external' THEN 'Varios documentos compiten y hay que discriminar entre ellos.'
+        ELSE 'Consulta difícil y sin clave de IA externa configurada: responde el modelo propio, con menos confianza.' END AS motivo FROM w"""
 )
 def route_decision(spark, d):
     fused = fusion.rrf(*both_lists(spark, d), None)
-    hits = fused.select("query_id", "rank", "score", (F.pmod("doc_id", F.lit(6)).isin(2, 3)).alias("not_valid"))
+    i = F.col("doc_id")
+    off = (F.col("query_id") % 5 == 0) | F.pmod(i, F.lit(6)).isin(2, 3)
+    hits = staged(fused.select("query_id", "rank", "score", off.alias("not_valid"), F.concat(F.lit("Doc "), i.cast("string")).alias("titulo")), "hits")
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"))
-    return routing.decide(asked, hits).select("query_id", "motor")
+    both = [routing.decide(asked, hits, k).withColumn("external_key", F.lit(k)) for k in (True, False)]
+    return both[0].unionByName(both[1]).select("query_id", "external_key", "motor", "motivo")
 
 
-@query(
-    """WITH c AS (SELECT conv_id, turn, regexp_extract_all(text, '\\b(\\d{1,6})\\s*(d[íi]as?|meses?|a[nñ]os?|horas?|smmlv|uvt|salarios?)\\b', 1) AS k FROM conversations)
-    SELECT conv_id, turn, unnest(list_distinct(k)) AS clave FROM c"""
+# Claims are put behind the turns of conversations, so that the readers and the SQL look for them in whole texts.
+CLAIM_TEXTS = (
+    " Según la Ley 100 de 1993 y el decreto NÚMERO 2591 del 1991, el plazo es de 15 días.",
+    " El artículo 13.2 y el art. 7. exigen 30 SMMLV; la sentencia T-760/08 lo confirma.",
+    " El interés es del 2,5 % o del 19 por ciento; resolución 8 de 2010, circular EXTERNA 4 de 2019.",
+    " Nada que comprobar aquí, 12 casas.",
+    " Ley 100 de 1993, otra vez la ley 100 de 93 y los artículos 5, artículo 5.",
 )
+CLAIM_TEXTS_SQL = "[" + ", ".join("'" + t + "'" for t in CLAIM_TEXTS) + "]"
+NORMS_SQL = "ley(?:es)?|decreto(?:s)?|resoluci[oó]n(?:es)?|circular(?:es)?|acuerdo(?:s)?|ordenanza(?:s)?|sentencia(?:s)?|auto(?:s)?|concepto(?:s)?|oficio(?:s)?"
+FAMILIES_SQL = {
+    "norma": rf"(?i)\b(?:{NORMS_SQL})\b(?:\s+[A-ZÁÉÍÓÚÑ]{{2,}})?\s*(?:n[uú]mero\s*|n[°º.]\s*)?(\d{{1,5}})\s*(?:de|del)\s*(\d{{4}})",
+    "articulo": r"(?i)\bart[íi]culos?\b\.?\s*(\d+(?:\.\d+)*)|\bart\.\s*(\d+(?:\.\d+)*)",
+    "sentencia": r"(?i)\b([CTSU]{1,2}-\d{1,4})\s*[/ ]\s*(?:de\s*)?(\d{2,4})",
+    "cantidad": r"(?i)\b(\d{1,6})\s*(d[íi]as?|meses?|a[nñ]os?|horas?|smmlv|uvt|salarios?)\b",
+    "porcentaje": r"\b(\d{1,3}(?:[.,]\d{1,2})?)\s*(?:%|por ciento)",
+}
+
+
+def claims_sql(rows: str) -> str:
+    """CTEs up to claims(id, tipo, clave) from a relation r(id, body)."""
+    parts = []
+    for kind, p in FAMILIES_SQL.items():
+        g = [f"regexp_extract_all(body, '{p}', {k})" for k in (1, 2)]
+        key = {
+            "norma": "z[1] || '|' || right(z[2], 2)", "sentencia": "z[1] || '|' || right(z[2], 2)", "articulo": "CASE WHEN length(z[1]) > 0 THEN z[1] ELSE z[2] END"
+        }.get(kind, "z[1]")
+        second = g[1] if kind in ("norma", "sentencia", "articulo") else g[0]
+        parts.append(f"SELECT id, '{kind}' AS tipo, {key} AS clave FROM (SELECT id, unnest(list_zip({g[0]}, {second})) AS z FROM r)")
+    return f"r AS ({rows}), claims AS (SELECT DISTINCT * FROM (" + " UNION ALL ".join(parts) + "))"
+
+
+TURNS_WITH_CLAIMS = f"SELECT row(conv_id, turn) AS id, coalesce(text, '') || ({CLAIM_TEXTS_SQL})[((conv_id + turn) % 5)::INT + 1] AS body FROM conversations"
+
+
+def with_claims(spark, d):
+    said = F.array(*map(F.lit, CLAIM_TEXTS))[((F.col("conv_id") + F.col("turn")) % 5).cast("int")]
+    return table(spark, d, "conversations").select("conv_id", "turn", F.concat(F.coalesce("text", F.lit("")), said).alias("body"))
+
+
+@query(f"WITH {claims_sql(TURNS_WITH_CLAIMS)} SELECT id[1] AS conv_id, id[2] AS turn, tipo, clave FROM claims")
 def claims_extract(spark, d):
-    c = table(spark, d, "conversations").select("conv_id", "turn", F.explode(grounding.claims(F.col("text"))).alias("c"))
-    return c.filter("c.tipo = 'cantidad'").select("conv_id", "turn", F.col("c.clave").alias("clave"))
+    c = with_claims(spark, d).select("conv_id", "turn", F.explode(grounding.claims(F.col("body"))).alias("c"))
+    return c.select("conv_id", "turn", F.col("c.tipo").alias("tipo"), F.col("c.clave").alias("clave"))
+
 
+CONTEXT = "LEY 100 DEL AÑO 1993; el numeral 13.2 y 15 dias. T-760, de 2008: un 19 y 2591 (1991)"
 
 
 @query(
-    """SELECT doc_id, tipo, CASE tipo WHEN 'norma' THEN doc_id % 2 = 0 ELSE doc_id % 3 <> 1 OR doc_id % 2 = 0 END AS respaldada
-    FROM documents, (VALUES ('norma'), ('articulo'), ('cantidad')) t(tipo)"""
+    rf"""WITH {claims_sql(TURNS_WITH_CLAIMS)},
+    k AS (SELECT *, CASE WHEN id[1] % 2 = 0 THEN strip_accents(lower('{CONTEXT} x y')) ELSE 'nada x y' END AS ctx FROM claims)
+    SELECT id[1] AS conv_id, id[2] AS turn, tipo, clave, CASE WHEN tipo IN ('norma', 'sentencia')
+        THEN regexp_matches(ctx, split_part(clave, '|', 1) || '\D{{0,20}}(?:19|20)?' || split_part(clave, '|', 2) || '\b') ELSE contains(ctx, clave) END AS respaldada FROM k"""
 )
 def claims_grounded(spark, d):
-    n = (F.lit(100) + F.col("doc_id") % 900).cast("string")
-    answer = F.concat(F.lit("Según la Ley "), n, F.lit(" de 2004 el plazo es de "), n, F.lit(" días, dice el artículo "), n, F.lit("."))
-    # even ids: the norm is there whole; odd ones: only the number (id % 3 <> 1), or nothing
-    text = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("LEY "), n, F.lit(" DEL AÑO 2004"))).when(
-        F.col("doc_id") % 3 != 1, F.concat(F.lit("numeral "), n, F.lit(" y otros"))
-    ).otherwise("nada")
+    text = F.when(F.col("conv_id") % 2 == 0, CONTEXT).otherwise("nada")
     frag = F.array(F.struct(F.lit("x").alias("identificador"), F.lit("y").alias("titulo"), text.alias("texto")))
-    c = docs(spark, d).select("doc_id", F.explode(grounding.verified(answer, frag)).alias("c"))
-    return c.select("doc_id", "c.tipo", "c.respaldada")
+    c = with_claims(spark, d).select("conv_id", "turn", F.explode(grounding.verified(F.col("body"), frag)).alias("c"))
+    return c.select("conv_id", "turn", "c.tipo", "c.clave", "c.respaldada")
 
 
 @query(
@@ -612,13 +668,13 @@ def recall_grouping_sets(spark, d):
 
 
 @query(
-    """WITH c AS (SELECT count(*) FILTER (quality = 1 AND toxic = 0) AS n10, count(*) FILTER (quality = 0 AND toxic = 1) AS n01 FROM labels WHERE doc_id % 17 = 0),
+    """WITH c AS (SELECT count(*) FILTER (quality = 1 AND toxic = 0) AS n10, count(*) FILTER (quality = 0 AND toxic = 1) AS n01 FROM labels),
     r AS (SELECT n10, n01, n10 + n01 AS n, least(n10, n01) AS k FROM c),
     p AS (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))) AS s FROM r, range(0, 100000) t(i) WHERE i <= k)
     SELECT n10, n01, round(CASE WHEN n = 0 THEN 1.0 ELSE least(1.0, 2 * s) END, 6) AS p FROM r, p"""
 )
 def mcnemar_exact(spark, d):
-    pairs = table(spark, d, "labels").filter("doc_id % 17 = 0")
+    pairs = table(spark, d, "labels")
     return evaluate.mcnemar(pairs.select((F.col("quality") == 1).alias("a"), (F.col("toxic") == 1).alias("b")))
 
 
@@ -720,7 +776,7 @@ def html_documents(spark, d):
 def streaming_quota_equals_batch(spark, d):
     import uuid
 
-    base = f"{spark.sparkContext.getConf().get('spark.checkpoint.dir', None) or '/tmp/corvina-stream'}/{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     schema = table(spark, d, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(f"{d}/")
     return quota.run_once(quota.verdicts(stream, hard=3, soft=2), spark, f"{base}/out", f"{base}/checkpoint").drop("period")

@@ -178,11 +178,13 @@ def catalogue_links(pages: DataFrame, html_col: str = "html") -> DataFrame:
     return pages.select(href.alias("link")).distinct().orderBy("link")
 
 
-def labelled_records(pages: DataFrame, marker: str, labels: dict[str, str], full: str, summary: str, html_col: str = "html") -> DataFrame:
+def labelled_records(
+    pages: DataFrame, marker: str, labels: dict[str, str], full: str, summary: str, html_col: str = "html", keep: list[str] | None = None
+) -> DataFrame:
     """Pages split at a marker into records; labelled cells become columns; texto is the longer of full text and summary."""
-    rec = pages.select(F.posexplode(F.split(html_col, marker)).alias("pos", "rec")).filter("pos > 0")
+    rec = pages.select(*(keep or []), F.posexplode(F.split(html_col, marker)).alias("pos", "rec")).filter("pos > 0")
     cells = {name: strip(F.regexp_replace(F.regexp_extract("rec", rf"(?s){label}\s*</td>\s*<td[^>]*>(.*?)</td>", 1), r"<[^>]+>", " ")) for name, label in labels.items()}
-    out = rec.select("pos", *(c.alias(n) for n, c in cells.items()))
+    out = rec.select(*(keep or []), "pos", *(c.alias(n) for n, c in cells.items()))
     return out.withColumn("texto", F.when(F.length(full) >= F.length(summary), F.col(full)).otherwise(F.col(summary)))
 
 
