@@ -84,37 +84,37 @@ def validity_histogram(spark, d):
 
 # --- grounding and pilots -------------------------------------------------------
 
-ANSWER_SQL = "'Según la Ley ' || (100 + doc_id % 900) || ' de 2004 el plazo es de ' || (doc_id % 50) || ' días. La circular_' || (doc_id % 7) || '_2011 dice el ' || (doc_id % 9) || ' %.'"
+ANSWER_SQL = "'Según la Ley ' || (10000 + doc_id % 90000) || ' de 2004 el plazo es de ' || (doc_id % 50) || ' días. La circular ' || CASE WHEN doc_id % 7 = 3 THEN 'tercera' ELSE 'otra' END || ' dice el ' || (doc_id % 9) || ' %.'"
 
 
 def answers(spark, d):
     i = F.col("doc_id")
     said = F.concat(
-        F.lit("Según la Ley "), (100 + i % 900).cast("string"), F.lit(" de 2004 el plazo es de "), (i % 50).cast("string"), F.lit(" días. La circular_"), (i % 7).cast("string"),
-        F.lit("_2011 dice el "), (i % 9).cast("string"), F.lit(" %."),
+        F.lit("Según la Ley "), (10000 + i % 90000).cast("string"), F.lit(" de 2004 el plazo es de "), (i % 50).cast("string"), F.lit(" días. La circular "),
+        F.when(i % 7 == 3, "tercera").otherwise("otra"), F.lit(" dice el "), (i % 9).cast("string"), F.lit(" %."),
     )
     frag = lambda name, t: F.struct(F.lit(name).alias("identificador"), F.lit("t").alias("titulo"), t.alias("texto"))
-    law = frag("LEY-104-2004", F.when(i % 2 == 0, F.concat(F.lit("Ley "), (100 + i % 900).cast("string"), F.lit(" de 2004"))).otherwise("nada"))
-    circular = frag("circular_3_2011", F.concat(F.lit("un "), (i % 9).cast("string"), F.lit(" por ciento")))
+    law = frag("norma cuarta", F.when(i % 2 == 0, F.concat(F.lit("Ley "), (10000 + i % 90000).cast("string"), F.lit(" de 2004"))).otherwise("nada"))
+    circular = frag("circular tercera", F.concat(F.lit("un "), (i % 9).cast("string"), F.lit(" por ciento")))
     return docs(spark, d).select("doc_id", said.alias("respuesta"), F.array(law, circular).alias("frags"))
 
 
 @query(
     f"""SELECT doc_id, 1 AS n, CASE WHEN doc_id % 2 = 1 THEN replace(a, l, '⚠[' || l || ': no está en las fuentes citadas]') ELSE a END AS marked
-    FROM (SELECT doc_id, {ANSWER_SQL} AS a, 'Ley ' || (100 + doc_id % 900) || ' de 2004' AS l FROM documents WHERE doc_id % 350 > 50 AND doc_id % 900 <> 4)"""
+    FROM (SELECT doc_id, {ANSWER_SQL} AS a, 'Ley ' || (10000 + doc_id % 90000) || ' de 2004' AS l FROM documents)"""
 )
 def unsupported_marked(spark, d):
-    rows = answers(spark, d).filter("doc_id % 350 > 50 and doc_id % 900 <> 4")
+    rows = answers(spark, d)
     checked = rows.withColumn("c", grounding.verified(F.col("respuesta"), F.col("frags")))
     only = F.filter("c", lambda c: (c["tipo"] == "norma") & F.startswith(c["texto"], F.lit("Ley")))
     return checked.select("doc_id", F.size(only).alias("n"), grounding.marked(F.col("respuesta"), only).alias("marked"))
 
 
 @query(
-    """SELECT doc_id, unnest(CASE WHEN doc_id % 7 = 3 THEN [{'frase': 2, 'citado': 'circular_3_2011', 'n': 1}] ELSE [] END, recursive := true) FROM documents WHERE doc_id % 900 NOT IN (4, 211)"""
+    """SELECT doc_id, unnest(CASE WHEN doc_id % 7 = 3 THEN [{'frase': 2, 'citado': 'circular tercera', 'n': 1}] ELSE [] END, recursive := true) FROM documents"""
 )
 def attributed_claims(spark, d):
-    rows = answers(spark, d).filter("doc_id % 900 not in (4, 211)").select("doc_id", "respuesta", F.explode(grounding.attribution(F.col("respuesta"), F.col("frags"))).alias("r"))
+    rows = answers(spark, d).select("doc_id", "respuesta", F.explode(grounding.attribution(F.col("respuesta"), F.col("frags"))).alias("r"))
     place = F.array_position(tx.sentences(F.col("respuesta")), F.col("r.frase")).cast("int")
     return rows.select("doc_id", place.alias("frase"), F.col("r.citado").alias("citado"), F.size("r.afirmaciones").alias("n"))
 
@@ -155,12 +155,11 @@ def rewritten_queries(spark, d):
     return table(spark, d, "benchmark").select("item_id", pilot.rewritten(F.col("text"), said).alias("terms"))
 
 
-@query("SELECT item_id, CASE WHEN item_id % 2 = 0 THEN '3,1,' || (1 + item_id % 9) ELSE '' END AS picks FROM benchmark WHERE item_id % 9 NOT IN (0, 2)")
+@query("SELECT item_id, CASE WHEN item_id % 2 = 0 THEN '3,1' || CASE WHEN item_id % 9 IN (0, 2) THEN '' ELSE ',' || (1 + item_id % 9) END ELSE '' END AS picks FROM benchmark")
 def ranked_choices(spark, d):
     i = F.col("item_id")
     said = F.when(i % 2 == 0, F.concat(F.lit("[3] luego 1 y 99, 3, "), (1 + i % 9).cast("string"))).otherwise("ninguno 0")
-    rows = table(spark, d, "benchmark").filter("item_id % 9 not in (0, 2)")
-    return rows.select("item_id", F.array_join(F.transform(pilot.ranked_choice(said, F.lit(10)), lambda x: x.cast("string")), ",").alias("picks"))
+    return table(spark, d, "benchmark").select("item_id", F.array_join(F.transform(pilot.ranked_choice(said, F.lit(10)), lambda x: x.cast("string")), ",").alias("picks"))
 
 
 @query(
@@ -217,16 +216,16 @@ def abstention_messages(spark, d):
 
 
 @query(
-    """WITH a AS (SELECT item_id, text, length(text) AS n FROM benchmark)
+    """WITH a AS (SELECT item_id, text FROM benchmark)
     SELECT item_id AS document_id, item_id || '::frag' || k AS fragment_id, k::BIGINT AS ord, 'ARTÍCULO ' || (k + 1) || 'º. ' || regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text
-    FROM a, (SELECT unnest([0, 1, 2]) AS k) WHERE n BETWEEN 1 AND 1400 AND k <= item_id % 3"""
+    FROM a, (SELECT unnest([0, 1, 2]) AS k) WHERE k <= item_id % 3"""
 )
 def article_fragments(spark, d):
     """Up to three articles of a text each, then a closing formula that goes."""
     i, t = F.col("item_id"), tx.strip(F.col("text"))
     part = lambda k: F.when(i % 3 >= k, F.concat(F.lit(f"ARTÍCULO {k + 1}º. "), t))
     body = F.concat(F.concat_ws("\n", part(0), part(1), part(2)), F.lit("\nCOMUNÍQUESE Y CÚMPLASE."))
-    rows = table(spark, d, "benchmark").filter(F.length("text").between(1, 1400)).select(i.alias("id"), body.alias("text"))
+    rows = table(spark, d, "benchmark").select(i.alias("id"), body.alias("text"))
     out = chunking.fragments(rows)
     return out.select("document_id", "fragment_id", F.col("ord").cast("long").alias("ord"), chunking.text_to_encode(F.lit(""), F.col("text")).alias("text"))
 
@@ -248,18 +247,17 @@ def written(rows, spark, name):
 
 
 @query(
-    """SELECT DISTINCT 'corte_constitucional:C-' || conv_id AS id, 'C-' || conv_id AS identificador, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS texto FROM conversations
-    WHERE turn = (SELECT min(turn) FROM conversations) AND conv_id % 3 > 0 AND regexp_replace(text, '^\\s+|\\s+$', '', 'g') NOT IN ('', 'sin información')"""
+    """SELECT 'corte_constitucional:C-' || conv_id || '/' || turn AS id, 'C-' || conv_id || '/' || turn AS identificador, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS texto FROM conversations
+    WHERE conv_id % 3 > 0 AND regexp_replace(text, '^\\s+|\\s+$', '', 'g') NOT IN ('', 'sin información')"""
 )
 def court_hits(spark, d):
     c = table(spark, d, "conversations")
-    c = c.join(F.broadcast(c.agg(F.min("turn").alias("turn"))), "turn")
     text = F.when(F.col("conv_id") % 3 == 0, " Sin información ").otherwise(F.col("text"))
-    source = F.struct(F.concat(F.lit("C-"), F.col("conv_id").cast("string")).alias("prov_sentencia"), text.alias("prov_sintesis"), F.lit("2001-01-01").alias("prov_f_sentencia"), F.lit("t").alias("prov_tema"))
+    source = F.struct(F.concat(F.lit("C-"), F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string")).alias("prov_sentencia"), text.alias("prov_sintesis"), F.lit("2001-01-01").alias("prov_f_sentencia"), F.lit("t").alias("prov_tema"))
     hit = F.struct(F.col("conv_id").cast("string").alias("_id"), source.alias("_source"))
     answer = F.struct(F.struct(F.struct(F.array(hit, hit).alias("hits")).alias("hits")).alias("data"))
     path = shared_path(spark, "court")
-    c.select(F.to_json(answer).alias("value")).repartitionByRange(200, "value").write.option("maxRecordsPerFile", 1).text(path)
+    c.select(F.to_json(answer).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
     return connectors.court_hits(spark, path).select("id", "identificador", "texto")
 
 
@@ -318,12 +316,12 @@ def labelled_records(spark, d):
     return out.select("item_id", F.col("pos").cast("long").alias("pos"), "titulo", "texto")
 
 
-@query("SELECT doc_id, ['zip', 'pdf', 'audio', 'text', 'unknown'][(doc_id % 5)::INT + 1] AS kind FROM documents WHERE length(text) > 50")
+@query("SELECT doc_id, ['zip', 'pdf', 'audio', CASE WHEN coalesce(text, '') = '' THEN 'unknown' ELSE 'text' END, 'unknown'][(doc_id % 5)::INT + 1] AS kind FROM documents")
 def binary_kinds(spark, d):
-    i, raw = F.col("doc_id") % 5, F.encode("text", "UTF-8")
+    i, raw = F.col("doc_id") % 5, F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     first = lambda x: F.concat(F.unhex(F.lit(x)), raw)
     content = F.when(i == 0, first("504B0304")).when(i == 1, first("25504446")).when(i == 2, first("494433")).when(i == 3, raw).otherwise(F.unhex(F.lit("000102" * 20)))
-    return docs(spark, d).filter(F.length("text") > 50).select("doc_id", connectors.binary_kind(content).alias("kind"))
+    return docs(spark, d).select("doc_id", connectors.binary_kind(content).alias("kind"))
 
 
 @query("SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 'SC' || (100 + item_id) || '-2020' ELSE 'archivo' END AS ident FROM benchmark")
