@@ -19,14 +19,14 @@ OWN = 1 << 13  # the most frequent words, which the network predicts one by one
 SHARED = 1 << 13  # all others are predicted by place of so many, and by exact counts within it
 INPUTS = 1 << 13  # vectors of neighbours
 SIDE = 2  # neighbours on each side
-WIDTH, HIDDEN, MIXED = 16, 32, 32
+WIDTH, HIDDEN, MIXED = 16, 32, 16
 SMOOTH = 1000.0  # tokens' worth of the unigram in each component
 ALPHA = 0.5  # added to each word's count within its place
 WALK_BYTES = 16 << 20  # text that one walk of a round trains on, on average
 WARM_UP = 1000  # documents of the walk that all others start from
 PIECE = 1 << 13  # parameters are summed in pieces of so many numbers, FAN at a time
 FAN = 64
-BATCH = 512
+BATCH = 2048
 
 
 def hashed(data: bytes) -> np.ndarray:
@@ -114,14 +114,18 @@ class Network:
 
     def walk(self, batches: Iterator[tuple[np.ndarray, np.ndarray]], unigram: np.ndarray, rate: float = 0.1) -> np.ndarray:
         """Train on (places, neighbours) one after the other; returns the expected counts that were gathered on the way."""
-        gained, totals = np.zeros_like(self.mass), self.mass.sum(axis=0)
+        before, floor = self.mass.copy(), SMOOTH * unigram
+        totals = self.mass.sum(axis=0) + SMOOTH
         for place, around in batches:
             x, h, share = self.shares(around)
-            r = share * (self.mass[place] + gained[place] + SMOOTH * unigram[place, None]) / (totals + SMOOTH)
+            r = self.mass[place]
+            r += floor[place, None]
+            r *= share
+            r /= totals
             r /= r.sum(axis=1, keepdims=True)
             rows, part = _summed_rows(place, r)
-            gained[rows] += part
-            totals += r.sum(axis=0)
+            self.mass[rows] += part
+            totals += part.sum(axis=0)
             d = (share - r) / np.float32(len(place))
             dh = (d @ self.w2.T) * (1 - h * h)
             rows, dx = _summed_rows(around.ravel(), (dh @ self.w1.T).reshape(-1, WIDTH))
@@ -131,7 +135,7 @@ class Network:
                 p -= rate * g / (np.sqrt(self.squares[k + 1]) + 1e-6)
             self.squares[0][rows] += dx * dx
             self.vectors[rows] -= rate * dx / (np.sqrt(self.squares[0][rows]) + 1e-6)
-        return gained
+        return self.mass - before
 
 
 def _summed_rows(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -243,7 +247,7 @@ def vocabulary(src: DataFrame, n_own: int, n_shared: int) -> tuple[DataFrame, Pl
 
 
 def train(
-    df: DataFrame, text_col: str = "text", id_col: str = "doc_id", rounds: int = 2, walk_bytes: int = WALK_BYTES,
+    df: DataFrame, text_col: str = "text", id_col: str = "doc_id", rounds: int = 1, walk_bytes: int = WALK_BYTES,
     n_own: int = OWN, n_shared: int = SHARED,
 ) -> Model:
     """Count all words of all rows, then train on every position of every row in each of the rounds.
@@ -310,7 +314,7 @@ def _by_walk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[
         yield walk, (t for _, t in part)
 
 
-RESULT = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("base", pa.float64()), ("rare", pa.list_(pa.struct([("word", pa.int64()), ("n", pa.int32()), ("beside", pa.int32())])))])
+RESULT = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("base", pa.float64()), ("rare", pa.list_(pa.struct([("word", pa.int64()), ("n", pa.int32())])))])
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -340,21 +344,20 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
                 base.append(got)
                 some = place >= places.n_own
                 w, n = np.unique(words[some], return_counts=True)
-                at = places.of(w) - places.n_own
-                beside = np.bincount(place[some] - places.n_own, minlength=places.n_shared)[at] if len(w) else at
-                rare.append([{"word": a, "n": b, "beside": c} for a, b, c in zip(w.tolist(), n.tolist(), beside.tolist())])
+                if len(w):
+                    at, beside = np.unique(place[some], return_counts=True)
+                    rest = np.maximum(places.counts[at] - beside, 0.0) + ALPHA * np.maximum(places.words[at], 1.0)
+                    base[-1] -= float((beside * np.log(rest)).sum())
+                rare.append([{"word": a, "n": b} for a, b in zip(w.tolist(), n.tolist())])
             yield pa.RecordBatch.from_arrays([x.column("id"), *(pa.array(v, RESULT.field(i + 1).type) for i, v in enumerate((sizes, base, rare)))], schema=RESULT)
 
-    out = _texts(df, id_col, text_col).mapInArrow(run, "id long, n_tokens long, base double, rare array<struct<word:long,n:int,beside:int>>")
+    out = _texts(df, id_col, text_col).mapInArrow(run, "id long, n_tokens long, base double, rare array<struct<word:long,n:int>>")
     out = staged(out.withColumn("row", F.monotonically_increasing_id()), "scored")
-    of_place = df.sparkSession.createDataFrame([(k, float(c), float(w)) for k, (c, w) in enumerate(zip(places.counts[places.n_own :], places.words[places.n_own :]))], "p int, all double, words double")
     rare = out.select("row", F.explode("rare").alias("x")).select("row", "x.*")
     known = model.vocabulary if model.vocabulary is not None else df.sparkSession.createDataFrame([], "word long, n long")
-    joined = rare.join(known.withColumnRenamed("n", "in_all"), "word", "left").withColumn("p", F.pmod("word", F.lit(places.n_shared)).cast("int"))
-    joined = joined.join(F.broadcast(of_place), "p")  # n_shared rows
-    share = (F.greatest(F.coalesce("in_all", F.lit(0)) - F.col("n"), F.lit(0)) + ALPHA) / (
-        F.greatest(F.col("all") - F.col("beside"), F.lit(0.0)) + ALPHA * F.greatest("words", F.lit(1.0))
-    )
+    # a word that is in no other document adds log(ALPHA), so only words found more often need their count
+    joined = rare.join(known.filter("n > 1").withColumnRenamed("n", "in_all"), "word", "left")
+    share = F.greatest(F.coalesce("in_all", F.lit(0)) - F.col("n"), F.lit(0)) + ALPHA
     sums = joined.groupBy("row").agg(F.sum(F.col("n") * F.log(share)).alias("shares"))
     whole = out.join(sums, "row", "left").withColumn("log_prob", F.round(F.col("base") + F.coalesce("shares", F.lit(0.0)), 6))
     mean = F.col("log_prob") / F.nullif("n_tokens", F.lit(0))
