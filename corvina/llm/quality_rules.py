@@ -73,8 +73,8 @@ def normalised_line(line: Column) -> Column:
     return F.btrim(F.regexp_replace(folded, "[\\x20\\x09-\\x0D]+", " "), F.lit(" "))
 
 
-def base_rules(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row for each row of df: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
+def base_rules(df: DataFrame, id_col: str, text_col: str, with_text: bool = False) -> DataFrame:
+    """One row for each row of df: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, and text if asked for."""
     text = F.coalesce(F.col("text"), F.lit(""))
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     lines = _worded_lines(F.col("text"))
@@ -88,6 +88,7 @@ def base_rules(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.length(F.regexp_replace(text, "[\\x20\\x09-\\x0D]+", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace(text, SYMBOLS, "")).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+        *(["text"] if with_text else []),
     )
     n, r = F.col("w.n").cast("long"), F.col("w.r").cast("long")
     return out.select(
@@ -98,11 +99,15 @@ def base_rules(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         "n_dup_lines",
         r.alias("n_repeat_words"),
         ((n < 50) | (100 * r > 50 * n)).alias("base_failed"),
+        *(["text"] if with_text else []),
     )
 
 
-def line_table(df: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    """One row for each document and different line of it: id, host, line (hash), content (hash of the text), n_words in all."""
+def line_table(df: DataFrame, id_col: str, text_col: str, host_col: str, distinct: str = "documents") -> DataFrame:
+    """One row for each document and different line of it: id, host, line (hash), counted, n_words in all.
+
+    counted is what is counted once a line and host: the id (of rows without one the text), or the text ("texts").
+    """
     src = df.select(
         F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(host_col).cast("string").alias("host")
     )
@@ -110,19 +115,16 @@ def line_table(df: DataFrame, id_col: str, text_col: str, host_col: str) -> Data
         _worded_lines(F.col("text")),
         lambda x: F.struct(F.xxhash64(normalised_line(x)).alias("line"), F.size(words(x)).alias("n")),
     )
-    each = src.select(
-        "id", F.coalesce(F.col("host"), F.lit("")).alias("host"), F.xxhash64("text").alias("content"), F.explode(entry).alias("x")
-    )
-    return each.groupBy("id", "host", "content", F.col("x.line").alias("line")).agg(F.sum("x.n").alias("n_words"))
+    text = F.xxhash64("text")
+    counted = text if distinct == "texts" else F.when(F.col("id").isNull(), text).otherwise(F.xxhash64("id"))
+    each = src.select("id", F.coalesce(F.col("host"), F.lit("")).alias("host"), counted.alias("counted"), F.explode(entry).alias("x"))
+    return each.groupBy("id", "host", "counted", F.col("x.line").alias("line")).agg(F.sum("x.n").alias("n_words"))
 
 
 def frequent_lines(lines: DataFrame, line_share: float, min_docs: int) -> DataFrame:
-    """Lines in more than min_docs different documents of a host and more than line_share of its different documents.
-
-    Rows with equal texts are one document here: copies are for a deduplicator, and must not make their own lines boilerplate.
-    """
-    counts = lines.groupBy("host", "line").agg(F.count_distinct("content").alias("n_docs"))
-    hosts = lines.groupBy("host").agg(F.count_distinct("content").alias("host_docs"))
+    """Lines in more than min_docs different documents of a host and more than line_share of its different documents."""
+    counts = lines.groupBy("host", "line").agg(F.count_distinct("counted").alias("n_docs"))
+    hosts = lines.groupBy("host").agg(F.count_distinct("counted").alias("host_docs"))
     return (
         counts.filter(F.col("n_docs") > min_docs)
         .join(hosts, "host")
@@ -152,13 +154,15 @@ def line_frequency_rules(
     min_docs: int = 20,
     max_removed: float = 0.5,
     with_text: bool = False,
+    distinct: str = "documents",
 ) -> DataFrame:
     """Cross-document line frequency: drop lines that too many documents of a host share, reject depleted documents.
 
     A line is taken without case, digits and outer or repeated white space, as a 64-bit hash. It goes if it is in more than
     min_docs different documents of its host and in more than line_share of them. A document is rejected if a base rule
     fails (under 50 words, or over half of its words in repeated 3-word windows) or if over max_removed of its words went.
-    The lists of removed hashes stay with the document, so they are as long as its own lines at most.
+    The lists of removed hashes stay with the document, so they are as long as its own lines at most. distinct="texts" counts
+    rows with equal texts as one document, so that copies don't make their own lines frequent.
 
     Edge cases: a null text is an empty one (n_words 0, rejected); a null host is a host of its own; rows that share an id
     are judged by the lines of all of them and each returned; a null id has no removed lines; an empty table gives no rows;
@@ -166,11 +170,16 @@ def line_frequency_rules(
     Returns id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_lines_removed,
     n_words_removed, kept; with_text adds text without the removed lines, under the name cleaned_text.
     """
-    lines = staged(line_table(df, id_col, text_col, host_col), "lines")
+    lines = staged(line_table(df, id_col, text_col, host_col, distinct), "lines")
     verdicts = line_verdicts(lines, frequent_lines(lines, line_share, min_docs))
-    base = base_rules(df, id_col, text_col)
+    base = base_rules(df, id_col, text_col, with_text)
     gone, left = F.coalesce("n_words_removed", F.lit(0)), F.col("n_words")
-    out = base.join(verdicts, "id", "left").select(
+    # a line is looked for in the list of the document's own removed lines
+    left_lines = F.filter(
+        F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: ~F.array_contains("removed", F.xxhash64(normalised_line(x)))
+    )
+    cleaned = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(left_lines, "\n"))
+    return base.join(verdicts, "id", "left").select(
         F.col("id").alias(id_col),
         "n_words",
         "word_chars",
@@ -181,15 +190,5 @@ def line_frequency_rules(
         F.coalesce("n_lines_removed", F.lit(0)).cast("long").alias("n_lines_removed"),
         gone.cast("long").alias("n_words_removed"),
         (~F.col("base_failed") & (gone <= max_removed * left)).alias("kept"),
+        *([cleaned.alias("cleaned_text")] if with_text else []),
     )
-    if not with_text:
-        return out
-    removed = verdicts.select(F.col("id").alias("_id"), F.col("removed").alias("_removed"))
-    text = df.select(F.col(id_col).alias("_doc"), F.col(text_col).cast("string").alias("_text")).distinct()
-    text = text.join(removed, F.col("_doc") == F.col("_id"), "left")
-    line_left = F.filter(
-        F.split(F.coalesce("_text", F.lit("")), "\n"),
-        lambda x: ~F.array_contains("_removed", F.xxhash64(normalised_line(x))),
-    )
-    cleaned = F.when(F.col("_removed").isNull(), F.col("_text")).otherwise(F.array_join(line_left, "\n"))
-    return out.join(text.select(F.col("_doc").alias(id_col), cleaned.alias("cleaned_text")), id_col)

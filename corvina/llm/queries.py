@@ -104,8 +104,8 @@ ORACLE: dict[str, str] = {
     dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM l GROUP BY doc_id),
     e AS (SELECT doc_id, host, text, trim(regexp_replace(regexp_replace(lower(line), '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm,
         sum(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) AS n FROM l GROUP BY ALL),
-    hosts AS (SELECT host, count(DISTINCT text) AS host_docs FROM e GROUP BY host),
-    f AS (SELECT host, norm FROM (SELECT host, norm, count(DISTINCT text) AS n_docs FROM e GROUP BY host, norm) JOIN hosts USING (host)
+    hosts AS (SELECT host, count(DISTINCT doc_id) AS host_docs FROM e GROUP BY host),
+    f AS (SELECT host, norm FROM (SELECT host, norm, count(DISTINCT doc_id) AS n_docs FROM e GROUP BY host, norm) JOIN hosts USING (host)
         WHERE n_docs > 20 AND n_docs > 0.05 * host_docs),
     v AS (SELECT doc_id, count(*) AS n_lines_removed, sum(n) AS n_words_removed FROM e JOIN f USING (host, norm) GROUP BY doc_id),
     o AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
