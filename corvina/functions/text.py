@@ -38,15 +38,19 @@ TOKEN = r"[\p{L}\p{N}_]+"
 
 
 def _folding() -> tuple[str, str]:
-    """Every Latin, Greek or Cyrillic letter whose decomposition leaves one other character; combining marks go."""
-    source, target = [], []
-    for code in [*range(0xA0, 0x530), *range(0x1E00, 0x2000)]:
+    """Every character of the basic plane whose compatibility decomposition in lower case leaves one other character, full
+    width and super- and subscripts included; combining marks go. What decomposes into several characters (ligatures,
+    fractions) stays as it is, as a translation is by single characters."""
+    source, target, marks = [], [], []
+    for code in [*range(0xA0, 0xD800), *range(0xF900, 0x10000)]:
         c = chr(code)
+        if unicodedata.combining(c):
+            marks.append(c)
+            continue
         base = "".join(x for x in unicodedata.normalize("NFKD", c.lower()) if not unicodedata.combining(x))
-        if len(base) == 1 and base != c and not unicodedata.combining(c):
+        if len(base) == 1 and base != c:
             source.append(c)
             target.append(base)
-    marks = [chr(code) for code in range(0x300, 0x370) if unicodedata.combining(chr(code))]
     return "".join(source + marks), "".join(target)
 
 

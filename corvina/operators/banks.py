@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvina.functions.text import quoted
 from corvina.operators.evaluate import hash_order
+from corvina.shared import staged
 
 # Kinds of cases with and without an anchor in the corpus.
 ANCHORED = ("responde", "solo_referencia", "trampa_derogada", "responde_no_recuperado")
@@ -151,24 +152,35 @@ def same_top(a: DataFrame, b: DataFrame, ks: list[int]) -> DataFrame:
     return both.groupBy("k").agg(F.count("*").alias("n"), F.count_if(same).alias("same"))
 
 
-def negative_pairs(fragments: DataFrame, questions: DataFrame) -> DataFrame:
-    """(fragment, question): each fragment with a question of another source, each question once.
+def _places(x: DataFrame, name: str) -> DataFrame:
+    """x (name, source, pos) with its place when all rows are laid out by source and position; only one row a source is sorted whole."""
+    sizes = x.groupBy("source").agg(F.count("*").alias("n"))
+    before = Window.orderBy("source").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select("source", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    own = F.row_number().over(Window.partitionBy("source").orderBy("pos", name)) - 1
+    return x.withColumn("_i", own).join(bases, "source").select(name, F.col("source").alias(f"{name}_source"), (F.col("base") + F.col("_i")).alias("place"))
 
-    fragments: (fragment, source, pos), questions: (question, source, pos). Both are laid out by source and position, and
-    the questions are shifted past the largest source, so that places meet other sources wherever there are enough of them;
-    pairs of one source go.
+
+def negative_pairs(fragments: DataFrame, questions: DataFrame, rounds: int = 3) -> DataFrame:
+    """(fragment, question): each fragment with a question of another source as far as that goes, each question once.
+
+    fragments: (fragment, source, pos), questions: (question, source, pos). Both are laid out by source, and the questions
+    are shifted past their largest source, so that places meet other sources; what met its own source is laid out anew in
+    the next round. What is left after the rounds is paired whatever its source, until either side is used up.
     """
-    def placed(x: DataFrame, name: str) -> DataFrame:
-        sizes = x.groupBy("source").agg(F.count("*").alias("n"))
-        before = Window.orderBy("source").rowsBetween(Window.unboundedPreceding, -1)  # one row a source
-        bases = sizes.select("source", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-        own = F.row_number().over(Window.partitionBy("source").orderBy("pos", name)) - 1
-        return x.withColumn("_i", own).join(bases, "source").select(name, F.col("source").alias(f"{name}_source"), (F.col("base") + F.col("_i")).alias("place"))
-
-    f, q = placed(fragments, "fragment"), placed(questions, "question")
-    shape = questions.groupBy("source").agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("all"))
-    shifted = q.crossJoin(F.broadcast(shape)).withColumn("place", F.pmod(F.col("place") - F.col("most"), F.col("all")))  # one row
-    return f.join(shifted, "place").filter("fragment_source <> question_source").select("fragment", "question")
+    f, q, found = fragments.select("fragment", "source", "pos"), questions.select("question", "source", "pos"), []
+    for k in range(rounds + 1):
+        shape = q.groupBy("source").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("most"), F.coalesce(F.sum("n"), F.lit(1)).alias("all"))
+        place = F.pmod(F.col("place") - (F.col("most") if k < rounds else F.lit(0)), F.col("all"))
+        shifted = _places(q, "question").crossJoin(F.broadcast(shape)).withColumn("place", place)  # one row
+        pairs = _places(f, "fragment").join(shifted, "place")
+        pairs = pairs.filter("fragment_source <> question_source") if k < rounds else pairs
+        found.append(staged(pairs.select("fragment", "question"), "pairs"))
+        f, q = f.join(found[-1], "fragment", "left_anti"), q.join(found[-1], "question", "left_anti")
+    out = found[0]
+    for x in found[1:]:
+        out = out.unionByName(x)
+    return out
 
 
 def multi_fragment_dataset(questions: DataFrame, ranked: DataFrame, n: int = 5, deep: int = 8, least: int = 3) -> DataFrame:
