@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvina.functions.text import has_mojibake
@@ -124,6 +124,34 @@ def contract_violations(manifest: dict, chunk_mode: str, header: bool, corpus: s
     return found
 
 
+def write_manifest(spark: SparkSession, path: str, settings: dict[str, str]) -> None:
+    """The settings that an index was built under, as one row beside it; an existing manifest is replaced."""
+    rows = [(str(k), str(v)) for k, v in sorted(settings.items())]
+    spark.createDataFrame(rows, "name string, value string").coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_manifest(spark: SparkSession, path: str) -> dict[str, str]:
+    return {r["name"]: r["value"] for r in spark.read.schema("name string, value string").json(path).collect()}
+
+
+def guarded_append(fragments: DataFrame, path: str, key: str, settings: dict[str, str]) -> int:
+    """Append what the index at path lacks, if its manifest allows these settings and it holds nothing that fragments lack.
+
+    Raises ValueError with the reasons otherwise. Returns how many rows the index has then.
+    """
+    spark = fragments.sparkSession
+    manifest = read_manifest(spark, f"{path}/manifest")
+    wrong = [f"{k}: the index has {manifest[k]!r}, asked for {v!r}" for k, v in settings.items() if k in manifest and manifest[k] != str(v)]
+    indexed = spark.read.parquet(f"{path}/rows")
+    gone = superset_violations(indexed, fragments, key).limit(5).collect()
+    if gone:
+        wrong.append(f"rows that the corpus no longer has: {[r[key] for r in gone]}")
+    if wrong:
+        raise ValueError("; ".join(wrong))
+    pending(fragments, indexed, key).write.mode("append").parquet(f"{path}/rows")
+    return spark.read.parquet(f"{path}/rows").count()
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """New rows replace old ones of the same key."""
     return old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvina.functions import text as tx
-from corvina.operators import chunking, corpus, evaluate, grounding, pilot, routing, usage, validity
+from corvina.operators import chunking, corpus, evaluate, grounding, lexical, pilot, routing, usage, validity
 from corvina.plans.register import STOP, docs, query, toks
 from corvina.plans.register_serving import note
 from corvina.session import table
@@ -275,6 +275,56 @@ def superintendence_hits(spark, d):
     return connectors.superintendence_hits(spark, path).select("id", "texto", F.array_join("descriptores", ",").alias("descriptores"))
 
 
+@query(
+    """SELECT 'sic:h' || item_id AS id, CASE WHEN item_id % 3 = 0 THEN 'h' || item_id ELSE '2020-' || item_id END AS identificador, 'SIC ' || CASE WHEN item_id % 2 = 0 THEN 'Auto' ELSE 'Providencia' END || ' ' ||
+        CASE WHEN item_id % 3 = 0 THEN 'h' || item_id ELSE '2020-' || item_id END AS titulo, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS texto FROM benchmark
+    WHERE item_id % 7 > 0 AND length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) >= 100"""
+)
+def commerce_hits(spark, d):
+    i = F.col("item_id")
+    file = F.concat(F.lit("s3/"), i.cast("string"))
+    info = F.struct(
+        F.when(i % 3 > 0, i.cast("string")).alias("numero_expediente"), F.lit("2020").alias("ano_expediente"), F.when(i % 2 == 0, "Auto").alias("tipo_providencia")
+    )
+    source = F.struct(info.alias("informacion"), F.struct(F.when(i % 7 > 0, file).alias("url_documento_pdf_s3")).alias("documento_resumen"))
+    hit = F.struct(F.concat(F.lit("h"), i.cast("string")).alias("_id"), source.alias("_source"))
+    path = shared_path(spark, "commerce")
+    table(spark, d, "benchmark").select(F.to_json(F.struct(F.struct(F.array(hit).alias("hits")).alias("hits"))).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    texts = table(spark, d, "benchmark").select(file.alias("file"), F.col("text").alias("texto"))
+    return connectors.commerce_hits(spark, path, texts).select("id", "identificador", "titulo", "texto")
+
+
+@query("SELECT doc_id, lang FROM documents")
+def guarded_index(spark, d):
+    """An index of half of the rows, extended under its contract; other settings and a smaller corpus are refused."""
+    path, rows, settings = shared_path(spark, "guarded"), docs(spark, d).select("doc_id", "lang"), {"chunk_mode": "paragraphs", "header": "no"}
+    rows.filter("doc_id % 2 = 0").write.parquet(f"{path}/rows")
+    corpus.write_manifest(spark, f"{path}/manifest", settings)
+    for bad in ((rows, {**settings, "header": "yes"}), (rows.filter("doc_id % 2 = 1"), settings)):
+        try:
+            corpus.guarded_append(bad[0], path, "doc_id", bad[1])
+        except ValueError:
+            continue
+        raise AssertionError("an index was extended against its contract")
+    corpus.guarded_append(rows, path, "doc_id", settings)
+    return spark.read.parquet(f"{path}/rows")
+
+
+@query(
+    """SELECT (SELECT count(*) FROM embeddings) AS n_vectors, (SELECT count(*) FROM documents WHERE length(text) > 0) AS n_lexical,
+        abs((SELECT count(*) FROM embeddings) - (SELECT count(*) FROM documents WHERE length(text) > 0)) <= 0.01 * (SELECT count(*) FROM embeddings) AS agree, true AS found_itself"""
+)
+def reindex_checks(spark, d):
+    """Counts of both halves of an index, and whether a fragment is found by its own text."""
+    path = shared_path(spark, "reindexed")
+    rows = docs(spark, d).select("doc_id", "text")
+    lexical.write_index(rows, path)
+    probe = rows.filter(F.length("text") > 200).orderBy("doc_id").limit(1).select(F.lit(1).alias("query_id"), F.substring("text", 1, 2000).alias("text"), "doc_id")
+    hits = lexical.bm25_index(spark, path, lexical.query_table(probe, "query_id", "text"), 5)
+    found = hits.select("doc_id", "rank")
+    return corpus.reindex_checks(table(spark, d, "embeddings"), spark.read.parquet(f"{path}/postings"), found, probe.first()["doc_id"])
+
+
 @query(
     """SELECT 'legalize_co_github:L-' || item_id AS id, CASE item_id % 3 WHEN 0 THEN 'ley' WHEN 1 THEN 'decreto' ELSE 'ley' END AS tipo, 'L-' || item_id AS identificador, 'Norma ' || item_id AS titulo,
         regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS texto FROM benchmark WHERE length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) >= 40"""

@@ -72,6 +72,36 @@ def superintendence_hits(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def commerce_hits(spark: SparkSession, path: str, texts: DataFrame) -> DataFrame:
+    """API answers whose texts are in PDF files: hits.hits[]._source joined to texts (file, texto) that were extracted before.
+
+    Hits without a file, and texts that are missing or short, go.
+    """
+    schema = (
+        "hits struct<hits: array<struct<_id: string, _source: struct<informacion: struct<numero_expediente: string, ano_expediente: string, "
+        "tipo_providencia: string, tipo_proceso: string, fecha_providencia: string>, documento_resumen: struct<url_documento_pdf_s3: string>, "
+        "tesauro: array<struct<descriptor: struct<nombre: string>>>>>>>"
+    )
+    hit = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("hits.hits").alias("h"))
+    info = lambda name: F.col(f"h._source.informacion.{name}")
+    number = F.coalesce(info("numero_expediente"), F.lit(""))
+    ident = F.when(number != "", F.concat(F.coalesce(info("ano_expediente"), F.lit("")), F.lit("-"), number)).otherwise(F.col("h._id"))
+    names = F.filter(F.transform("h._source.tesauro", lambda t: t["descriptor"]["nombre"]), lambda x: F.coalesce(x, F.lit("")) != "")
+    rows = hit.select(
+        F.concat(F.lit("sic:"), F.col("h._id")).alias("id"),
+        F.lit("sic").alias("fuente"),
+        F.lit("sentencia").alias("tipo"),
+        ident.alias("identificador"),
+        F.concat_ws(" ", F.lit("SIC"), F.coalesce(info("tipo_providencia"), F.lit("Providencia")), ident).alias("titulo"),
+        info("fecha_providencia").alias("fecha"),
+        F.lit("https://relatoria.sic.gov.co/#/").alias("url_original"),
+        F.struct(info("tipo_proceso").alias("tipo_proceso"), info("tipo_providencia").alias("tipo_providencia"), names.alias("tesauro")).alias("metadata"),
+        F.col("h._source.documento_resumen.url_documento_pdf_s3").alias("file"),
+    )
+    known = texts.select("file", strip(F.col("texto")).alias("texto")).filter(F.length("texto") >= MIN_LENGTH["api"])
+    return rows.join(known, "file").drop("file")
+
+
 def markdown_laws(spark: SparkSession, path: str) -> DataFrame:
     """Markdown files with a YAML head between --- lines; the head's plain keys become columns."""
     raw = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
