@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corvina.functions import text as tx
 from corvina.operators import chunking, corpus, evaluate, fusion, grounding, lexical, routing, usage, validity, vector
 from corvina.session import table
-from corvina.shared import shared_dir, small, staged
+from corvina.shared import shared_dir, small, spread, staged
 from corvina.sources import connectors
 from corvina.streaming import quota
 
@@ -68,7 +68,7 @@ COS = "greatest(0.0, round(1 - list_sum(list_transform(list_zip(e, qe), lambda z
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents"))
 
 
 def bench_terms(spark: SparkSession, d: str) -> DataFrame:

@@ -41,3 +41,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df marked for broadcast if a count shows that it has few rows; else df as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def spread(df: DataFrame, most_bytes: int = 20 << 20) -> DataFrame:
+    """df dealt evenly over all cores if its files are small: a small file is often one row group, which one task would read.
+
+    Larger tables have row groups enough, and stay as they are: their rows aren't shuffled for it.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= most_bytes else df
