@@ -16,6 +16,7 @@ from corvina.llm import (
     suffix_dedup,
     toxicity,
 )
+from corvina.shared import spread
 
 
 def tokenizer_path(name: str) -> str:
@@ -32,7 +33,7 @@ def bounded_batches(spark: SparkSession) -> None:
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
