@@ -27,12 +27,26 @@ WARM_UP = 1000  # documents of the walk that all others start from
 PIECE = 1 << 13  # parameters are summed in pieces of so many numbers, FAN at a time
 FAN = 64
 BATCH = 2048
+SLOTS = 18  # bits of a word's hash by which it is looked up
+
+
+class _Hashes(dict):
+    """Hashes of words that were met lately."""
+
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = xxh64_intdigest(word)
+        return found
+
+
+_HASHES = _Hashes()
 
 
 def hashed(data: bytes) -> np.ndarray:
     """A 64-bit hash of each lower-cased word."""
+    if len(_HASHES) > 300_000:
+        _HASHES.clear()
     tokens = data.lower().split()
-    return np.fromiter(map(xxh64_intdigest, tokens), dtype=np.uint64, count=len(tokens)).view(np.int64)
+    return np.fromiter(map(_HASHES.__getitem__, tokens), dtype=np.uint64, count=len(tokens)).view(np.int64)
 
 
 @dataclass
@@ -50,11 +64,32 @@ class Places:
         return len(self.counts) - self.n_own
 
     def of(self, words: np.ndarray) -> np.ndarray:
-        shared = self.n_own + (words.view(np.uint64) % np.uint64(self.n_shared)).astype(np.int64)
+        shared = self.n_own + (words & np.int64(self.n_shared - 1))
         if not len(self.own):
             return shared
-        at = np.minimum(np.searchsorted(self.own, words), len(self.own) - 1)
-        return np.where(self.own[at] == words, at, shared)
+        slot = words & np.int64((1 << SLOTS) - 1)
+        at = self._slots()[slot]
+        found = (at >= 0) & (self.own[at] == words)
+        out = np.where(found, at, shared)
+        crowded = np.flatnonzero(at == -2)  # two words of own lie in this slot
+        if len(crowded):
+            w = words[crowded]
+            at = np.minimum(np.searchsorted(self.own, w), len(self.own) - 1)
+            out[crowded] = np.where(self.own[at] == w, at, shared[crowded])
+        return out
+
+    def _slots(self) -> np.ndarray:
+        """Where in own a word with these lowest bits may be: -1 nowhere, -2 in several places."""
+        if "table" not in self.__dict__:
+            slot = self.own & np.int64((1 << SLOTS) - 1)
+            table = np.full(1 << SLOTS, -1, dtype=np.int32)
+            table[slot] = np.arange(len(self.own))
+            table[np.flatnonzero(np.bincount(slot, minlength=1 << SLOTS) > 1)] = -2
+            self.__dict__["table"] = table
+        return self.__dict__["table"]
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "table"}
 
 
 @dataclass
@@ -108,9 +143,12 @@ class Network:
         z = np.exp(z - z.max(axis=1, keepdims=True))
         return x, h, z / z.sum(axis=1, keepdims=True)
 
-    def log_probs(self, place: np.ndarray, around: np.ndarray, unigram: np.ndarray, totals: np.ndarray) -> np.ndarray:
-        like = (self.mass[place] + SMOOTH * unigram[place, None]) / (totals + SMOOTH)
-        return np.log((self.shares(around)[2] * like).sum(axis=1, dtype=np.float64))
+    def components(self, unigram: np.ndarray) -> np.ndarray:
+        """P(place | component), one column each."""
+        return (self.mass + SMOOTH * unigram[:, None]) / (self.mass.sum(axis=0) + SMOOTH)
+
+    def log_probs(self, place: np.ndarray, around: np.ndarray, components: np.ndarray) -> np.ndarray:
+        return np.log(np.einsum("ij,ij->i", self.shares(around)[2], components[place], dtype=np.float64))
 
     def walk(self, batches: Iterator[tuple[np.ndarray, np.ndarray]], unigram: np.ndarray, rate: float = 0.1) -> np.ndarray:
         """Train on (places, neighbours) one after the other; returns the expected counts that were gathered on the way."""
@@ -140,7 +178,7 @@ class Network:
 
 def _summed_rows(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each different key and the sum of its rows of values."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys.astype(np.uint16) if INPUTS + OWN + SHARED <= 1 << 16 else keys, kind="stable")  # short keys sort faster
     k = keys[order]
     cut = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
     return k[cut], np.add.reduceat(values[order], cut, axis=0)
@@ -314,9 +352,6 @@ def _by_walk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[
         yield walk, (t for _, t in part)
 
 
-RESULT = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("base", pa.float64()), ("rare", pa.list_(pa.struct([("word", pa.int64()), ("n", pa.int32())])))])
-
-
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_tokens, log_prob (sum over all tokens, each given both sides), mean_log_prob, pseudo_perplexity.
 
@@ -329,27 +364,33 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     stays null; an empty table gives no rows (and an untrained model); other columns are ignored.
     """
     places, network = model.places, model.network
-    unigram = (places.counts / max(1.0, places.counts.sum())).astype(np.float32)
-    totals = network.mass.sum(axis=0)
+    components = network.components((places.counts / max(1.0, places.counts.sum())).astype(np.float32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            sizes, base, rare = [], [], []
+            sizes, base, rare, times = [], [], [], []
             for t in x.column("text").to_pylist():
                 words = hashed(t)
                 place, around, got = places.of(words), windows(words), 0.0
                 for lo in range(0, len(words), 1 << 14):  # one text at a time: the same sums in whatever batch it comes
-                    got += float(network.log_probs(place[lo : lo + (1 << 14)], around[lo : lo + (1 << 14)], unigram, totals).sum())
-                sizes.append(len(words))
-                base.append(got)
+                    got += float(network.log_probs(place[lo : lo + (1 << 14)], around[lo : lo + (1 << 14)], components).sum())
                 some = place >= places.n_own
                 w, n = np.unique(words[some], return_counts=True)
                 if len(w):
                     at, beside = np.unique(place[some], return_counts=True)
                     rest = np.maximum(places.counts[at] - beside, 0.0) + ALPHA * np.maximum(places.words[at], 1.0)
-                    base[-1] -= float((beside * np.log(rest)).sum())
-                rare.append([{"word": a, "n": b} for a, b in zip(w.tolist(), n.tolist())])
-            yield pa.RecordBatch.from_arrays([x.column("id"), *(pa.array(v, RESULT.field(i + 1).type) for i, v in enumerate((sizes, base, rare)))], schema=RESULT)
+                    got -= float((beside * np.log(rest)).sum())
+                sizes.append(len(words))
+                base.append(got)
+                rare.append(w)
+                times.append(n)
+            ends = pa.array(np.cumsum([0, *map(len, rare)]), pa.int32())
+            flat = pa.StructArray.from_arrays(
+                [pa.array(np.concatenate([*rare, np.zeros(0, np.int64)])), pa.array(np.concatenate([*times, np.zeros(0, np.int64)]).astype(np.int32))],
+                names=["word", "n"],
+            )
+            columns = [x.column("id"), pa.array(sizes, pa.int64()), pa.array(base, pa.float64()), pa.ListArray.from_arrays(ends, flat)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "n_tokens", "base", "rare"])
 
     out = _texts(df, id_col, text_col).mapInArrow(run, "id long, n_tokens long, base double, rare array<struct<word:long,n:int>>")
     out = staged(out.withColumn("row", F.monotonically_increasing_id()), "scored")

@@ -239,7 +239,7 @@ def test_masked_lm(docs, rows, empty):
     unigram = model.places.counts / model.places.counts.sum()
     around = np.random.default_rng(1).integers(0, masked_lm.INPUTS, (1, 4))
     every = np.arange(len(unigram))
-    p = np.exp(model.network.log_probs(every, np.repeat(around, len(every), axis=0), unigram.astype(np.float32), model.network.mass.sum(axis=0)))
+    p = np.exp(model.network.log_probs(every, np.repeat(around, len(every), axis=0), model.network.components(unigram.astype(np.float32))))
     assert abs(p.sum() - 1) < 1e-3
     none = masked_lm.train(empty)
     assert masked_lm.score(empty, none).count() == 0 and masked_lm.score(docs, none).count() == len(rows)
@@ -277,7 +277,7 @@ def test_masked_lm_beats_the_unigram_on_held_out_text(spark):
     for t in held_out:
         words = masked_lm.hashed(t.encode())
         place = model.places.of(words)
-        gain += (model.network.log_probs(place, masked_lm.windows(words), unigram, model.network.mass.sum(axis=0)) - np.log(unigram[place])).sum()
+        gain += (model.network.log_probs(place, masked_lm.windows(words), model.network.components(unigram)) - np.log(unigram[place])).sum()
         n += len(words)
     assert gain / n > 0.7  # nats a token; knowing the kind is worth ln 4
 
