@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corvina.functions.text import quoted
 from corvina.operators.evaluate import hash_order
-from corvina.shared import staged
+from corvina.shared import small, staged
 
 # Kinds of cases with and without an anchor in the corpus.
 ANCHORED = ("responde", "solo_referencia", "trampa_derogada", "responde_no_recuperado")
@@ -37,7 +37,7 @@ def bank_violations(
     own = Window.partitionBy("case_id")
     texts = fragments.select(F.col("id").alias("_f"), F.col("texto").alias("_t"))
     anchors = cases.select(F.col("fragmento_id").alias("_f")).filter("_f is not null").distinct()
-    texts = texts.join(F.broadcast(anchors), "_f", "left_semi")  # a bank is hundreds of cases, written by hand
+    texts = texts.join(small(anchors), "_f", "left_semi")
     rows = cases.withColumn("_n", F.count("*").over(own)).withColumn("_f", F.col("fragmento_id")).join(texts, "_f", "left")
     has = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
     bare, due = F.col("tipo").isin(*without), F.col("tipo").isin(*anchored)
@@ -118,7 +118,7 @@ def retriever_contribution(gold: DataFrame, vector: DataFrame, lexical: DataFram
     """
     out = gold.select("query_id", "document")
     for name, x, n in (("v", vector, depth), ("l", lexical, depth), ("f", fused, k)):
-        best = x.filter(F.col("rank") <= n).join(F.broadcast(gold.select("query_id", "document")), ["query_id", "document"], "left_semi")
+        best = x.filter(F.col("rank") <= n).join(small(gold.select("query_id", "document")), ["query_id", "document"], "left_semi")
         out = out.join(best.groupBy("query_id").agg(F.min("rank").alias(name)), "query_id", "left")
     v, le, f = (F.col(c).isNotNull() for c in "vlf")
     return out.agg(
