@@ -30,23 +30,10 @@ BATCH = 2048
 SLOTS = 18  # bits of a word's hash by which it is looked up
 
 
-class _Hashes(dict):
-    """Hashes of words that were met lately."""
-
-    def __missing__(self, word: bytes) -> int:
-        found = self[word] = xxh64_intdigest(word)
-        return found
-
-
-_HASHES = _Hashes()
-
-
 def hashed(data: bytes) -> np.ndarray:
     """A 64-bit hash of each lower-cased word."""
-    if len(_HASHES) > 300_000:
-        _HASHES.clear()
     tokens = data.lower().split()
-    return np.fromiter(map(_HASHES.__getitem__, tokens), dtype=np.uint64, count=len(tokens)).view(np.int64)
+    return np.fromiter(map(xxh64_intdigest, tokens), dtype=np.uint64, count=len(tokens)).view(np.int64)
 
 
 @dataclass
@@ -379,7 +366,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
                 if len(w):
                     at, beside = np.unique(place[some], return_counts=True)
                     rest = np.maximum(places.counts[at] - beside, 0.0) + ALPHA * np.maximum(places.words[at], 1.0)
-                    got -= float((beside * np.log(rest)).sum())
+                    got += float((beside * (math.log(ALPHA) - np.log(rest))).sum())  # as if in no other document; what is, is added below
                 sizes.append(len(words))
                 base.append(got)
                 rare.append(w)
@@ -396,10 +383,10 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     out = staged(out.withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = out.select("row", F.explode("rare").alias("x")).select("row", "x.*")
     known = model.vocabulary if model.vocabulary is not None else df.sparkSession.createDataFrame([], "word long, n long")
-    # a word that is in no other document adds log(ALPHA), so only words found more often need their count
-    joined = rare.join(known.filter("n > 1").withColumnRenamed("n", "in_all"), "word", "left")
-    share = F.greatest(F.coalesce("in_all", F.lit(0)) - F.col("n"), F.lit(0)) + ALPHA
-    sums = joined.groupBy("row").agg(F.sum(F.col("n") * F.log(share)).alias("shares"))
+    # words that are in other documents too; the side of the counts is built per partition, so the longer one isn't sorted
+    joined = rare.join(known.filter("n > 1").withColumnRenamed("n", "in_all").hint("shuffle_hash"), "word").filter("in_all > n")
+    share = F.log((F.col("in_all") - F.col("n") + ALPHA) / ALPHA)
+    sums = joined.groupBy("row").agg(F.sum(F.col("n") * share).alias("shares"))
     whole = out.join(sums, "row", "left").withColumn("log_prob", F.round(F.col("base") + F.coalesce("shares", F.lit(0.0)), 6))
     mean = F.col("log_prob") / F.nullif("n_tokens", F.lit(0))
     return whole.select(
