@@ -138,23 +138,24 @@ PART_CODEBOOKS_SQL = f"""WITH q AS (SELECT vec_id, label, row_number() OVER (ORD
     SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM c JOIN q USING (id), h"""
 
 ORACLE: dict[str, str] = {
-    "op1_line_frequency": r"""WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text,
+    "op1_line_frequency": r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text,
         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-    g AS (SELECT doc_id, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 4)),
-    t AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM g),
-    r AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM t, (VALUES (0), (1), (2)) x(k) WHERE n > 1 GROUP BY doc_id),
-    l AS (SELECT * FROM (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-    dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM l GROUP BY doc_id),
-    e AS (SELECT doc_id, host, text, trim(regexp_replace(regexp_replace(lower(line), '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm,
+    g AS (SELECT r, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 4)),
+    t AS (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS n FROM g),
+    p AS (SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM t, (VALUES (0), (1), (2)) x(k) WHERE n > 1 GROUP BY r),
+    l AS (SELECT * FROM (SELECT r, doc_id, host, text, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+    dup AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM l GROUP BY r),
+    e AS (SELECT r, CASE WHEN doc_id IS NULL THEN 't' || text ELSE 'i' || doc_id END AS counted, host,
+        trim(regexp_replace(regexp_replace(lower(line), '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm,
         sum(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) AS n FROM l GROUP BY ALL),
-    hosts AS (SELECT host, count(DISTINCT doc_id) AS host_docs FROM e GROUP BY host),
-    f AS (SELECT host, norm FROM (SELECT host, norm, count(DISTINCT doc_id) AS n_docs FROM e GROUP BY host, norm) JOIN hosts USING (host)
+    hosts AS (SELECT host, count(DISTINCT counted) AS host_docs FROM e GROUP BY host),
+    f AS (SELECT host, norm FROM (SELECT host, norm, count(DISTINCT counted) AS n_docs FROM e GROUP BY host, norm) JOIN hosts USING (host)
         WHERE n_docs > 20 AND n_docs > 0.05 * host_docs),
-    v AS (SELECT doc_id, count(*) AS n_lines_removed, sum(n) AS n_words_removed FROM e JOIN f USING (host, norm) GROUP BY doc_id),
+    v AS (SELECT r, count(*) AS n_lines_removed, sum(n) AS n_words_removed FROM e JOIN f USING (host, norm) GROUP BY r),
     o AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
         length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
         coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(n_lines_removed, 0)::BIGINT AS n_lines_removed,
-        coalesce(n_words_removed, 0)::BIGINT AS n_words_removed FROM d LEFT JOIN r USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN v USING (doc_id)),
+        coalesce(n_words_removed, 0)::BIGINT AS n_words_removed FROM d LEFT JOIN p USING (r) LEFT JOIN dup USING (r) LEFT JOIN v USING (r)),
     b AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed FROM o)
     SELECT *, (NOT base_failed AND n_words_removed <= 0.5 * n_words) AS kept FROM b""",
     "op12_part_codebooks": PART_CODEBOOKS_SQL,

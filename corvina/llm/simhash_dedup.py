@@ -152,23 +152,8 @@ def links(fps: DataFrame, budget: int, task_rows: int = TASK_ROWS) -> DataFrame:
             by, width = plan[int(k)]
             top = width + int(deep)
             keys = _rotl(part["fp"].to_numpy(np.int64).view(np.uint64), by)
-            u, v = part["u"].to_numpy(np.int64), part["v"].to_numpy(np.int64)
-            order = np.lexsort((keys, v, u))
-            keys, u, v = keys[order], u[order], v[order]
-            lead = keys >> np.uint64(BITS - top)
-            group = np.append(True, (u[1:] != u[:-1]) | (v[1:] != v[:-1]) | (lead[1:] >> np.uint64(deep) != lead[:-1] >> np.uint64(deep)))
-            cut = np.flatnonzero(group | np.append(True, lead[1:] != lead[:-1]))
-            ends = np.append(cut[1:], len(keys))
-            own = (u == v)[cut] & (ends - cut > 1)  # a node with itself; else the two nodes of a group
-            first = np.flatnonzero(~(u == v)[cut] & group[cut])
-            first = first[first + 1 < len(cut)]
-            first = first[~group[cut[first + 1]]]
-            diff = np.bitwise_count(lead[cut[first]] ^ lead[cut[np.minimum(first + 1, len(cut) - 1)]]).astype(np.int64)
-            pairs = (
-                np.concatenate([cut[own], cut[first]]), np.concatenate([ends[own], ends[first]]),
-                np.concatenate([cut[own], cut[first + 1]]), np.concatenate([ends[own], ends[first + 1]]),
-                np.concatenate([np.zeros(own.sum(), dtype=np.int64), diff]),
-            )
+            order, pairs = tries(keys, part["u"].to_numpy(np.int64), part["v"].to_numpy(np.int64), top, int(deep))
+            keys = keys[order]
             up = np.arange(len(keys))
             for a, b in trie_links(keys, pairs, top, budget):
                 merged(up, a, b)
@@ -183,24 +168,51 @@ def links(fps: DataFrame, budget: int, task_rows: int = TASK_ROWS) -> DataFrame:
         for k, (by, width) in enumerate(plan)
     ))
     each = fps.select("fp", F.explode(blocks).alias("x")).select("fp", "x.*")
-    if n <= task_rows:  # no lead can be over it
-        nodes = each.select("block", "lead", "fp", *(F.lit(0).alias(c) for c in ("deep", "u", "v")))
-    else:
-        sizes = each.groupBy("block", "lead").agg(F.count("*").alias("n")).filter(F.col("n") > task_rows)
-        bits = F.least(F.lit(DEEP), F.ceil(F.log2(F.col("n") / task_rows))).cast("int")
-        split = each.join(F.broadcast(sizes.select("block", "lead", bits.alias("deep"))), ["block", "lead"], "left")  # 2 ** width leads a block
-        split = split.withColumn("deep", F.coalesce("deep", F.lit(0))).withColumn("c", F.call_function("shiftright", F.col("next"), F.lit(DEEP) - F.col("deep")).cast("int"))
-        near = F.filter(
-            F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), F.col("deep")) - 1), lambda y: F.bit_count(y.bitwiseXOR(F.col("c"))) <= budget
-        )
-        nodes = split.withColumn("y", F.explode(near)).select(
-            "block", "lead", "fp", "deep", F.least("c", "y").alias("u"), F.greatest("c", "y").alias("v")
-        )
+    nodes = split_leads(each, n, budget, task_rows)
     tasks = max(partitions(fps.sparkSession), -(-n * len(plan) // task_rows))
     dealt = nodes.repartition(tasks, "block", "lead", "u", "v").select("block", "deep", "u", "v", "fp")
     return dealt.mapInPandas(join, "a long, b long")
 
 
+def tries(keys: np.ndarray, u: np.ndarray, v: np.ndarray, top: int, deep: int) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    """(order, pairs): how a task's keys of one table are sorted, and the pairs of tries that trie_links() joins over them.
+
+    u, v: the nodes below the lead (top - deep bits) that a row's group is made of; equal where a node meets itself.
+    """
+    order = np.lexsort((keys, v, u))
+    keys, u, v = keys[order], u[order], v[order]
+    lead = keys >> np.uint64(BITS - top)
+    group = np.append(True, (u[1:] != u[:-1]) | (v[1:] != v[:-1]) | (lead[1:] >> np.uint64(deep) != lead[:-1] >> np.uint64(deep)))
+    cut = np.flatnonzero(group | np.append(True, lead[1:] != lead[:-1]))
+    ends = np.append(cut[1:], len(keys))
+    own = (u == v)[cut] & (ends - cut > 1)  # a node with itself; else the two nodes of a group
+    first = np.flatnonzero(~(u == v)[cut] & group[cut])
+    first = first[first + 1 < len(cut)]
+    first = first[~group[cut[first + 1]]]
+    diff = np.bitwise_count(lead[cut[first]] ^ lead[cut[np.minimum(first + 1, len(cut) - 1)]]).astype(np.int64)
+    return order, (
+        np.concatenate([cut[own], cut[first]]), np.concatenate([ends[own], ends[first]]),
+        np.concatenate([cut[own], cut[first + 1]]), np.concatenate([ends[own], ends[first + 1]]),
+        np.concatenate([np.zeros(own.sum(), dtype=np.int64), diff]),
+    )
+
+
+def split_leads(each: DataFrame, n: int, budget: int, task_rows: int = TASK_ROWS) -> DataFrame:
+    """each (block, lead, next, ...) of n fingerprints with deep, u, v in place of next: leads of more than task_rows rows are
+    split by deep further bits (of next, their first DEEP), and a row goes to each pair of nodes within the budget that its own is in."""
+    rest = [c for c in each.columns if c not in ("block", "lead", "next")]
+    if n <= task_rows:  # no lead can be over it
+        return each.select("block", "lead", *rest, *(F.lit(0).alias(c) for c in ("deep", "u", "v")))
+    sizes = each.groupBy("block", "lead").agg(F.count("*").alias("n")).filter(F.col("n") > task_rows)
+    bits = F.least(F.lit(DEEP), F.ceil(F.log2(F.col("n") / task_rows))).cast("int")
+    split = each.join(F.broadcast(sizes.select("block", "lead", bits.alias("deep"))), ["block", "lead"], "left")  # at most rows / task_rows leads
+    split = split.withColumn("deep", F.coalesce("deep", F.lit(0))).withColumn("c", F.call_function("shiftright", F.col("next"), F.lit(DEEP) - F.col("deep")).cast("int"))
+    near = F.filter(
+        F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), F.col("deep")) - 1), lambda y: F.bit_count(y.bitwiseXOR(F.col("c"))) <= budget
+    )
+    return split.withColumn("y", F.explode(near)).select("block", "lead", *rest, "deep", F.least("c", "y").alias("u"), F.greatest("c", "y").alias("v"))
+
+
 #: A lead's tries are split by at most so many further bits.
 DEEP = 10
 
@@ -228,18 +240,33 @@ def near_duplicates(
     its component's id (null if it has no other); an empty table gives no rows; other columns are ignored.
     """
     source = fingerprints(df, id_col, text_col, shingle, carry).withColumn("n", F.monotonically_increasing_id())
-    marked = staged(source.withColumn("salt", F.pmod(F.xxhash64("n"), F.lit(SALTS)).cast("int")), "fingerprints")
+    marked = staged(salted(source), "fingerprints")
+    nodes = staged(nodes_of(marked, "fp"), "nodes")
+    found = grouped(marked, nodes, staged(links(nodes.select("fp"), budget), "links"), "fp")
+    return found.select(
+        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "first", *(["row"] if carry else [])
+    )
+
+
+def salted(source: DataFrame) -> DataFrame:
+    """source with the salt of each of its rows n, under which a hot node's rows are dealt out."""
+    return source.withColumn("salt", F.pmod(F.xxhash64("n"), F.lit(SALTS)).cast("int"))
+
+
+def nodes_of(marked: DataFrame, key: str, *more: Column) -> DataFrame:
+    """One row for each different key of marked (id, n, salt): its least row, the salts that its rows have, and more aggregates."""
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "n"))
-    nodes = staged(marked.groupBy("fp").agg(least.alias("least"), F.collect_set("salt").alias("salts")), "nodes")
-    reached = components(staged(links(nodes.select("fp"), budget), "links"))
-    mine = F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")
-    labelled = nodes.join(reached, nodes["fp"] == reached["node"], "left").select(
-        "fp", "salts", "least", F.coalesce("root", "fp").alias("root"), mine.alias("salt")
+    return marked.groupBy(key).agg(least.alias("least"), F.collect_set("salt").alias("salts"), *more)
+
+
+def grouped(marked: DataFrame, nodes: DataFrame, linked: DataFrame, key: str) -> DataFrame:
+    """marked with component_id (the smallest id that the links (a, b) between keys reach) and first (whether the row stands for all)."""
+    mine = F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")
+    reached = components(linked).withColumnRenamed("node", "reached")
+    labelled = nodes.join(reached, F.col(key) == F.col("reached"), "left").select(
+        key, "salts", "least", F.coalesce("root", key).alias("root"), mine.alias("salt")
     )
     smallest = labelled.groupBy("root").agg(F.min("least").alias("m"), F.collect_set("salt").alias("of"))
     smallest = smallest.select("root", "m", F.explode("of").alias("salt"))
-    found = labelled.join(smallest, ["root", "salt"]).select("fp", "m", F.explode("salts").alias("salt"))
-    return marked.join(found, ["fp", "salt"]).select(
-        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("m.id").alias("component_id"),
-        (F.col("n") == F.col("m.n")).alias("first"), *(["row"] if carry else []),
-    )
+    found = labelled.join(smallest, ["root", "salt"]).select(key, "m", F.explode("salts").alias("salt"))
+    return marked.join(found, [key, "salt"]).withColumns({"component_id": F.col("m.id"), "first": F.col("n") == F.col("m.n")})
