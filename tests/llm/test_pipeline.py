@@ -9,9 +9,8 @@ import zlib
 import corpus_pipeline
 import numpy as np
 import pytest
-import xxhash
 
-from tests.llm.test_operators import brute_repeats
+from tests.llm.test_operators import brute_repeats, similar_groups
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, first boolean, id long"
 
@@ -33,30 +32,13 @@ def made():
     return [(i, t, ["es", "en", None][k % 3], ["a", "b"][k % 4 == 0], None if t is None else len(t), "r", True, -k) for k, (i, t) in enumerate(rows)]
 
 
-def fingerprint(text):
-    w = "".join(c.lower() if c.isascii() else c for c in text or "").encode().split()
-    shingles = [b" ".join(w[i : i + corpus_pipeline.SHINGLE]) for i in range(max(1, len(w) - corpus_pipeline.SHINGLE + 1))] if w else []
-    hs = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
-
-
 def representatives(rows):
-    """One row of each group of linked fingerprints: the smallest id, null ids last, of equal ones the first."""
-    marks = [fingerprint(r[1]) for r in rows]
-    up = list(range(len(rows)))
-
-    def find(x):
-        while up[x] != x:
-            x = up[x]
-        return x
-
-    for i, j in itertools.combinations(range(len(rows)), 2):
-        if (marks[i] ^ marks[j]).bit_count() <= corpus_pipeline.BUDGET:
-            up[find(i)] = find(j)
+    """One row of each group of similar texts: the smallest id, null ids last, of equal ones the first."""
+    roots, _ = similar_groups([r[1] for r in rows], corpus_pipeline.SIMILARITY, corpus_pipeline.SHINGLE)
     groups = {}
-    for i, r in enumerate(rows):
+    for i, (r, root) in enumerate(zip(rows, roots)):
         key = (r[0] is None, r[0] or 0, i)
-        groups[find(i)] = min(groups.get(find(i), key), key)
+        groups[root] = min(groups.get(root, key), key)
     return sorted(k[2] for k in groups.values())
 
 
