@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corvina.functions.text import quoted
 from corvina.operators.evaluate import hash_order
-from corvina.shared import small, staged
+from corvina.shared import numbered, small, staged
 
 # Kinds of cases with and without an anchor in the corpus.
 ANCHORED = ("responde", "solo_referencia", "trampa_derogada", "responde_no_recuperado")
@@ -61,10 +61,11 @@ def bank_violations(
 
 def split_by_profile(cases: DataFrame, profile: str, document: str, seed: str = "2026") -> DataFrame:
     """(document, part): half of each profile's documents in hash order are dev; of several profiles the first one decides."""
-    each = cases.select(F.col(profile).alias("_p"), F.col(document).alias("_d")).distinct()
-    order = Window.partitionBy("_p").orderBy(hash_order("_d", seed=seed), "_d")
-    size = F.count("*").over(Window.partitionBy("_p"))
-    dealt = each.withColumn("part", F.when(F.row_number().over(order) <= F.floor(size / 2), "dev").otherwise("test"))
+    each = cases.select(F.col(profile).alias("_p"), F.col(document).alias("_d")).distinct().withColumn("_h", hash_order("_d", seed=seed))
+    placed = numbered(each, ["_p", "_h", "_d"], "_i")  # a profile is a run of numbers
+    runs = placed.groupBy("_p").agg(F.min("_i").alias("_from"), F.count("*").alias("_n"))
+    inside = F.col("_i") - F.col("_from") < F.floor(F.col("_n") / 2)
+    dealt = placed.join(small(runs.withColumnRenamed("_p", "_q")), F.col("_p").eqNullSafe(F.col("_q"))).withColumn("part", F.when(inside, "dev").otherwise("test"))
     # the profile with a dev place first, as dev documents of a profile are assigned before its test ones
     return dealt.groupBy(F.col("_d").alias(document)).agg(F.min_by("part", F.struct("_p", "part")).alias("part"))
 

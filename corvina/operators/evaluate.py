@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvina.functions.text import STOP_WORDS, tokens
+from corvina.shared import numbered, small
+
+#: Parts of a stratum whose first rows are taken before those of the whole.
+SALTS = 64
 
 
 def hash_order(*cols: Column | str, seed: str = "") -> Column:
@@ -62,13 +66,12 @@ def cluster_bootstrap(rows: DataFrame, cluster: str, value: str, reps: int = 200
     pre-aggregated; draws are reps times the number of clusters, dealt by rep.
     """
     sums = rows.groupBy(cluster).agg(F.sum(value).alias("s"), F.count("*").alias("n"))
-    order = Window.orderBy(cluster)
-    placed = sums.withColumn("pos", F.row_number().over(order) - 1)  # clusters are evaluation anchors: hundreds
-    size = sums.agg(F.count("*").alias("m"))
-    draws = rows.sparkSession.range(reps).withColumnRenamed("id", "rep").crossJoin(F.broadcast(size))
+    placed = numbered(sums, [cluster], "pos", 0)
+    size = placed.agg(F.count("*").alias("m"))
+    draws = rows.sparkSession.range(reps).withColumnRenamed("id", "rep").crossJoin(F.broadcast(size))  # one row
     draws = draws.select("rep", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("draw"))
     word = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("rep").cast("string"), F.col("draw").cast("string"))), 1, 8), 16, 10).cast("long")
-    taken = draws.withColumn("pos", word % F.col("m")).join(F.broadcast(placed.select("pos", "s", "n")), "pos")
+    taken = draws.withColumn("pos", word % F.col("m")).join(small(placed.select("pos", "s", "n")), "pos")
     means = taken.groupBy("rep").agg((F.sum("s") / F.sum("n")).alias("mean"))
     ordered = means.agg(F.array_sort(F.collect_list("mean")).alias("v"))  # reps numbers
     return ordered.select(F.round(F.col("v")[low], 6).alias("low"), F.round(F.col("v")[high], 6).alias("high"))
@@ -91,10 +94,16 @@ def best_coverage(curve: DataFrame, levels: list[float]) -> DataFrame:
 
 
 def stratified_sample(docs: DataFrame, stratum: str, id_col: str, quotas: dict[str, int], seed: str = "") -> DataFrame:
-    """The first quota rows of each stratum in hash order."""
-    order = Window.partitionBy(stratum).orderBy(hash_order(id_col, seed=seed), id_col)
+    """The first quota rows of each stratum in hash order.
+
+    The first of each of SALTS parts of a stratum are taken before those of the whole, so no task sorts a whole stratum.
+    """
     quota = F.create_map(*(F.lit(x) for kv in quotas.items() for x in kv))[F.col(stratum)]
-    return docs.filter(F.col(stratum).isin(list(quotas))).withColumn("pick", F.row_number().over(order)).filter(F.col("pick") <= quota)
+    rows = docs.filter(F.col(stratum).isin(list(quotas))).withColumns({"_h": hash_order(id_col, seed=seed), "_salt": F.pmod(F.xxhash64(id_col), F.lit(SALTS))})
+    for keys in ([stratum, "_salt"], [stratum]):
+        order = Window.partitionBy(*keys).orderBy("_h", id_col)
+        rows = rows.withColumn("pick", F.row_number().over(order)).filter(F.col("pick") <= quota)
+    return rows.drop("_h", "_salt")
 
 
 def split_by_document(rows: DataFrame, document: str, test_share: float = 0.4, seed: str = "") -> DataFrame:
@@ -151,8 +160,9 @@ def clean_negatives(triples: DataFrame, share: float = 0.95) -> DataFrame:
 
 
 def circular_pairs(rows: DataFrame, id_col: str, shift: int = 3) -> DataFrame:
-    """Each row with the one shift places on, around the end; rows are an evaluation bank."""
-    order = Window.orderBy(id_col)
-    placed = rows.select(F.col(id_col).alias("id"), (F.row_number().over(order) - 1).alias("pos"), F.count("*").over(Window.partitionBy()).alias("n"))
+    """Each row with the one shift places on, around the end."""
+    placed = numbered(rows.select(F.col(id_col).alias("id")), ["id"], "pos", 0)
+    n = placed.agg(F.count("*").alias("n"))
     other = placed.select(F.col("id").alias("other"), F.col("pos").alias("opos"))
-    return placed.join(other, F.col("opos") == (F.col("pos") + shift) % F.col("n")).select("id", "other")
+    asked = placed.crossJoin(F.broadcast(n))  # one row
+    return asked.join(other, F.col("opos") == (F.col("pos") + shift) % F.col("n")).select("id", "other")

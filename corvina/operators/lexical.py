@@ -2,13 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvina.functions.text import query_terms, tokens
 from corvina.shared import small, staged
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
+#: Postings of a block of the stored index.
+BLOCK = 128
+#: Terms of a batch that are told to the scan as a list at most.
+LISTED = 10_000
+#: Postings of a batch's terms from which on blocks are skipped by their bounds: below, looking costs more than it saves.
+PRUNE_FROM = 5_000_000
+TOTALS = "n long, tokens long, buckets int, segment long"
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -23,36 +37,111 @@ def term_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return each.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def write_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> None:
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+
+
+def _part(tf, dl, avgdl) -> Column:
+    """What an occurrence count contributes, before the term's weight: it grows with tf and falls with dl."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.lit(avgdl)))
+
+
+def write_index(
+    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, buckets: int | None = None
+) -> None:
     """A segment of an inverted index under path; further calls add segments (insert), optimize_index() makes them one.
 
-    postings (term, doc_id, keep, dl, tf), by ranges of the term and sorted, so row groups are skipped by term; terms (term,
-    df); totals (n, tokens), one row. The texts are tokenised once.
+    postings: blocks of up to BLOCK postings of one term and one value of the keep columns, the weightiest first, with the
+    bounds of their counts; the hash bucket of the term is the partition column, so a batch of queries reads its own buckets,
+    and the blocks are sorted by term, so row groups are skipped too. terms (term, df) lie in the same buckets. totals (n,
+    tokens, buckets, segment): a row for each segment. The texts are tokenised once; totals are counted from the written
+    table, so tasks that run again count once. buckets: of a new index; by default one for a few million postings.
     """
     keep, spark = keep or [], docs.sparkSession
     w = docs.select(F.col(id_col).alias("doc_id"), *keep, tokens(F.col(text_col)).alias("w"))
-    totals = Observation()
-    sized = w.select("doc_id", *keep, F.size("w").alias("dl"), "w").observe(
-        totals, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")
+    # no token is empty: the empty term stands for the document itself
+    each = w.select("doc_id", *keep, F.size("w").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "w")).alias("term"))
+    found = each.groupBy("term", "doc_id", *keep, "dl").agg(F.count("*").cast("int").alias("tf"))
+    rows = staged(found, "postings")
+    before = _totals(spark, path)
+    n, tokens_ = rows.filter("term = ''").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+    rows = rows.filter("term <> ''")
+    buckets = (before["buckets"] if before else None) or buckets or max(16, min(4096, rows.count() // 4_000_000 + 1))
+    segment = before["segments"] if before else 0
+    _write_blocks(rows, f"{path}/postings", keep, buckets, segment, "append")
+    _write_terms(rows.groupBy("term").agg(F.count("*").alias("df")), f"{path}/terms", buckets, "append")
+    spark.createDataFrame([(n, tokens_, buckets, segment)], TOTALS).write.mode("append").parquet(f"{path}/totals")
+
+
+def _totals(spark: SparkSession, path: str) -> dict | None:
+    """n, tokens, buckets and segments of the index at path, or None where there is none."""
+    try:
+        rows = spark.read.schema(TOTALS).parquet(f"{path}/totals")
+        return rows.agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens"), F.max("buckets").alias("buckets"), (F.max("segment") + 1).alias("segments")).first().asDict()
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+
+
+def _write_terms(terms: DataFrame, path: str, buckets: int, mode: str) -> None:
+    dealt = terms.withColumn("bucket", _bucket(buckets)).repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term")
+    dealt.write.mode(mode).partitionBy("bucket").parquet(path)
+
+
+def _write_blocks(rows: DataFrame, path: str, keep: list[str], buckets: int, segment: int, mode: str) -> None:
+    """rows (term, doc_id, keep, dl, tf) as blocks; ranges go on inside a term, so the commonest word is dealt out as well."""
+    impact = (F.col("tf") / (F.col("tf") + F.col("dl") / 256 + 1)).cast("float")  # about the order of the contributions, at any average length
+    order = ["bucket", "term", *keep, "impact", "doc_id"]
+    ranged = rows.withColumns({"bucket": _bucket(buckets), "impact": -impact}).repartitionByRange(*order).sortWithinPartitions(*order)
+    key = ["bucket", "term", *keep]
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = ", ".join(
+        [f"{c} {types.get(c, 'int')}" for c in key]
+        + [f"block long, n int, max_tf int, min_dl int, doc_ids array<{types['doc_id']}>, dls array<int>, tfs array<int>"]
     )
-    each = sized.select("doc_id", *keep, "dl", F.explode("w").alias("term"))
-    found = each.groupBy("term", "doc_id", *keep, "dl").agg(F.count("*").alias("tf"))
-    stage = f"{path}/_new"
-    found.write.mode("overwrite").parquet(stage)
-    rows = spark.read.schema(found.schema).parquet(stage)
-    rows.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("append").parquet(f"{path}/postings")
-    rows.groupBy("term").agg(F.count("*").alias("df")).write.mode("append").parquet(f"{path}/terms")
-    spark.createDataFrame([(totals.get["n"], totals.get["tokens"])], "n long, tokens long").write.mode("append").parquet(f"{path}/totals")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serial = (segment << 44) | (TaskContext.get().partitionId() << 24)
+        for x in batches:
+            if not x.num_rows:
+                continue
+            new = np.zeros(x.num_rows, dtype=bool)
+            for c in key:
+                new[1:] |= ~np.array(pc.equal(pc.fill_null(x.column(c).slice(1).cast(pa.string()), "\0"), pc.fill_null(x.column(c).slice(0, x.num_rows - 1).cast(pa.string()), "\0")))
+            new[0] = True
+            run = np.flatnonzero(new)
+            place = np.arange(x.num_rows) - np.repeat(run, np.diff(np.append(run, x.num_rows)))
+            first = np.flatnonzero(place % BLOCK == 0)
+            offsets = pa.array(np.append(first, x.num_rows), pa.int32())
+            tf, dl = x.column("tf").to_numpy(), x.column("dl").to_numpy()
+            columns = [x.column(c).take(pa.array(first)) for c in key]
+            columns += [pa.array(serial + np.arange(len(first))), pa.array(np.diff(np.append(first, x.num_rows)), pa.int32())]
+            columns += [pa.array(np.maximum.reduceat(tf, first), pa.int32()), pa.array(np.minimum.reduceat(dl, first), pa.int32())]
+            columns += [pa.ListArray.from_arrays(offsets, x.column(c)) for c in ("doc_id", "dl", "tf")]
+            serial += len(first)
+            yield pa.RecordBatch.from_arrays(columns, names=[*key, "block", "n", "max_tf", "min_dl", "doc_ids", "dls", "tfs"])
+
+    blocks = ranged.drop("impact").mapInArrow(cut, schema)
+    blocks.write.mode(mode).partitionBy("bucket").parquet(path)
+
+
+def _opened(blocks: DataFrame, keep: list[str]) -> DataFrame:
+    """(term, doc_id, keep, dl, tf) of blocks, with the block's query_id where it has one."""
+    more = [c for c in ("query_id", "weight") if c in blocks.columns]
+    zipped = blocks.select("term", *keep, *more, F.explode(F.arrays_zip("doc_ids", "dls", "tfs")).alias("x"))
+    return zipped.select("term", *keep, *more, F.col("x.doc_ids").alias("doc_id"), F.col("x.dls").alias("dl"), F.col("x.tfs").alias("tf"))
 
 
 def optimize_index(spark: SparkSession, path: str, target: str) -> None:
-    """The segments of path as one, under target: postings in new ranges, term and corpus totals summed."""
-    p = spark.read.parquet(f"{path}/postings")
-    p.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{target}/postings")
+    """The segments of path as one, under target: postings in new blocks, term and corpus totals summed."""
+    blocks = spark.read.parquet(f"{path}/postings")
+    keep = [c for c in blocks.columns if c not in ("bucket", "term", "block", "n", "max_tf", "min_dl", "doc_ids", "dls", "tfs")]
+    whole = _totals(spark, path)
+    _write_blocks(_opened(blocks, keep), f"{target}/postings", keep, whole["buckets"], 0, "overwrite")
     terms = spark.read.parquet(f"{path}/terms").groupBy("term").agg(F.sum("df").alias("df"))
-    terms.write.mode("overwrite").parquet(f"{target}/terms")
-    totals = spark.read.parquet(f"{path}/totals").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens"))
-    totals.write.mode("overwrite").parquet(f"{target}/totals")
+    _write_terms(terms, f"{target}/terms", whole["buckets"], "overwrite")
+    spark.createDataFrame([(whole["n"], whole["tokens"], whole["buckets"], 0)], TOTALS).write.mode("overwrite").parquet(f"{target}/totals")
 
 
 def query_table(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -60,12 +149,18 @@ def query_table(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return queries.select(F.col(id_col).alias("query_id"), F.explode(query_terms(F.col(text_col))).alias("term"))
 
 
-def _scored(hits: DataFrame, df: DataFrame, n: int, avgdl: float, queries: DataFrame, keep: list[str], top: int | None) -> DataFrame:
-    """hits: (term, doc_id, keep, dl, tf) of the terms of queries (query_id, term); df: (term, df)."""
+def _weighted(queries: DataFrame, df: DataFrame, n: int) -> DataFrame:
+    """(query_id, term, weight) of the terms of queries that documents have; df: (term, df)."""
     idf = F.greatest(F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl)))
-    asked = small(queries.join(df, "term"))
-    scored = hits.join(asked, "term").groupBy("query_id", "doc_id", *keep).agg(F.round(F.sum(part), 6).alias("score"))
+    return queries.join(df, "term").select("query_id", "term", idf.alias("weight"))
+
+
+def _summed(hits: DataFrame, avgdl: float, keep: list[str]) -> DataFrame:
+    """(query_id, doc_id, keep, score) of hits (query_id, weight, doc_id, keep, dl, tf)."""
+    return hits.groupBy("query_id", "doc_id", *keep).agg(F.round(F.sum(F.col("weight") * _part(F.col("tf"), F.col("dl"), avgdl)), 6).alias("score"))
+
+
+def _ranked(scored: DataFrame, top: int | None) -> DataFrame:
     if top is None:
         return scored
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
@@ -78,43 +173,76 @@ def bm25(
     """(query_id, doc_id, score, rank) of the best documents of each query; queries: (query_id, term).
 
     For documents without an index: they are tokenised once, tokens are filtered by the batch's terms before anything is
-    shuffled, and the postings of those terms alone are kept; the corpus totals are counted on the way. Scores are rounded
-    to six places before ranking; ties go to the smaller id.
+    shuffled, and the postings of those terms alone are kept; the corpus totals come from the same table, once written.
+    Scores are rounded to six places before ranking; ties go to the smaller id.
     """
     keep = keep or []
     queries = staged(queries, "query-terms")
     toks = docs.select(F.col(id_col).alias("doc_id"), *keep, tokens(F.col(text_col)).alias("w"))
-    totals = Observation()
-    sized = toks.select("doc_id", *keep, F.size("w").alias("dl"), "w").observe(
-        totals, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")
-    )
-    hits = (
-        sized.select("doc_id", *keep, "dl", F.explode("w").alias("term"))
-        .join(small(queries.select("term").distinct()), "term", "left_semi")
-        .groupBy("doc_id", *keep, "dl", "term")
-        .agg(F.count("*").alias("tf"))
-    )
+    each = toks.select("doc_id", *keep, F.size("w").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "w")).alias("term"))
+    wanted = queries.select("term").union(queries.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    hits = each.join(small(wanted), "term", "left_semi").groupBy("doc_id", *keep, "dl", "term").agg(F.count("*").alias("tf"))
     hits = staged(hits, "hits")
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    n, tokens_ = totals.get["n"], totals.get["tokens"]
-    return _scored(hits, df, n, tokens_ / n if n else 0.0, queries, keep, top)
+    n, tokens_ = hits.filter("term = ''").agg(F.count("*"), F.sum("dl")).first()
+    hits = hits.filter("term <> ''")
+    asked = _weighted(queries, hits.groupBy("term").agg(F.count("*").alias("df")), n)
+    return _ranked(_summed(hits.join(small(asked), "term"), tokens_ / n if n else 0.0, keep), top)
 
 
 def bm25_index(
-    spark: SparkSession, path: str, queries: DataFrame, top: int | None, keep: list[str] | None = None, sources: list[str] | None = None
-) -> DataFrame:
-    """As bm25(), from what write_index() wrote under path: one scan of the postings, joined by term; no text is read.
+    spark: SparkSession, path: str, queries: DataFrame, top: int | None, keep: list[str] | None = None, sources: list[str] | None = None,
+    prune_from: int = PRUNE_FROM,
+) -> DataFrame:
+    """As bm25(), from what write_index() wrote under path; no text is read.
 
-    sources: only postings of these (the index must carry the column source) are read; term and corpus statistics stay
-    those of the whole index.
+    Up to LISTED terms of the batch are told to the scan: only their buckets are read, and of those the row groups that may
+    have the terms; more are joined. If the batch's terms have over prune_from postings, a top is searched in two steps: the
+    weightiest blocks of each term give a score that top documents of a query surely reach, and blocks whose bound, with the
+    best of the query's other terms, lies under it are never opened. The rows are the same.
+    sources: only blocks of these (the index must carry the column source) are opened; term and corpus statistics stay those
+    of the whole index.
     """
-    queries = staged(queries, "query-terms")
-    n, tokens_ = spark.read.parquet(f"{path}/totals").agg(F.sum("n"), F.sum("tokens")).first()
-    df = spark.read.parquet(f"{path}/terms").join(small(queries.select("term").distinct()), "term", "left_semi")
-    df = df.groupBy("term").agg(F.sum("df").alias("df"))
-    hits = spark.read.parquet(f"{path}/postings")
-    hits = hits.filter(F.col("source").isin(sources)) if sources else hits
-    return _scored(hits, df, n or 0, tokens_ / n if n else 0.0, queries, keep or [], top)
+    queries, keep = staged(queries, "query-terms"), keep or []
+    whole = _totals(spark, path)
+    n, avgdl = whole["n"], whole["tokens"] / whole["n"] if whole["n"] else 0.0
+    asked = queries.select("term").distinct().withColumn("bucket", _bucket(whole["buckets"]))
+    few = asked.limit(LISTED + 1).collect()
+
+    def those(table: DataFrame) -> DataFrame:
+        if len(few) <= LISTED:
+            return table.filter(F.col("bucket").isin(sorted({r["bucket"] for r in few})) & F.col("term").isin(sorted({r["term"] for r in few})))
+        return table.join(small(asked), ["bucket", "term"], "left_semi")
+
+    df = those(spark.read.parquet(f"{path}/terms")).groupBy("term").agg(F.sum("df").alias("df"))
+    asked_of = staged(_weighted(queries, df, n), "weights")
+    blocks = those(spark.read.parquet(f"{path}/postings"))
+    blocks = blocks.filter(F.col("source").isin(sources)) if sources else blocks
+    if top is None or (df.agg(F.sum("df")).first()[0] or 0) <= prune_from:
+        chosen = blocks.join(small(asked_of), "term")
+    else:
+        chosen = blocks.join(small(_needed(blocks, asked_of, top, avgdl, keep)), ["term", "block"])
+    return _ranked(_summed(_opened(chosen, keep), avgdl, keep), top)
+
+
+def _needed(blocks: DataFrame, asked: DataFrame, top: int, avgdl: float, keep: list[str]) -> DataFrame:
+    """(query_id, term, weight, block): the blocks that may hold one of a query's top documents.
+
+    Opening only a part of the blocks gives every document a score that it reaches at least, so the top-th best of those is a
+    bar that the true top documents pass. A document of a block has at most the block's bound and, for each other term of the
+    query, that term's best bound.
+    """
+    bounds = blocks.select("term", "block", "n", _part(F.col("max_tf"), F.col("min_dl"), avgdl).alias("bound"))
+    of = bounds.join(small(asked), "term").withColumn("bound", F.col("weight") * F.col("bound"))
+    of = staged(of, "bounds")
+    first = Window.partitionBy("query_id", "term").orderBy(F.desc("bound"), "block")
+    heads = of.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= max(4, -(-4 * top // BLOCK))).select("query_id", "term", "weight", "block")
+    partial = _summed(_opened(blocks.join(small(heads), ["term", "block"]), keep), avgdl, keep)
+    bars = _ranked(partial, top).filter(F.col("rank") == top).select("query_id", F.col("score").alias("bar"))
+    best = of.groupBy("query_id", "term").agg(F.max("bound").alias("best"))
+    total = best.groupBy("query_id").agg(F.sum("best").alias("total"))
+    limits = best.join(total, "query_id").join(bars, "query_id", "left").select("query_id", "term", (F.col("bar") - F.col("total") + F.col("best") - 2e-6).alias("least"))
+    kept = of.join(small(limits), ["query_id", "term"]).filter(F.col("least").isNull() | (F.col("bound") >= F.col("least")))
+    return staged(kept.select("query_id", "term", "weight", "block"), "needed")
 
 
 def df_band_terms(

@@ -38,6 +38,23 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, order: list[str], name: str, start: int = 1) -> DataFrame:
+    """df with a number for each row in the order of some columns, gapless from start; rows that tie are told apart anyhow.
+
+    Rows are sorted inside ranges of the order, and a range begins after the counts of those before it, so no task and
+    not the driver sees more than a range (the driver: a count for each). The result is a written table.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    inside = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    rows = staged(ranged.withColumns({"_range": F.spark_partition_id(), "_place": inside}), "numbered")
+    base, bases = start, []
+    for r in sorted(rows.groupBy("_range").agg(F.count("*").alias("n")).collect()):
+        bases.append((r["_range"], base))
+        base += r["n"]
+    known = df.sparkSession.createDataFrame(bases, "_range int, _base long")
+    return rows.join(F.broadcast(known), "_range").withColumn(name, F.col("_base") + F.col("_place")).drop("_range", "_place", "_base")
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df marked for broadcast if a count shows that it has few rows; else df as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
