@@ -91,7 +91,7 @@ def fragments(docs: DataFrame, mode: str = "paragraphs", id_col: str = "id", tex
     keep = [c for c in docs.columns if c not in (id_col, text_col)]
     clean = docs.select(F.col(id_col).alias("document_id"), *keep, without_closing(F.col(text_col)).alias("_clean"))
     articles = F.filter(F.transform(F.split("_clean", ARTICLE), strip), lambda t: F.length(t) > 0)
-    pieces = _let(articles, lambda a: F.when(F.size(a) > 1, F.flatten(F.transform(a, inner))).otherwise(inner(F.col("_clean"))))
+    pieces = _let(articles, lambda a: F.when(F.size(a) > 1, F.flatten(F.transform(a, lambda t: inner(t)))).otherwise(inner(F.col("_clean"))))
     useful = F.filter(F.transform(pieces, strip), lambda t: ~only_ceremonial(t) & (F.length(t) > 0))
     whole = F.when(F.length(strip(F.col("_clean"))) > 0, F.array(strip(F.col("_clean")))).otherwise(F.array().cast("array<string>"))
     found = clean.withColumn("_f", useful).withColumn("_f", F.when(F.size("_f") > 0, F.col("_f")).otherwise(whole))

@@ -198,12 +198,20 @@ def ordered_union(lists: DataFrame) -> DataFrame:
     return first.select("query_id", "doc_id", F.row_number().over(order).alias("place"))
 
 
-def reindex_checks(vectors: DataFrame, postings: DataFrame, hits: DataFrame, probe_id, tolerance: float = 0.01) -> DataFrame:
-    """One row after a reindexing: n_vectors, n_lexical (documents with postings), agree (within tolerance), found_itself.
+def probe_fragments(fragments: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text", least: int = 200) -> DataFrame:
+    """(query_id, text) of n fragments of some length in hash order, the first 2,000 characters of each."""
+    some = fragments.filter(F.length(text_col) > least).orderBy(F.md5(F.concat(F.lit("probe|"), F.col(id_col).cast("string"))), id_col).limit(n)
+    return some.select(F.col(id_col).alias("query_id"), F.substring(text_col, 1, 2000).alias("text"))
 
-    hits: the search results (doc_id, rank) for a stored fragment's own text; probe_id: that fragment.
+
+def reindex_checks(vectors: DataFrame, lexical: DataFrame, probes: DataFrame, hits: DataFrame, key: str = "doc_id", tolerance: float = 0.01) -> DataFrame:
+    """One row after a reindexing: n_vectors, n_lexical, agree (within tolerance), n_probes, n_found: probes found by their own text.
+
+    vectors and lexical: the keys of both halves; probes: (query_id), keys of fragments that were searched by their texts;
+    hits: (query_id, doc_id), what that search found.
     """
-    counts = vectors.agg(F.count("*").alias("n_vectors")).crossJoin(postings.select("doc_id").distinct().agg(F.count("*").alias("n_lexical")))
-    own = hits.agg(F.coalesce(F.bool_or(F.col("doc_id") == F.lit(probe_id)), F.lit(False)).alias("found_itself"))
+    counts = vectors.agg(F.count("*").alias("n_vectors")).crossJoin(lexical.select(key).distinct().agg(F.count("*").alias("n_lexical")))
+    own = hits.filter(F.col("doc_id") == F.col("query_id")).select("query_id").distinct().withColumn("hit", F.lit(1))
+    found = probes.select("query_id").join(own, "query_id", "left").agg(F.count("*").alias("n_probes"), F.count("hit").alias("n_found"))
     agree = F.abs(F.col("n_vectors") - F.col("n_lexical")) <= tolerance * F.col("n_vectors")
-    return counts.crossJoin(own).select("n_vectors", "n_lexical", agree.alias("agree"), "found_itself")  # one row each
+    return counts.crossJoin(found).select("n_vectors", "n_lexical", agree.alias("agree"), "n_probes", "n_found")  # one row each

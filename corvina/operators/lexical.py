@@ -133,6 +133,11 @@ def _opened(blocks: DataFrame, keep: list[str]) -> DataFrame:
     return zipped.select("term", *keep, *more, F.col("x.doc_ids").alias("doc_id"), F.col("x.dls").alias("dl"), F.col("x.tfs").alias("tf"))
 
 
+def indexed_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id) of the documents that the index at path has postings of."""
+    return spark.read.parquet(f"{path}/postings").select(F.explode("doc_ids").alias("doc_id")).distinct()
+
+
 def optimize_index(spark: SparkSession, path: str, target: str) -> None:
     """The segments of path as one, under target: postings in new blocks, term and corpus totals summed."""
     blocks = spark.read.parquet(f"{path}/postings")

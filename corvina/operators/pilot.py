@@ -138,3 +138,8 @@ def hmac_sha256(message: Column, key: str) -> Column:
         raise ValueError("the key must have at most 64 bytes")
     inner, outer = (F.unhex(F.lit(bytes(b ^ pad for b in raw).hex())) for pad in (0x36, 0x5C))
     return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(message, "UTF-8")), 256))), 256)
+
+
+def address_print(address: Column, salt: str, digits: int = 32) -> Column:
+    """The fingerprint of an address under the salt of a day (ASCII): the first digits of its HMAC. The salt goes with the day."""
+    return F.when(address.isNotNull(), F.concat(F.lit("ip:"), F.substring(hmac_sha256(address, salt), 1, digits)))

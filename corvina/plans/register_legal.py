@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
+from corvina.functions import tables
 from corvina.functions import text as tx
 from corvina.operators import chunking, corpus, evaluate, grounding, lexical, pilot, routing, usage, validity
-from corvina.plans.register import STOP, docs, query, toks
+from corvina.plans.register import STOP, bm25_sql, docs, qterms, query, toks
 from corvina.plans.register_serving import note
 from corvina.session import table
-from corvina.shared import shared_path, staged
-from corvina.sources import connectors
+from corvina.shared import numbered, shared_path, staged
+from corvina.sources import binary, connectors
 from corvina.streaming import quota
 
 # --- validity -------------------------------------------------------------------
@@ -189,17 +191,25 @@ def fts_expressions(spark, d):
     return table(spark, d, "benchmark").select("item_id", tx.fts_expression(tx.query_terms(F.col("text"))).alias("expression"))
 
 
-@query("SELECT doc_id, doc_id % 3 + 1 AS n, 'Uno; dos: tres.' AS text FROM documents")
+BLANK = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+@query(
+    rf"""WITH t AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '^{BLANK}+|{BLANK}+$', '', 'g'), '([.;:]){BLANK}+', '\1' || chr(2), 'g'), chr(2)) AS s FROM documents)
+    SELECT doc_id, len(f) AS n, md5(array_to_string(f, chr(2))) AS h FROM (SELECT doc_id, list_filter(s, lambda x: regexp_replace(x, '{BLANK}+', '', 'g') <> '') AS f FROM t)"""
+)
 def sentence_split(spark, d):
-    i = F.col("doc_id") % 3
-    said = F.when(i == 0, "Una sola frase sin cortes").when(i == 1, " Primera frase.   Segunda; ").otherwise("a: b;\n c. ")
-    return docs(spark, d).select("doc_id", F.size(tx.sentences(said)).cast("long").alias("n"), F.lit("Uno; dos: tres.").alias("text"))
+    rows = docs(spark, d).select("doc_id", tx.sentences(F.col("text")).alias("s"))
+    return rows.select("doc_id", F.size("s").cast("long").alias("n"), F.md5(F.array_join("s", "\x02")).alias("h"))
 
 
-@query("SELECT item_id, sha256('k') <> h AS keyed, length(h) AS n FROM (SELECT item_id, sha256('m' || item_id) AS h FROM benchmark)")
+SALT = "sal-del-2026-09-06"
+PADS = [bytes(b ^ pad for b in SALT.encode().ljust(64, b"\0")).hex() for pad in (0x36, 0x5C)]
+
+
+@query(f"SELECT conv_id, turn, 'ip:' || substr(sha256(unhex('{PADS[1]}') || unhex(sha256(unhex('{PADS[0]}') || encode(text)))), 1, 32) AS print FROM conversations")
 def hmac_signatures(spark, d):
-    h = pilot.hmac_sha256(F.concat(F.lit("m"), F.col("item_id").cast("string")), "k")
-    return table(spark, d, "benchmark").select("item_id", (h != F.sha2(F.lit("k"), 256)).alias("keyed"), F.length(h).cast("long").alias("n"))
+    return table(spark, d, "conversations").select("conv_id", "turn", pilot.address_print(F.col("text"), SALT).alias("print"))
 
 
 @query(
@@ -230,6 +240,18 @@ def article_fragments(spark, d):
     return out.select("document_id", "fragment_id", F.col("ord").cast("long").alias("ord"), chunking.text_to_encode(F.lit(""), F.col("text")).alias("text"))
 
 
+@query(
+    """WITH s AS (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents)
+    SELECT doc_id, count(*) AS n, sum(length(f))::BIGINT AS n_chars FROM (SELECT doc_id, unnest(CASE WHEN length(t) <= 1500 THEN [t] ELSE list_transform(range(0, ceil((length(t) - 200) / 1300.0)::BIGINT),
+        lambda i: regexp_replace(substr(t, (i * 1300 + 1)::BIGINT, 1500), '^\\s+|\\s+$', '', 'g')) END) AS f FROM s) WHERE f <> '' GROUP BY doc_id"""
+)
+def lateral_fragments(spark, d):
+    """Fragments by the table function, joined laterally in SQL; the documents have no articles and no blank lines."""
+    tables.register(spark)
+    out = spark.sql("SELECT doc_id, f.fragment FROM {docs} d, LATERAL fragments(d.text) f", docs=docs(spark, d).select("doc_id", "text"))
+    return out.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("fragment")).alias("n_chars"))
+
+
 @query("SELECT item_id, item_id % 2 = 0 AS only FROM benchmark")
 def ceremonial_pieces(spark, d):
     said = F.when(F.col("item_id") % 2 == 0, " COMUNÍQUESE Y CÚMPLASE\nEl Presidente de la República").otherwise("Comuníquese el resultado.\nArtículo uno")
@@ -310,19 +332,25 @@ def guarded_index(spark, d):
     return spark.read.parquet(f"{path}/rows")
 
 
+PROBES = f"q AS (SELECT doc_id AS query_id, unnest({qterms('substr(text, 1, 2000)')}) AS term FROM (SELECT * FROM documents WHERE length(text) > 200 ORDER BY md5('probe|' || doc_id), doc_id LIMIT 50))"
+
+
 @query(
-    """SELECT (SELECT count(*) FROM embeddings) AS n_vectors, (SELECT count(*) FROM documents WHERE length(text) > 0) AS n_lexical,
-        abs((SELECT count(*) FROM embeddings) - (SELECT count(*) FROM documents WHERE length(text) > 0)) <= 0.01 * (SELECT count(*) FROM embeddings) AS agree, true AS found_itself"""
+    bm25_sql(PROBES)
+    + """, nv AS (SELECT count(*) AS n FROM documents WHERE length(text) > 0), o AS (SELECT count(*) AS f FROM ranked WHERE rank <= 5 AND query_id = doc_id),
+    np AS (SELECT count(*) AS k FROM (SELECT 1 FROM documents WHERE length(text) > 200 LIMIT 50)), nl AS (SELECT count(DISTINCT doc_id) AS m FROM t)
+    SELECT nv.n AS n_vectors, m AS n_lexical, abs(nv.n - m) <= 0.01 * nv.n AS agree, np.k AS n_probes, f AS n_found FROM nv, o, np, nl"""
 )
 def reindex_checks(spark, d):
-    """Counts of both halves of an index, and whether a fragment is found by its own text."""
+    """Counts of both halves of an index of the documents, and how many of fifty fragments are found by their own texts."""
     path = shared_path(spark, "reindexed")
     rows = docs(spark, d).select("doc_id", "text")
     lexical.write_index(rows, path)
-    probe = rows.filter(F.length("text") > 200).orderBy("doc_id").limit(1).select(F.lit(1).alias("query_id"), F.substring("text", 1, 2000).alias("text"), "doc_id")
-    hits = lexical.bm25_index(spark, path, lexical.query_table(probe, "query_id", "text"), 5)
-    found = hits.select("doc_id", "rank")
-    return corpus.reindex_checks(table(spark, d, "embeddings"), spark.read.parquet(f"{path}/postings"), found, probe.first()["doc_id"])
+    vectors = rows.filter(F.length("text") > 0).select("doc_id", F.array(F.length("text").cast("double")).alias("v"))
+    vectors.write.parquet(f"{path}/vectors")
+    probes = corpus.probe_fragments(rows, 50)
+    hits = lexical.bm25_index(spark, path, lexical.query_table(probes, "query_id", "text"), 5)
+    return corpus.reindex_checks(spark.read.parquet(f"{path}/vectors"), lexical.indexed_documents(spark, path), probes, hits)
 
 
 @query(
@@ -366,12 +394,56 @@ def labelled_records(spark, d):
     return out.select("item_id", F.col("pos").cast("long").alias("pos"), "titulo", "texto")
 
 
-@query("SELECT doc_id, ['zip', 'pdf', 'audio', CASE WHEN coalesce(text, '') = '' THEN 'unknown' ELSE 'text' END, 'unknown'][(doc_id % 5)::INT + 1] AS kind FROM documents")
+def _docx_of(text):
+    """A Word document of a text's lines."""
+    import io
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    out = io.BytesIO()
+    lines = "".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(x)}</w:t></w:r></w:p>' for x in text.split("\n"))
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{binary.WORD[1:-1]}"><w:body>{lines}</w:body></w:document>')
+    return out.getvalue()
+
+
+def _files(spark, d):
+    """(path, content): for each document a Word, a text or a Latin-1 file, of every third one a second file of its stem."""
+    clean = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x00-\x08\x0B-\x1F]", "")
+    rows = docs(spark, d).select("doc_id", clean.alias("t"))
+
+    @F.pandas_udf("binary")
+    def word(t: pd.Series) -> pd.Series:
+        return t.map(_docx_of)
+
+    i, stem = F.col("doc_id") % 4, F.concat(F.lit("s/f"), F.col("doc_id").cast("string"))
+    latin = F.when(F.col("t").rlike(r"^[\x{00}-\x{FF}]*$"), F.encode("t", "ISO-8859-1")).otherwise(F.encode("t", "UTF-8"))
+    content = F.when(i == 0, word("t")).when(i == 1, F.encode("t", "UTF-8")).when(i == 2, latin).otherwise(F.concat(F.unhex(F.lit("25504446")), F.encode("t", "UTF-8")))
+    ends = F.when(i == 0, ".docx").when(i == 3, ".pdf").otherwise(".txt")
+    first = rows.select(F.concat(stem, ends).alias("path"), content.alias("content"))
+    second = rows.filter("doc_id % 3 = 0").select(F.concat(stem, F.lit(".bin")).alias("path"), F.encode(F.concat(F.lit("second "), "t"), "UTF-8").alias("content"))
+    return first.unionByName(second)
+
+
+FILES_SQL = r"""c AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x00-\x08\x0B-\x1F]', '', 'g') AS t FROM documents),
+    p AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN array_to_string(list_filter(string_split(t, chr(10)), lambda x: trim(x) <> ''), chr(10)) WHEN doc_id % 4 < 3 THEN t END AS t,
+        ['.docx', '.txt', '.txt', '.pdf'][doc_id % 4 + 1] AS e, ['zip', 'text', 'text', 'pdf'][doc_id % 4 + 1] AS kind FROM c),
+    f AS (SELECT doc_id, t, e, kind FROM p UNION ALL SELECT doc_id, 'second ' || t, '.bin', 'text' FROM c WHERE doc_id % 3 = 0)"""
+
+
+@query(f"WITH {FILES_SQL} SELECT 's/f' || doc_id || e AS path, CASE WHEN kind = 'text' AND length(t) = 0 THEN 'unknown' ELSE kind END AS kind FROM f")
 def binary_kinds(spark, d):
-    i, raw = F.col("doc_id") % 5, F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    first = lambda x: F.concat(F.unhex(F.lit(x)), raw)
-    content = F.when(i == 0, first("504B0304")).when(i == 1, first("25504446")).when(i == 2, first("494433")).when(i == 3, raw).otherwise(F.unhex(F.lit("000102" * 20)))
-    return docs(spark, d).select("doc_id", connectors.binary_kind(content).alias("kind"))
+    return _files(spark, d).select("path", connectors.binary_kind(F.col("content")).alias("kind"))
+
+
+@query(
+    f"""WITH {FILES_SQL}, g AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE e WHEN '.docx' THEN 1 WHEN '.txt' THEN 2 WHEN '.pdf' THEN 3 ELSE 4 END) AS k
+        FROM f WHERE t IS NOT NULL AND length(t) BETWEEN 1 AND 2000000)
+    SELECT 's/f' || doc_id AS stem, 's/f' || doc_id || e AS path, kind, md5(t) AS h FROM g WHERE k = 1"""
+)
+def binary_texts(spark, d):
+    """The texts of Word, text and Latin-1 files, one of each stem."""
+    return binary.documents_of(_files(spark, d)).select("stem", "path", "kind", F.md5("texto").alias("h"))
 
 
 @query("SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 'SC' || (100 + item_id) || '-2020' ELSE 'archivo' END AS ident FROM benchmark")
@@ -380,10 +452,32 @@ def title_identifiers(spark, d):
     return table(spark, d, "benchmark").select("item_id", connectors.title_identifier(title, F.lit("archivo")).alias("ident"))
 
 
-@query("SELECT DISTINCT 'cómo funciona ' || lang || ' hoy' AS query, lang AS seed FROM documents")
+TURNS = "t AS (SELECT conv_id * 1000 + turn AS n, list_filter(string_split(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM conversations)"
+
+
+@query(
+    f"""WITH {TURNS}, u AS (SELECT n, w FROM t WHERE len(w) >= 12),
+    s AS (SELECT w[1] AS asked, n AS pos, array_to_string(w[1:8], ' ') AS suggestion FROM u
+        UNION ALL SELECT 'puedo ' || w[1], n, array_to_string(w[2:9], ' ') FROM u UNION ALL SELECT array_to_string(w[1:8], ' '), n, array_to_string(w[3:12], ' ') FROM u),
+    seeds AS (SELECT seed, row_number() OVER (ORDER BY seed) AS pos FROM (SELECT DISTINCT w[1] AS seed FROM u)),
+    r AS (SELECT *, row_number() OVER (ORDER BY pos, k, seed) AS request FROM (SELECT seed, pos, unnest([0, 1]) AS k FROM seeds)),
+    a AS (SELECT *, CASE WHEN k = 0 THEN seed ELSE 'puedo ' || seed END AS asked FROM r WHERE request <= 300),
+    f AS (SELECT suggestion AS query, a.seed, request, s.pos FROM a JOIN s USING (asked) WHERE NOT regexp_matches(suggestion, '^the |junk')),
+    z AS (SELECT query, arg_min(seed, (request, pos, seed)) AS seed, min((request, pos)) AS m FROM f GROUP BY query),
+    h AS (SELECT query AS asked, seed, row_number() OVER (ORDER BY m, query) AS request FROM z QUALIFY request <= least(120, 300 - (SELECT count(*) FROM a))),
+    g AS (SELECT suggestion AS query, h.seed, request, s.pos FROM h JOIN s USING (asked) WHERE NOT regexp_matches(suggestion, '^the |junk')),
+    y AS (SELECT query, arg_min(seed, (request, pos, seed)) AS seed FROM g WHERE query NOT IN (SELECT query FROM z) GROUP BY query)
+    SELECT query, seed, 0 AS level FROM z UNION ALL SELECT query, seed, 1 FROM y"""
+)
 def harvested_queries(spark, d):
-    seeds = [r[0] for r in docs(spark, d).select("lang").distinct().orderBy("lang").collect()]  # a list of seeds is written by hand
-    return connectors.query_seeds(seeds, ["cómo funciona {} hoy", "qué {}"], spark).select("query", "seed")
+    """Two levels of suggestions; what is suggested for a text are the turns that begin like it."""
+    w = F.filter(F.split(F.regexp_replace(F.lower("text"), "[^a-z]+", " "), " "), lambda x: x != "")
+    u = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("pos"), w.alias("w")).filter(F.size("w") >= 12)
+    part = lambda a, n: F.array_join(F.slice("w", a, n), " ")
+    asked = ((F.col("w")[0], part(1, 8)), (F.concat(F.lit("puedo "), F.col("w")[0]), part(2, 8)), (part(1, 8), part(3, 10)))
+    rows = u.select("pos", F.explode(F.array(*(F.struct(a.alias("asked"), b.alias("suggestion")) for a, b in asked))).alias("x")).select("pos", "x.*")
+    seeds = numbered(u.select(F.col("w")[0].alias("seed")).distinct(), ["seed"], "pos")
+    return connectors.harvested(rows, seeds, ("puedo",), "^the |junk", requests=300)
 
 
 @query("SELECT event_id, event_type FROM events")

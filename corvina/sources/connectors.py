@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvina.functions.text import fix_mojibake, spanish_date_to_iso, strip
+from corvina.shared import numbered, small, staged
 
 DOCUMENT = (
     "id string, fuente string, tipo string, identificador string, titulo string, fecha string, texto string, "
@@ -218,34 +219,27 @@ def labelled_records(
     return out.withColumn("texto", F.when(F.length(full) >= F.length(summary), F.col(full)).otherwise(F.col(summary)))
 
 
+# The first bytes (in hex) of sound and film files; bytes of a sample.
+SOUND = ("494433", "FFFB", "FFF3", "FFF2", "52494646", "000000")
+SAMPLE = 8192
+
+
 def binary_kind(content: Column) -> Column:
-    """What a file is by its first bytes: zip (docx), pdf, audio, text or unknown.
+    """What a file is by its first bytes: zip (docx), pdf, audio, or else text or unknown.
 
-    Text has under 1 % control bytes in three places of 2,000 bytes: start, middle and end.
+    Text has under 1 % control bytes in each of three places of 8,192 bytes: start, middle and end.
     """
     n = F.octet_length(content).cast("int")
     hexed = F.hex(F.substring(content, 1, 4))
-    places = [F.substring(content, F.greatest(F.lit(1), at.cast("int")), F.lit(2000)) for at in (F.lit(1), n / 2, n - 1999)]
-    seen = F.decode(F.concat(*places), "ISO-8859-1")
-    control = F.length(seen) - F.length(F.regexp_replace(seen, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", ""))
-    return (
-        F.when(F.startswith(hexed, F.lit("504B")), "zip")
-        .when(hexed == "25504446", "pdf")
-        .when(F.startswith(hexed, F.lit("494433")), "audio")
-        .when((n > 0) & (control * 100 < F.length(seen)), "text")
-        .otherwise("unknown")
-    )
-
-
-def binary_text(content: Column, cap: int = 2_000_000) -> Column:
-    """The text of a file of kind text: UTF-8 if it is valid, else Latin-1; a stated cap of characters."""
-    utf8 = content.cast("string")
-    return F.substring(F.when(F.is_valid_utf8(utf8), utf8).otherwise(F.decode(content, "ISO-8859-1")), 1, cap)
-
-
-def one_per_stem(files: DataFrame, path_col: str) -> DataFrame:
-    """One row for each file name without its extension (.pdf and .docx of one text)."""
-    return files.withColumn("stem", F.regexp_replace(path_col, r"\.[^.]*$", "")).dropDuplicates(["stem"]).drop("stem")
+    mixed = F.lit(False)
+    for at in (F.lit(0), F.floor(n / 2), F.greatest(F.lit(0), n - SAMPLE)):
+        seen = F.decode(F.substring(content, at.cast("int") + 1, F.lit(SAMPLE)), "ISO-8859-1")
+        control = F.length(seen) - F.length(F.regexp_replace(seen, r"[\x00-\x08\x0E-\x1F]", ""))
+        mixed = mixed | (control * 100 >= F.greatest(F.length(seen), F.lit(1)))
+    kinds = F.when(F.startswith(hexed, F.lit("504B")), "zip").when(hexed == "25504446", "pdf")
+    for head in SOUND:
+        kinds = kinds.when(F.startswith(hexed, F.lit(head)), "audio")
+    return kinds.when((n > 0) & ~mixed, "text").otherwise("unknown")
 
 
 def title_identifier(title: Column, stem: Column) -> Column:
@@ -253,12 +247,40 @@ def title_identifier(title: Column, stem: Column) -> Column:
     return F.when(found != "", found).otherwise(stem)
 
 
-def query_seeds(seeds: list[str], phrasings: list[str], spark: SparkSession, least_words: int = 4) -> DataFrame:
-    """Seeds in every phrasing ("{}" is the seed), without short ones."""
-    s = spark.createDataFrame([(x,) for x in seeds], "seed string")
-    p = F.explode(F.array(*map(F.lit, phrasings)))
-    q = s.select("seed", p.alias("phrasing")).select("seed", F.replace("phrasing", F.lit("{}"), F.col("seed")).alias("query"))
-    return q.filter(F.size(F.split("query", " +")) >= least_words).dropDuplicates(["query"])
+# Fixed value: what questions begin with.
+PHRASINGS = (
+    "puedo", "me pueden", "que pasa si", "que hago si", "como hago para", "cuanto me", "cuando me", "tengo derecho a", "es legal que",
+    "donde puedo", "me toca", "estoy obligado a",
+)
+
+
+def harvested(
+    suggestions: DataFrame, seeds: DataFrame, phrasings: tuple[str, ...] = PHRASINGS, junk: str | None = None, requests: int = 900, deepen: int = 120, least_words: int = 4
+) -> DataFrame:
+    """(query, seed, level): the useful suggestions for seeds, and for what they brought.
+
+    suggestions: (asked, pos, suggestion), what an engine suggests for a text; seeds: (seed, pos), a list written by hand.
+    Each seed is asked for bare and behind each phrasing, in order, up to requests in all; then the first deepen queries that
+    were found, as long as requests are left. A suggestion counts once, where it is met first, lower-cased, if it has
+    least_words words and junk doesn't match it.
+    """
+    shapes = F.posexplode(F.array(F.lit("{}"), *(F.lit(f"{p} {{}}") for p in phrasings))).alias("k", "shape")
+    first = seeds.select("seed", F.col("pos").alias("at"), shapes).withColumn("asked", F.replace("shape", F.lit("{}"), F.col("seed")))
+    first = numbered(first.select("at", "k", "seed", "asked"), ["at", "k", "seed"], "request").filter(F.col("request") <= requests)
+    clean = F.lower(strip(F.col("suggestion")))
+    useful = F.size(F.filter(F.split(clean, r"(?U)\s+"), lambda w: w != "")) >= least_words
+    answers = suggestions.select("asked", "pos", clean.alias("query")).filter(useful if not junk else useful & ~clean.rlike(junk))
+
+    def met(asked: DataFrame, level: int) -> DataFrame:
+        found = small(asked.select("asked", "seed", "request")).join(answers, "asked")
+        return found.groupBy("query").agg(F.min(F.struct("request", "pos", "seed")).alias("m")).select("query", "m.seed", F.lit(level).alias("level"), "m.request", "m.pos")
+
+    zero = staged(met(first, 0), "harvest")
+    left = max(0, requests - first.count())
+    head = zero.orderBy("request", "pos", "query").limit(min(deepen, left))
+    more = numbered(head.select("request", "pos", "query", "seed").withColumnRenamed("request", "before"), ["before", "pos", "query"], "request")
+    one = met(more.withColumnRenamed("query", "asked"), 1).join(zero.select("query"), "query", "left_anti")
+    return zero.unionByName(one).select("query", "seed", "level")
 
 
 def imported_vectors(vectors: DataFrame, fragments: DataFrame, id_col: str) -> DataFrame:

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import hmac
+import io
 import json
 import math
+import random
+import zipfile
 
 from pyspark.sql import functions as F
 
-from corvina.operators import corpus, evaluate, usage
-from corvina.sources import connectors
+from corvina.functions import tables
+from corvina.operators import chunking, corpus, evaluate, pilot, usage
+from corvina.sources import binary, connectors
 from corvina.streaming import quota
 
 
@@ -89,9 +95,9 @@ def test_sources(spark, tmp_path):
     assert [tuple(e) for e in connectors.relation_edges(parsed).collect()] == [(1, "77", "Modificado por")]
     files = spark.createDataFrame([(bytearray(b"PK\x03\x04x"),), (bytearray(b"%PDF-1.4"),), (bytearray("texto áé".encode("latin-1")),), (bytearray(bytes(range(9)) * 50),)], "c binary")
     assert [r[0] for r in files.select(connectors.binary_kind(F.col("c"))).collect()] == ["zip", "pdf", "text", "unknown"]
-    assert files.select(connectors.binary_text(F.col("c"))).collect()[2][0] == "texto áé"
+    assert files.select(binary.file_text(F.col("c"))).collect()[2][0] == "texto áé"
     names = spark.createDataFrame([("x/a.pdf",), ("x/a.docx",), ("x/b.pdf",)], "p string")
-    assert connectors.one_per_stem(names, "p").count() == 2
+    assert sorted(r["p"] for r in binary.one_per_stem(names, "p").collect()) == ["x/a.docx", "x/b.pdf"]
 
 
 def test_append_is_idempotent(spark, tmp_path):
@@ -125,3 +131,55 @@ def test_entry_imports_without_the_subpackage():
 
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     subprocess.run([sys.executable, "-c", code], check=True, cwd=root)
+
+
+def word_file(body):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{binary.WORD[1:-1]}"><w:body>{body}</w:body></w:document>')
+    return out.getvalue()
+
+
+def test_texts_of_binary_files(spark, tmp_path):
+    run = "<w:r><w:t>{}</w:t></w:r>"
+    body = f"<w:p>{run.format('Uno')}<w:r><w:tab/><w:t> dos</w:t><w:br/></w:r></w:p><w:p/><w:p>{run.format('  ')}</w:p><w:tbl><w:p>{run.format('no')}</w:p></w:tbl><w:p><w:hyperlink>{run.format('tres &amp; más')}</w:hyperlink></w:p>"
+    assert binary.docx_text(word_file(body)) == "Uno\t dos\n\ntres & más"
+    assert binary.docx_text(b"PK\x03\x04 broken") is None and binary.docx_text(word_file("<w:p>")) is None
+    late = b"a" * 20000 + bytes(range(9)) * 400 + b"a" * 20000  # the middle alone gives it away
+    given = {
+        "a.docx": word_file(body), "a.pdf": b"%PDF-1.4 x", "a.txt": b"other", "b.txt": "ñandú".encode(), "c.txt": "ñandú".encode("latin-1"), "d.mp3": b"ID3 all text",
+        "e.bin": late, "f.txt": b"x" * 2_000_001, "g.wav": b"RIFF1234", "h": b"",
+    }
+    for name, content in given.items():
+        (tmp_path / name).write_bytes(content)
+    got = {r["path"].rsplit("/", 1)[1]: (r["kind"], r["texto"]) for r in binary.binary_documents(spark, str(tmp_path)).collect()}
+    assert got == {"a.docx": ("zip", "Uno\t dos\n\ntres & más"), "b.txt": ("text", "ñandú"), "c.txt": ("text", "ñandú")}
+
+
+def test_the_table_function_makes_the_same_fragments(spark):
+    rng = random.Random(6)
+    blocks = ["ARTÍCULO 1º. Objeto.", "Comuníquese y cúmplase.", "COMUNÍQUESE Y CÚMPLASE", "Dado en Bogotá, a los tres días", " ", "x" * 1600, "EL PRESIDENTE\nfirma", "Artículo 22 otra cosa"]
+    texts = ["\n".join(rng.choice([*blocks, "palabra " * rng.randint(1, 120), "\n\n"]) for _ in range(rng.randint(0, 14))) for _ in range(150)] + [None, "", " \n "]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    tables.register(spark)
+    for mode in ("paragraphs", "size"):
+        want = sorted(map(tuple, chunking.fragments(df, mode).select("document_id", "ord", "text").collect()))
+        got = spark.sql(f"SELECT d.id, f.ord, f.fragment FROM {{df}} d, LATERAL fragments(d.text, '{mode}') f", df=df)
+        assert sorted(map(tuple, got.collect())) == want and len(want) > 300
+
+
+def test_harvest_of_two_levels(spark):
+    s = [("a", 0, "A b c d"), ("a", 1, "too short"), ("puedo a", 0, "a b c d"), ("puedo a", 1, "basura e f g"), ("b", 0, "h i j k"), ("a b c d", 0, "l m n o"), ("a b c d", 1, "h i j k"), ("h i j k", 0, "p q r s")]
+    suggestions = spark.createDataFrame(s, "asked string, pos int, suggestion string")
+    seeds = spark.createDataFrame([("a", 0), ("b", 1)], "seed string, pos int")
+    run = lambda **k: sorted(map(tuple, connectors.harvested(suggestions, seeds, ("puedo",), "basura", **k).collect()))
+    assert run() == [("a b c d", "a", 0), ("h i j k", "b", 0), ("l m n o", "a", 1), ("p q r s", "b", 1)]
+    assert run(deepen=1) == [("a b c d", "a", 0), ("h i j k", "b", 0), ("l m n o", "a", 1)]
+    assert run(requests=2) == [("a b c d", "a", 0)]
+    assert run(requests=5) == [("a b c d", "a", 0), ("h i j k", "b", 0), ("l m n o", "a", 1)]
+
+
+def test_fingerprints_of_addresses(spark):
+    want = "ip:" + hmac.new(b"sal", "10.0.0.1".encode(), hashlib.sha256).hexdigest()[:32]
+    got = spark.createDataFrame([("10.0.0.1",), (None,)], "a string").select(pilot.address_print(F.col("a"), "sal")).collect()
+    assert [r[0] for r in got] == [want, None]
