@@ -139,3 +139,17 @@ def test_router(spark):
     assert got == {1: "abstenerse", 2: "abstenerse", 3: "condicional", 4: "local", 5: "externo", 6: "externo"}
     assert {r["motor"] for r in routing.decide(q, h).filter("query_id = 5").collect()} == {"local"}
     assert "1.234 fragmentos" in routing.abstention_message(1234)
+
+
+def test_notes_by_rows_are_the_notes_by_arrays(spark):
+    marks = [
+        "<Artículo derogado por el artículo 5 de la Ley 1 de 2000>", "<Ley derogada por la Ley 9 de 1999>", "NOTA DE VIGENCIA: Derogado por Ley 3 de 2001.\n", "<b>texto</b>",
+        "<Decreto declarado nulo por el Consejo de Estado>", "<Modificado por el Decreto 4 de 2010>", "sin marca", "<>", "< >",
+    ]
+    texts = [" ".join(marks[(i * k + k) % len(marks)] for k in range(i % 5)) for i in range(60)] + [None, ""]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "id long, t string, other string")
+    arrays = df.select("id", F.posexplode(validity.all_notes(F.col("t"))).alias("pos", "note")).filter("note.alcance is not null and note.texto <> ''")
+    rows = validity.read_notes(df, "t")
+    assert rows.columns == ["id", "other", "pos", "note"]
+    got = sorted(map(str, rows.select("id", "pos", "note").collect()))
+    assert got == sorted(map(str, arrays.select("id", "pos", "note").collect())) and len(got) > 40
