@@ -22,6 +22,7 @@ BLOCK = 128
 LISTED = 10_000
 #: Postings of a batch's terms from which on blocks are skipped by their bounds: below, looking costs more than it saves.
 PRUNE_FROM = 5_000_000
+BLOCK_COLUMNS = ("bucket", "term", "block", "n", "max_tf", "min_dl", "doc_ids", "dls", "tfs")
 TOTALS = "n long, tokens long, buckets int, segment long"
 
 
@@ -133,6 +134,12 @@ def _opened(blocks: DataFrame, keep: list[str]) -> DataFrame:
     return zipped.select("term", *keep, *more, F.col("x.doc_ids").alias("doc_id"), F.col("x.dls").alias("dl"), F.col("x.tfs").alias("tf"))
 
 
+def stored_postings(spark: SparkSession, path: str) -> DataFrame:
+    """(term, doc_id, keep, dl, tf): the postings of the index at path, one a row."""
+    blocks = spark.read.parquet(f"{path}/postings")
+    return _opened(blocks, [c for c in blocks.columns if c not in BLOCK_COLUMNS])
+
+
 def indexed_documents(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id) of the documents that the index at path has postings of."""
     return spark.read.parquet(f"{path}/postings").select(F.explode("doc_ids").alias("doc_id")).distinct()
@@ -141,7 +148,7 @@ def indexed_documents(spark: SparkSession, path: str) -> DataFrame:
 def optimize_index(spark: SparkSession, path: str, target: str) -> None:
     """The segments of path as one, under target: postings in new blocks, term and corpus totals summed."""
     blocks = spark.read.parquet(f"{path}/postings")
-    keep = [c for c in blocks.columns if c not in ("bucket", "term", "block", "n", "max_tf", "min_dl", "doc_ids", "dls", "tfs")]
+    keep = [c for c in blocks.columns if c not in BLOCK_COLUMNS]
     whole = _totals(spark, path)
     _write_blocks(_opened(blocks, keep), f"{target}/postings", keep, whole["buckets"], 0, "overwrite")
     terms = spark.read.parquet(f"{path}/terms").groupBy("term").agg(F.sum("df").alias("df"))

@@ -86,7 +86,7 @@ def test_bm25_by_hand(spark, docs):
 
 def test_index_is_the_postings(spark, docs, tmp_path):
     lexical.write_index(docs, str(tmp_path / "i"))
-    p = spark.read.parquet(str(tmp_path / "i/postings"))
+    p = lexical.stored_postings(spark, str(tmp_path / "i"))
     assert {(r["term"], r["doc_id"], r["tf"]) for r in p.collect()} >= {("perro", 1, 2), ("gato", 4, 3)}
 
 
