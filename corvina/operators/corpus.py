@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvina.functions.text import has_mojibake
-from corvina.shared import staged
+from corvina.shared import small, staged
 
 
 def audit_profile(docs: DataFrame, source_col: str = "source", text_col: str = "text", short: int = 100) -> DataFrame:
@@ -48,7 +48,7 @@ def source_catalogue(fragments: DataFrame, source: Column, catalogue: DataFrame
     """(source, n) by falling count, with the names of a catalogue (source, nombre) where it has them; empty sources don't show."""
     counts = fragments.groupBy(source.alias("source")).agg(F.count("*").alias("n"))
     if catalogue is not None:
-        counts = counts.join(F.broadcast(catalogue), "source")  # a fixed dimension of a dozen rows
+        counts = counts.join(small(catalogue), "source")
     return counts.orderBy(F.desc("n"), "source")
 
 

@@ -156,7 +156,7 @@ def literal_quotes(answer: Column, texts: Column) -> Column:
 
 def abstained(answer: Column) -> Column:
     out = F.lit(False)
-    for m in dict.fromkeys(ABSTAINED):
+    for m in ABSTAINED:
         out = out | F.contains(quoted(answer), quoted(F.lit(m)))
     return out
 

@@ -114,7 +114,7 @@ def mojibake_scan(spark, d):
     return table(spark, d, "pages").select("page_id", tx.has_mojibake(F.col("html")).alias("bad"))
 
 
-@query()
+@query("SELECT doc_id, true AS restored FROM documents")
 def mojibake_fix(spark, d):
     broken = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
     return docs(spark, d).select("doc_id", (tx.fix_mojibake(broken) == F.col("text")).alias("restored"))
@@ -772,7 +772,10 @@ def html_documents(spark, d):
     return out.select("id", "titulo", F.length("texto").alias("n_chars"), F.size("enlaces").alias("n_links"))
 
 
-@query()
+@query(
+    f"""WITH n AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id, {LOCAL_DAY} ORDER BY ts, event_id) AS rn FROM events)
+    SELECT event_id, user_id, least(rn, 3) AS used, rn <= 3 AS allowed, rn <= 3 AND rn > 2 AS suggest FROM n"""
+)
 def streaming_quota_equals_batch(spark, d):
     import uuid
 

@@ -594,7 +594,7 @@ def rerank_fallback(spark, d):
             raise RuntimeError("no model")
         return [float(len(t)) for t in ts]
 
-    ranked = lexical.bm25(docs(spark, d), bench_terms(spark, d), 12).join(docs(spark, d).select("doc_id", F.substring("text", 1, 100_000).alias("texto")), "doc_id")
+    ranked = lexical.bm25(docs(spark, d), bench_terms(spark, d), 12).join(docs(spark, d).select("doc_id", F.col("text").alias("texto")), "doc_id")
     parts = []
     for odd in (0, 1):
         asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.lit("fail" if odd else "go").alias("text"))

@@ -288,9 +288,10 @@ def imported_vectors(vectors: DataFrame, fragments: DataFrame, id_col: str) -> D
     return vectors.join(fragments, id_col)
 
 
-def write_collection(df: DataFrame, path: str, by: str = "fuente") -> None:
-    """The vector collection, partitioned by source, so that a source filter prunes files."""
-    df.repartition(by).write.mode("overwrite").partitionBy(by).parquet(path)
+def write_collection(df: DataFrame, path: str, by: str = "fuente", writers: int = 16) -> None:
+    """The vector collection, partitioned by source, so that a source filter prunes files; a source is written by up to writers tasks."""
+    salt = F.pmod(F.spark_partition_id(), F.lit(writers))
+    df.repartition(F.col(by), salt).write.mode("overwrite").partitionBy(by).parquet(path)
 
 
 def write_validity(table: DataFrame, path: str) -> DataFrame:
