@@ -39,6 +39,14 @@ def audit_profile(docs: DataFrame, source_col: str = "source", text_col: str = "
     return stats.join(spread.select("source", middle.cast("long").alias("median_len")), "source").join(different, "source")
 
 
+def missing_fields(docs: DataFrame, fields: list[str], source_col: str = "source") -> DataFrame:
+    """(source, field, n_missing): rows of each source whose field is null or blank; fields that none lacks have 0."""
+    counts = [F.count_if(F.trim(F.coalesce(F.col(f).cast("string"), F.lit(""))) == "").alias(f) for f in fields]
+    wide = docs.groupBy(F.col(source_col).alias("source")).agg(*counts)
+    pairs = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("n_missing")) for f in fields))
+    return wide.select("source", F.explode(pairs).alias("x")).select("source", "x.*")
+
+
 def repeated(docs: DataFrame, key: Column, id_col: str) -> DataFrame:
     """(key, n, first_id) of keys that more than one row has."""
     return docs.groupBy(key.alias("key")).agg(F.count("*").alias("n"), F.min(id_col).alias("first_id")).filter("n > 1")

@@ -153,6 +153,22 @@ def hard_negatives(gold: DataFrame, ranked: DataFrame, n: int) -> DataFrame:
     return found.withColumn("pick", F.row_number().over(order)).filter(F.col("pick") <= n).select("query_id", "doc_id", "pick")
 
 
+def training_pairs(questions: DataFrame, gold: DataFrame, ranked: DataFrame, fragments: DataFrame, n: int = 4, most_chars: int = 2000) -> DataFrame:
+    """(query_id, query, positive, negatives): questions (query_id, query) with the text of their gold fragment and of the first n
+    hard negatives, each up to most_chars; questions without a negative or whose gold fragment has no text go.
+
+    fragments: (doc_id, text). A text is fetched for the fragments that are named, and joined by their ids.
+    """
+    negatives = hard_negatives(gold, ranked, n)
+    wanted = negatives.select("query_id", "doc_id", "pick").unionByName(gold.select("query_id", F.col("gold_id").alias("doc_id"), F.lit(0).alias("pick")))
+    texts = fragments.select("doc_id", F.substring("text", 1, most_chars).alias("t")).join(wanted, "doc_id")
+    sets = texts.groupBy("query_id").agg(
+        F.max(F.when(F.col("pick") == 0, F.col("t"))).alias("positive"),
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("pick") > 0, F.struct("pick", F.coalesce("t", F.lit("")).alias("t"))))), lambda x: x["t"]).alias("negatives"),
+    )  # n + 1 texts a question
+    return questions.join(sets.filter((F.length("positive") > 0) & (F.size("negatives") > 0)), "query_id").select("query_id", "query", "positive", "negatives")
+
+
 def clean_negatives(triples: DataFrame, share: float = 0.95) -> DataFrame:
     """triples (query_id, positive_score, negatives: array<struct<id, score>>): negatives that score like the positive go."""
     bar = F.when(F.col("positive_score") > 0, F.col("positive_score") * share).otherwise(F.col("positive_score") / share)

@@ -173,3 +173,24 @@ def monthly_spend(events: DataFrame, usd_col: str, ts: str, budget: float = MONT
     month = period_id(F.col(ts), "mes")
     spent = events.groupBy(month.alias("month")).agg(F.round(F.sum(F.greatest(F.col(usd_col), F.lit(0.0))), 6).alias("usd"))
     return spent.withColumn("over", F.col("usd") >= budget)
+
+
+def answer_gate(
+    requests: DataFrame, key: str, ts: str, order: str, cost: str, own: str, free: int = FREE_ANSWERS, budget: float = MONTHLY_BUDGET
+) -> DataFrame:
+    """requests with gate: "own" (the asker pays: own is true), "free", "quota" (the day's free answers are used up) or "budget".
+
+    cost is in millionths of a dollar, 0 or more. A free answer needs one of the key's free answers of the local day, and a month
+    whose free answers before it cost less than the budget. Once that is spent no free answer follows in the month, so the sum
+    over the requests within their quota decides. Sums are taken by minute and added up, so a month isn't one task's.
+    """
+    rows = requests.withColumns({"_day": period_id(F.col(ts), "dia"), "_own": F.coalesce(F.col(own), F.lit(False))})
+    nth = F.row_number().over(Window.partitionBy(key, "_day", "_own").orderBy(ts, order))
+    rows = rows.withColumn("_in", ~F.col("_own") & (nth <= free))
+    rows = rows.withColumns({"_month": F.substring("_day", 1, 7), "_minute": F.date_trunc("minute", local_time(F.col(ts))), "_cost": F.when(F.col("_in"), F.col(cost)).otherwise(0)})
+    earlier = Window.partitionBy("_month").orderBy("_minute").rowsBetween(Window.unboundedPreceding, -1)
+    minutes = rows.groupBy("_month", "_minute").agg(F.sum("_cost").alias("s")).select("_month", "_minute", F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy("_month", "_minute").orderBy(ts, order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.join(minutes, ["_month", "_minute"]).withColumn("_spent", F.col("_base") + F.coalesce(F.sum("_cost").over(inside), F.lit(0)))
+    gate = F.when(F.col("_own"), "own").when(~F.col("_in"), "quota").when(F.col("_spent") < int(round(budget * 1_000_000)), "free").otherwise("budget")
+    return rows.withColumn("gate", gate).select(*requests.columns, "gate")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import math
 import random
 
@@ -133,3 +134,24 @@ def test_plug_ins(spark):
     got = {r["id"]: r["embedding"] for r in serving.encoded(rows, "text", lambda: lambda ts: [[len(t), 1] for t in ts]).collect()}
     assert got == {1: [2.0, 1.0], 2: [0.0, 1.0]}
     assert serving.prefixed(F.lit("x"), "intfloat/e5", "query") is not None
+
+
+def test_answers_end_with_the_quota_and_the_budget(spark):
+    rng = random.Random(2)
+    rows = [(k, rng.randrange(4), f"2026-0{rng.randint(1, 2)}-{rng.randint(1, 28):02d} {rng.randrange(24):02d}:{rng.randrange(60):02d}:{rng.randrange(60):02d}", rng.randrange(5), rng.random() < 0.2) for k in range(600)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, ts string, cost long, own boolean").withColumn("ts", F.col("ts").cast("timestamp"))
+    got = {r["event_id"]: r["gate"] for r in usage.answer_gate(df, "user_id", "ts", "event_id", "cost", "own", free=2, budget=0.0001).collect()}
+    want, used, spent = {}, {}, {}
+    for k, user, ts, cost, own in sorted(rows, key=lambda r: (r[2], r[0])):
+        local = datetime.datetime.fromisoformat(ts) - datetime.timedelta(hours=5)
+        day, month = (user, local.date()), (local.year, local.month)
+        if own:
+            want[k] = "own"
+        elif used.get(day, 0) >= 2:
+            want[k] = "quota"
+        elif spent.get(month, 0) >= 100:
+            used[day] = used.get(day, 0) + 1
+            want[k] = "budget"
+        else:
+            want[k], used[day], spent[month] = "free", used.get(day, 0) + 1, spent.get(month, 0) + cost
+    assert got == want and set(want.values()) == {"own", "quota", "budget", "free"}
