@@ -40,6 +40,20 @@ def unstaged(df: DataFrame) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: What operators of this process remember between tasks (a tokenizer and its words), by operator.
+_REMEMBERED: dict[str, dict] = {}
+
+
+def remembered(operator: str) -> dict:
+    return _REMEMBERED.setdefault(operator, {})
+
+
+def forget() -> None:
+    """Let go of what operators have remembered in this worker: stages follow one another, and a later one needs the memory."""
+    for held in _REMEMBERED.values():
+        held.clear()
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once a row, also where body names it inside lambdas."""
     return F.transform(F.array(value), body)[0]

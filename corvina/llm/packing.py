@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvina.llm.common import staged
+from corvina.llm.common import remembered, staged
 
 #: Words whose ids a worker remembers in each of two generations.
 CACHE = 400_000
@@ -95,7 +95,7 @@ class WordTokenizer:
         return (low,) if low != word else ()
 
 
-_TOKENIZERS: dict[str, WordTokenizer] = {}
+_TOKENIZERS: dict[str, WordTokenizer] = remembered("packing")
 
 
 def word_tokenizer(path: str) -> WordTokenizer:

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvina.llm.common import remembered
+
 #: Fixed values of the format: the mark that stands for a space, and what an unknown id decodes to.
 SPACE, UNKNOWN = "▁", " ⁇ "
 #: Units (and pairs of pieces) that a worker remembers, in each of two generations; longer units are coded anew each time.
@@ -172,7 +174,7 @@ class PieceCodec:
         return "".join([x.decode(errors="corvina-each") for x in parts])
 
 
-_CODECS: dict[str, PieceCodec] = {}
+_CODECS: dict[str, PieceCodec] = remembered("piece_codec")
 
 
 def codec(path: str) -> PieceCodec:
