@@ -1,4 +1,5 @@
-"""Near-duplicates by exact similarity: SimHash tries of many tables propose pairs, shared shingles decide."""
+"""Near-duplicates by exact similarity: SimHash tries of many tables propose pairs, shared shingles decide, and pairs that no
+table proposed are found by the prefixes of their sets."""
 
 from __future__ import annotations
 
@@ -24,6 +25,10 @@ POOL = 256
 MISSED = 0.04
 #: Rounds in which only the nearest proposal of each node, or component, is verified.
 ROUNDS = 1
+#: Texts, about, from which the order of shingles in prefixes is learned, and the frequent shingles it holds. Any order gives the same links.
+ORDER_TEXTS, ORDER_SHINGLES = 4000, 50_000
+#: Nodes of one shingle that meet as one unit; more are dealt into cells of so many.
+PREFIX_CELL = 2048
 #: Odd constants that make four 64-bit words out of one hash.
 MIXERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
@@ -73,7 +78,43 @@ def set_fingerprint(found: np.ndarray) -> bytes:
     return np.packbits(2 * votes > len(found)).tobytes()
 
 
-def _marked(df: DataFrame, id_col: str, text_col: str, shingle: int, carry: list[str]) -> DataFrame:
+def frequent_shingles(df: DataFrame, text_col: str, shingle: int) -> np.ndarray:
+    """Shingles of more than one text of a bounded sample (by hash), the rarest first: those that prefixes take last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            sets = [shingle_set(t.encode(), shingle) for t in x.column("text").to_pylist()]
+            if sets:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["h"])
+
+    every = max(1, df.count() // ORDER_TEXTS)
+    text = df.select(F.col(text_col).cast("string").alias("text")).filter("text is not null")
+    some = text.filter(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).distinct()
+    seen = some.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+    top = seen.orderBy(F.desc("n"), "h").limit(ORDER_SHINGLES).select("h").collect()
+    return np.array([r["h"] for r in reversed(top)], dtype=np.int64).view(np.uint64)
+
+
+def prefix(found: np.ndarray, similarity: float, late: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first members of a set in the order of all shingles: those that aren't in late by hash, then those of late by rank.
+
+    late: sorted hashes. Two sets of this similarity share a member of these, whatever the order is.
+    """
+    n = len(found) - math.ceil(similarity * len(found) - 1e-9) + 1
+    if not len(found):
+        return found
+    place = np.zeros(len(found), dtype=np.int64)
+    if len(late):
+        at = np.minimum(np.searchsorted(late, found), len(late) - 1)
+        place = np.where(late[at] == found, rank[at] + 1, 0)
+    return found[np.argsort(place, kind="stable")[:n]]
+
+
+def _marked(df: DataFrame, id_col: str, text_col: str, shingle: int, carry: list[str], similarity: float) -> DataFrame:
+    frequent = frequent_shingles(df, text_col, shingle)
+    rank = np.argsort(frequent)
+    late = frequent[rank]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         for x in batches:
@@ -81,11 +122,13 @@ def _marked(df: DataFrame, id_col: str, text_col: str, shingle: int, carry: list
             sets = [shingle_set((t or "").encode(), shingle) for t in texts]
             node = np.array([xxhash.xxh64_intdigest(s.tobytes(), 7) for s in sets], dtype=np.uint64).view(np.int64)
             fp = pa.array([set_fingerprint(s) for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([x.column("id"), pa.array(node), fp, x.column("row")], names=["id", "node", "fp", "row"])
+            size = pa.array([len(s) for s in sets], pa.int32())
+            first = pa.array([prefix(s, similarity, late, rank).view(np.int64) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([x.column("id"), pa.array(node), fp, size, first, x.column("row")], names=["id", "node", "fp", "size", "prefix", "row"])
 
     at = carry.index(text_col)
     src = df.select(F.col(id_col).cast("long").alias("id"), F.struct(*carry).alias("row"))
-    return src.mapInArrow(run, f"id long, node long, fp binary, row {src.schema['row'].dataType.simpleString()}")
+    return src.mapInArrow(run, f"id long, node long, fp binary, size int, prefix array<long>, row {src.schema['row'].dataType.simpleString()}")
 
 
 def proposals(nodes: DataFrame, similarity: float, task_rows: int = TASK_ROWS) -> DataFrame:
@@ -196,6 +239,28 @@ def linked(near: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return near.select("a", "b").limit(0) if out is None else out
 
 
+def rest(nodes: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b), a < b, of nodes (node, size, prefix) that the links leave in different components and that may have the
+    similarity: their prefixes share a shingle, and their sizes allow it. No pair that has it is left out.
+
+    Shingles all of whose nodes are in one component are dropped by an aggregate, so a group of near copies isn't paired;
+    of the others those with more than PREFIX_CELL nodes are dealt into cells, each pair of cells on its own.
+    """
+    roots = staged(components(links), "roots").withColumnRenamed("node", "reached")
+    of = nodes.select("node", "size", "prefix").join(small(roots), F.col("node") == F.col("reached"), "left")
+    each = of.select("node", "size", F.coalesce("root", "node").alias("c"), F.explode("prefix").alias("h"))
+    mixed = each.groupBy("h").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.count("*").alias("n")).filter("least <> most")
+    mixed = staged(mixed.select("h", F.ceil(F.col("n") / PREFIX_CELL).cast("int").alias("cells")), "mixed")
+    met = staged(each.join(small(mixed), "h"), "met").withColumn("own", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
+    a = met.select("h", F.col("own").alias("u"), other.alias("v"), F.col("node").alias("a"), F.col("size").alias("na"), F.col("c").alias("ca"))
+    b = met.select("h", other.alias("u"), F.col("own").alias("v"), F.col("node").alias("b"), F.col("size").alias("nb"), F.col("c").alias("cb"))
+    apart = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
+    fits = F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-6
+    pairs = a.join(b, ["h", "u", "v"]).filter(apart & fits)
+    return pairs.select("a", "b").distinct()
+
+
 def similar(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, carry: list[str] | None = None
 ) -> DataFrame:
@@ -203,8 +268,9 @@ def similar(
     (whether this is the row that stands for its component), and the columns of carry in a struct named row.
 
     Two texts link if the Jaccard similarity of their sets of shingles (lower-cased A-Z) is similarity or more; that is
-    computed exactly, so nothing is linked wrongly. Pairs are proposed by proposals() and verified by linked(). Texts with equal sets are one node throughout. Only the
-    sets of proposed nodes are built, once for each node.
+    computed exactly, so nothing is linked wrongly. Pairs are proposed by proposals() and verified by linked(); rest() gives
+    all pairs between the components so far that may still have the similarity, and they are verified too, so no link is
+    missing. Texts with equal sets are one node throughout. Whole sets are built for nodes of such pairs alone.
 
     Edge cases: null and blank texts have the empty set and are one group; a text shorter than a shingle is one shingle;
     repeated rows and ids share their component, of which one row is first; a null id is never the smallest and gets its
@@ -212,18 +278,24 @@ def similar(
     """
     carry = carry or []
     held = carry if text_col in carry else [*carry, text_col]
-    marked = staged(salted(_marked(df, id_col, text_col, shingle, held).withColumn("n", F.monotonically_increasing_id())), "sets")
-    nodes = staged(nodes_of(marked, "node", F.min("fp").alias("fp")), "nodes")
+    marked = staged(salted(_marked(df, id_col, text_col, shingle, held, similarity).withColumn("n", F.monotonically_increasing_id())), "sets")
+    nodes = staged(nodes_of(marked, "node", F.min("fp").alias("fp"), F.first("size").alias("size"), F.first("prefix").alias("prefix")), "nodes")
     near = staged(proposals(nodes, similarity), "near")
-    asked = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    asked = asked.join(nodes.select("node", F.col("least.n").alias("n")), "node")
 
     @F.pandas_udf("binary")
     def found(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: shingle_set((t or "").encode(), shingle).tobytes())
 
-    texts = marked.select("n", F.col(f"row.{text_col}").alias("text")).join(small(asked), "n")
-    sets = staged(texts.select("node", found("text").alias("found")), "found")
-    out = grouped(marked, nodes, staged(linked(near, sets, similarity), "links"), "node")
+    def sets(pairs: DataFrame) -> DataFrame:
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        asked = asked.join(nodes.select("node", F.col("least.n").alias("n")), "node")
+        texts = marked.select("n", F.col(f"row.{text_col}").alias("text")).join(small(asked), "n")
+        return staged(texts.select("node", found("text").alias("found")), "found")
+
+    links = staged(linked(near, sets(near), similarity), "links")
+    more = staged(rest(nodes, links, similarity), "rest")
+    if not more.isEmpty():
+        links = links.unionByName(staged(verified(more, sets(more), similarity), "links"))
+    out = grouped(marked.drop("size", "prefix"), nodes, links, "node")
     row = [F.struct(*(F.col(f"row.{c}").alias(c) for c in carry)).alias("row")] if carry else []
     return out.select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), "component_id", "first", *row)

@@ -806,6 +806,25 @@ def test_similar_texts_by_brute_force(spark, monkeypatch, task_rows):
     assert all(got[f]["first"] for f in set(found))
 
 
+@pytest.mark.parametrize("cell", [similar_texts.PREFIX_CELL, 3])
+def test_similar_texts_that_no_table_proposes(spark, monkeypatch, cell):
+    """With two tables most pairs are not proposed; every link of the similarity is found all the same."""
+    lead, _, budget = similar_texts.tables_for(300, 0.8)
+    monkeypatch.setattr(similar_texts, "tables_for", lambda n, similarity: (lead, 2, budget))
+    monkeypatch.setattr(similar_texts, "PREFIX_CELL", cell)
+    rng = random.Random(23)
+    prose = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+    shared = prose(60)  # a passage of many texts that are not similar
+    texts = [prose(rng.randint(60, 300)) + " " + shared for _ in range(60)]
+    texts += [edited(x, rng, max(1, round(len(x.split()) / 50))) for x in texts[:40]]  # similarities about 0.8
+    texts += ["a b c d e f g h i", "a b c d e f g h i j", None, "a b"]
+    roots, pairs = similar_groups(texts)
+    assert len(pairs) > 15
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in similar_texts.similar(df).collect()}
+    assert [got[i] for i in range(len(texts))] == roots
+
+
 def test_similar_texts_edges(spark):
     schema = "doc_id long, text string"
     assert similar_texts.similar(spark.createDataFrame([], schema)).count() == 0
