@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -33,6 +34,11 @@ class WordTokenizer:
 
     #: Fixed value: marks that a word may end with.
     MARKS = b".,;:!?|*$%&#"
+    #: Words that go to the tokenizer in one text.
+    TOGETHER = 1000
+    # The normalizers and the splitter for which _plain() holds.
+    NORMAL = [("NFC", None), ("Replace", {"Regex": "\\s+"}), ("Lowercase", None)]
+    SPLIT = {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}
 
     def __init__(self, path: str, fold: bool = True):
         self.fold = fold
@@ -40,6 +46,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.plain, self.closes = self._plain()
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -49,7 +56,7 @@ class WordTokenizer:
         for t in texts:
             group.append(t)
             size += len(t)
-            if size > 2_000_000:
+            if size > 4_000_000:
                 yield from self._few(group)
                 group, size = [], 0
         yield from self._few(group)
@@ -58,32 +65,76 @@ class WordTokenizer:
         split = [t.split() for t in texts]
         young, old = self.young, self.old
         unseen, parts = [], {}
-        for w in set().union(*split):
-            if w not in young:
-                if (v := old.get(w)) is not None:
-                    young[w] = v
-                elif cut := self._parts(w):
-                    parts[w] = cut
-                else:
-                    unseen.append(w)
+        for w in set().union(*split).difference(young):
+            if (v := old.get(w)) is not None:
+                young[w] = v
+            elif cut := self._parts(w):
+                parts[w] = cut
+            else:
+                unseen.append(w)
         for w in {x for cut in parts.values() for x in cut}.difference(unseen):
             if w not in young:
                 if (v := old.get(w)) is not None:
                     young[w] = v
                 else:
                     unseen.append(w)
+        if self.plain is not None:
+            unseen = self._coded_letters(unseen)
         for lo in range(0, len(unseen), 20_000):
-            part = unseen[lo : lo + 20_000]
-            coded = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            for w, e in zip(part, coded):
-                young[w] = np.array(e.ids, dtype="<u4").tobytes()
+            self._coded(unseen[lo : lo + 20_000])
         for w, cut in parts.items():
             young[w] = b"".join([young[x] for x in cut])
         for ws in split:
-            yield b"".join([young[w] for w in ws])
+            yield b"".join(map(young.__getitem__, ws))
         if len(young) > CACHE:
             self.old, self.young = young, {}
 
+    def _coded(self, words: list[bytes]) -> None:
+        coded = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        for w, e in zip(words, coded):
+            self.young[w] = np.array(e.ids, dtype="<u4").tobytes()
+
+    def _coded_letters(self, words: list[bytes]) -> list[bytes]:
+        """Codes the words of small Latin letters alone, many in one text, and returns the others."""
+        texts = [w.decode() for w in words]
+        plain = [t.isalpha() and t == t.lower() and max(t) < "\u0250" for t in texts]
+        own = [(w, t) for w, t, p in zip(words, texts, plain) if p]
+        for lo in range(0, len(own), self.TOGETHER):
+            part = own[lo : lo + self.TOGETHER]
+            (coded,) = self.plain.encode_batch_fast([" ".join([t for _, t in part])], add_special_tokens=False)
+            ids = np.array(coded.ids, dtype="<u4")
+            ends = (4 * (np.flatnonzero(self.closes[ids]) + 1)).tolist()
+            if len(ends) != len(part):
+                self._coded([w for w, _ in part])
+                continue
+            raw = ids.tobytes()
+            self.young.update(zip([w for w, _ in part], [raw[a:b] for a, b in zip([0, *ends], ends)]))
+        return [w for w, p in zip(words, plain) if not p]
+
+    def _plain(self):
+        """The tokenizer without the steps that change nothing in a word of small Latin letters (they are composed and one
+        piece to the splitter), and which ids end a word; (None, None) for a tokenizer of other steps."""
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        spec = json.loads(self.tokenizer.to_str())
+        normal, split, model = spec["normalizer"] or {}, spec["pre_tokenizer"] or {}, spec["model"]
+        kinds = [(n["type"], n.get("pattern")) for n in normal.get("normalizers", [])]
+        steps = split.get("pretokenizers", [])
+        known = kinds == self.NORMAL and [x["type"] for x in steps] == ["Split", "ByteLevel"] and model.get("end_of_word_suffix") == "</w>"
+        if not known or steps[0]["pattern"] != self.SPLIT or steps[0]["behavior"] != "Removed" or not steps[0]["invert"]:
+            return None, None
+        if steps[1]["use_regex"] or steps[1]["add_prefix_space"] or model.get("dropout") or spec["post_processor"]:
+            return None, None
+        plain = Tokenizer.from_str(json.dumps(spec | {"added_tokens": [], "normalizer": None, "post_processor": None}))
+        plain.normalizer = normalizers.Sequence([])
+        plain.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False),
+        ])
+        vocabulary = plain.get_vocab()
+        closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        closes[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
+        return plain, closes
+
     def _parts(self, word: bytes) -> tuple[bytes, ...]:
         """The lower-case parts of a word that are coded on their own; () if the word is to be coded as it is."""
         if not self.fold or b"<|" in word:  # that may be a special token

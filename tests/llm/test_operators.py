@@ -745,6 +745,27 @@ def test_near_duplicates(docs, rows, empty):
     assert all(r["row"]["text"] == next(x[1] for x in rows if x[0] == r["doc_id"]) for r in firsts)
 
 
+def test_words_of_letters_coded_together():
+    """Words of small letters take a tokenizer with fewer steps, many in one text; their ids are those of the whole tokenizer."""
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    coder, words = Tokenizer.from_file(path), packing.WordTokenizer(path)
+    assert words.plain is not None
+    rng = random.Random(29)
+    letters = "abcdefghijklmnopqrstuvwxyzàâäçèéêëïñóöøßœÿıŉǆªºµ"
+    made = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 14))) for _ in range(3000)]
+    odd = ["İx", "ǅ", "e\u0301a", "\u0301b", "don't", "x\u00a0y", "ab12", "日本", "ﬁn", "a|b", "<|endoftext|>", "Ünder.", "Ω", "ꭰ", "²"]
+    texts = [" ".join(rng.sample(made + odd, 200)) for _ in range(40)] + odd
+    got = [np.frombuffer(x, dtype="<u4").tolist() for x in words.batch([t.encode() for t in texts])]
+    assert got == [coder.encode(t, add_special_tokens=False).ids for t in texts]
+    calls = []
+    words = packing.WordTokenizer(path)
+    words._coded = calls.append
+    list(words.batch([" ".join(made).encode()]))
+    assert not [w for part in calls for w in part if w.decode().isalpha() and w.isascii() and w.islower()]
+
+
 def test_majority_matches_definition():
     hs = np.array([1, 3, 2**63], dtype=np.uint64)
     assert simhash.majority(hs) == 1
