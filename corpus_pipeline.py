@@ -32,8 +32,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates one row stays: that of the smallest doc_id, of several with it the first.
 
-    SimHash tries propose the pairs, and the exact similarity of their shingles decides, so a text without a near copy always
-    stays. Null and blank texts are one group (the empty set), so one of them stays; rows with a null doc_id stay only where no
+    SimHash tries propose the pairs, prefixes of the sets give those that they miss, and the exact similarity of their shingles
+    decides: no link is missing, and a text without a near copy always stays. Null and blank texts are one group (the empty set), so one of them stays; rows with a null doc_id stay only where no
     row of their group has one.
     """
     bounded_batches(spark)
