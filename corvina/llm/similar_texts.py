@@ -241,24 +241,28 @@ def linked(near: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 def rest(nodes: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b), a < b, of nodes (node, size, prefix) that the links leave in different components and that may have the
-    similarity: their prefixes share a shingle, and their sizes allow it. No pair that has it is left out.
+    similarity: their sizes allow it, and their prefixes share shingles enough. No pair that has it is left out.
 
     Shingles all of whose nodes are in one component are dropped by an aggregate, so a group of near copies isn't paired;
-    of the others those with more than PREFIX_CELL nodes are dealt into cells, each pair of cells on its own.
+    of the others those with more than PREFIX_CELL nodes are dealt into cells, each pair of cells on its own. A pair meets once
+    for each shingle that its prefixes share. What two sets share beyond that is behind the prefix that ends first in the order
+    of all shingles, so it is at most the larger of what their prefixes leave; pairs that can't share enough are left out
+    before their sets are built.
     """
     roots = staged(components(links), "roots").withColumnRenamed("node", "reached")
-    of = nodes.select("node", "size", "prefix").join(small(roots), F.col("node") == F.col("reached"), "left")
-    each = of.select("node", "size", F.coalesce("root", "node").alias("c"), F.explode("prefix").alias("h"))
+    of = nodes.select("node", "size", (F.col("size") - F.size("prefix")).alias("behind"), "prefix").join(small(roots), F.col("node") == F.col("reached"), "left")
+    each = of.select("node", "size", "behind", F.coalesce("root", "node").alias("c"), F.explode("prefix").alias("h"))
     mixed = each.groupBy("h").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.count("*").alias("n")).filter("least <> most")
     mixed = staged(mixed.select("h", F.ceil(F.col("n") / PREFIX_CELL).cast("int").alias("cells")), "mixed")
     met = staged(each.join(small(mixed), "h"), "met").withColumn("own", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
-    a = met.select("h", F.col("own").alias("u"), other.alias("v"), F.col("node").alias("a"), F.col("size").alias("na"), F.col("c").alias("ca"))
-    b = met.select("h", other.alias("u"), F.col("own").alias("v"), F.col("node").alias("b"), F.col("size").alias("nb"), F.col("c").alias("cb"))
+    a = met.select("h", F.col("own").alias("u"), other.alias("v"), F.col("node").alias("a"), F.col("size").alias("na"), F.col("behind").alias("ra"), F.col("c").alias("ca"))
+    b = met.select("h", other.alias("u"), F.col("own").alias("v"), F.col("node").alias("b"), F.col("size").alias("nb"), F.col("behind").alias("rb"), F.col("c").alias("cb"))
     apart = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
     fits = F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-6
-    pairs = a.join(b, ["h", "u", "v"]).filter(apart & fits)
-    return pairs.select("a", "b").distinct()
+    lacks = F.ceil(similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - 1e-6) - F.greatest("ra", "rb")
+    met_in = a.join(b, ["h", "u", "v"]).filter(apart & fits).groupBy("a", "b").agg(F.count("*").alias("shared"), F.first(lacks).alias("lacks"))
+    return met_in.filter("shared >= lacks").select("a", "b")
 
 
 def similar(
