@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvina.llm.common import staged
+from corvina.llm.common import staged, unstaged
 
 
 #: A node's smallest neighbour is looked up under so many salts, so that the edges of one node are dealt out.
@@ -30,16 +30,21 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter(F.col("a") != F.col("b")).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, files: int | None = None) -> DataFrame:
     """edges(a, b) -> (node, root): each node that has an edge, with the smallest node it reaches (root itself included).
 
+    files: into so many files, at most, a round's edges are written; without it into one for each partition.
+
     After every round the edges are written to the shared folder, which also cuts the lineage. Rounds go on until the
     edges stay the same: then every edge leads to its root. The rounds needed grow with the logarithm of the size.
     """
     now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
     mark = None
     while True:
-        now = staged(_star(_star(now, True), False), "edges")
+        step = _star(_star(now, True), False)
+        before, now = now, staged(step.coalesce(files) if files else step, "edges")
+        if mark:
+            unstaged(before)
         seen = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if seen == mark:
             break

@@ -242,7 +242,7 @@ def near_duplicates(
     source = fingerprints(df, id_col, text_col, shingle, carry).withColumn("n", F.monotonically_increasing_id())
     marked = staged(salted(source), "fingerprints")
     nodes = staged(nodes_of(marked, "fp"), "nodes")
-    found = grouped(marked, nodes, staged(links(nodes.select("fp"), budget), "links"), "fp")
+    found = grouped(marked, nodes, components(staged(links(nodes.select("fp"), budget), "links")), "fp")
     return found.select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "first", *(["row"] if carry else [])
     )
@@ -259,10 +259,13 @@ def nodes_of(marked: DataFrame, key: str, *more: Column) -> DataFrame:
     return marked.groupBy(key).agg(least.alias("least"), F.collect_set("salt").alias("salts"), *more)
 
 
-def grouped(marked: DataFrame, nodes: DataFrame, linked: DataFrame, key: str) -> DataFrame:
-    """marked with component_id (the smallest id that the links (a, b) between keys reach) and first (whether the row stands for all)."""
+def grouped(marked: DataFrame, nodes: DataFrame, roots: DataFrame, key: str) -> DataFrame:
+    """marked with component_id (the smallest id of those that have its key's root) and first (whether the row stands for all).
+
+    roots: (node, root) for keys with a link, as components() gives them; a key that isn't there is its own.
+    """
     mine = F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")
-    reached = components(linked).withColumnRenamed("node", "reached")
+    reached = roots.withColumnRenamed("node", "reached")
     labelled = nodes.join(reached, F.col(key) == F.col("reached"), "left").select(
         key, "salts", "least", F.coalesce("root", key).alias("root"), mine.alias("salt")
     )

@@ -1,5 +1,5 @@
 """Near-duplicates by exact similarity: SimHash tries of many tables propose pairs, shared shingles decide, and pairs that no
-table proposed are found by the prefixes of their sets."""
+table proposed are found by the prefixes of their sets, first roughly, then in the exact order of frequency."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvina.llm.common import forget, partitions, staged
+from corvina.llm.common import forget, partitions, staged, unstaged
 from corvina.llm.components import components
 from corvina.llm.simhash import hamming, shingle_hashes
 from corvina.llm.simhash_dedup import BITS, DEEP, TASK_ROWS, grouped, nodes_of, salted, split_leads, tries, trie_links
@@ -27,8 +27,12 @@ MISSED = 0.04
 ROUNDS = 1
 #: Texts, about, from which the order of shingles in prefixes is learned, and the frequent shingles it holds. Any order gives the same links.
 ORDER_TEXTS, ORDER_SHINGLES = 4000, 50_000
+#: Share of the least partner of a set by which its prefix is longer than the shortest that does; so many shingles more are shared there.
+BEYOND = 1 / 16
 #: Nodes of one shingle that meet as one unit; more are dealt into cells of so many.
 PREFIX_CELL = 2048
+#: Rows of a few numbers that are written into one file, about, where a table has at most as many as there are nodes.
+FILE_ROWS = 100_000
 #: Odd constants that make four 64-bit words out of one hash.
 MIXERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
@@ -95,12 +99,17 @@ def frequent_shingles(df: DataFrame, text_col: str, shingle: int) -> np.ndarray:
     return np.array([r["h"] for r in reversed(top)], dtype=np.int64).view(np.uint64)
 
 
+def least_shared(size: int, similarity: float) -> int:
+    """Shingles that a set of this size shares with each similar set of its size or more within their prefixes."""
+    return 1 + math.floor(BEYOND * similarity * size)
+
+
 def prefix(found: np.ndarray, similarity: float, late: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """The first members of a set in the order of all shingles: those that aren't in late by hash, then those of late by rank.
 
-    late: sorted hashes. Two sets of this similarity share a member of these, whatever the order is.
+    late: sorted hashes. Two sets of this similarity share least_shared() of the smaller one within these, whatever the order is.
     """
-    n = len(found) - math.ceil(similarity * len(found) - 1e-9) + 1
+    n = len(found) - math.ceil(similarity * len(found) - 1e-9) + least_shared(len(found), similarity)
     if not len(found):
         return found
     place = np.zeros(len(found), dtype=np.int64)
@@ -211,58 +220,98 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def linked(near: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) of the similarity that connect all proposed pairs near (a, b, d) that have it.
+def few(df: DataFrame, n: int) -> DataFrame:
+    """df, of about n short rows or fewer, in partitions of FILE_ROWS; its many small files would each cost a file system's call."""
+    return df.coalesce(files_for(df, n))
+
+
+def files_for(df: DataFrame, n: int) -> int:
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-n // FILE_ROWS))
+
+
+def joined(roots: DataFrame | None, links: DataFrame, n: int) -> DataFrame:
+    """(node, root) of the components that roots and further links (a, b) make together, among n nodes."""
+    if roots is not None:
+        links = roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links)
+    return staged(few(components(links, files_for(links, n)), n), "roots")
+
+
+def linked(near: DataFrame, sets: DataFrame, similarity: float, n: int) -> DataFrame:
+    """(node, root) of the components of all proposed pairs near (a, b, d) that have the similarity; nodes without a link have
+    none. n: the number of nodes.
 
     First each node's nearest proposal is verified (in further ROUNDS each component's); a proposal inside a component needs no
     look any more. What is left between components after that is verified whole, so nothing is left out.
     """
-    left = staged(near.select("a", "b", "d", F.col("a").alias("ca"), F.col("b").alias("cb")), "near")
-    out = None
+    left, roots = near.select("a", "b", "d", F.col("a").alias("ca"), F.col("b").alias("cb")), None
     for k in range(ROUNDS + 1):
-        if left.isEmpty():
+        if k and left.isEmpty():
             break
         some = left.select("a", "b")
         if k < ROUNDS:
             ends = left.select(F.explode(F.array("ca", "cb")).alias("c"), F.struct("d", "a", "b").alias("e"))
-            some = ends.groupBy("c").agg(F.min("e").alias("e")).select("e.a", "e.b").distinct()
-        some = staged(some, "chosen")
-        found = staged(verified(some, sets, similarity), "verified")
-        out = found if out is None else out.unionByName(found)
+            some = staged(few(ends.groupBy("c").agg(F.min("e").alias("e")).select("e.a", "e.b").distinct(), n), "chosen")
+        roots = joined(roots, staged(verified(some, sets, similarity), "verified"), n)
         if k < ROUNDS:
-            roots = staged(components(out), "roots")
             rest = left.select("a", "b", "d").join(some, ["a", "b"], "left_anti")
             for end in ("a", "b"):
                 of = roots.select(F.col("node").alias(end), F.col("root").alias("r"))
                 rest = rest.join(of, end, "left").withColumn(f"c{end}", F.coalesce("r", end)).drop("r")
             left = staged(rest.filter("ca <> cb"), "near")
-    return near.select("a", "b").limit(0) if out is None else out
+    return roots
 
 
-def rest(nodes: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b), a < b, of nodes (node, size, prefix) that the links leave in different components and that may have the
-    similarity: their sizes allow it, and their prefixes share shingles enough. No pair that has it is left out.
+def candidates(nodes: DataFrame, roots: DataFrame, similarity: float, n: int) -> DataFrame:
+    """Nodes (node, size, c) of the n nodes (node, size, prefix) that may be similar to one outside their component c.
 
-    Shingles all of whose nodes are in one component are dropped by an aggregate, so a group of near copies isn't paired;
-    of the others those with more than PREFIX_CELL nodes are dealt into cells, each pair of cells on its own. A pair meets once
-    for each shingle that its prefixes share. What two sets share beyond that is behind the prefix that ends first in the order
-    of all shingles, so it is at most the larger of what their prefixes leave; pairs that can't share enough are left out
-    before their sets are built.
+    A shingle counts if the prefixes of two components have it, which an aggregate tells; a node without least_shared() of
+    them (for its smallest partner) has no similar set out there. No pair is formed.
     """
-    roots = staged(components(links), "roots").withColumnRenamed("node", "reached")
-    of = nodes.select("node", "size", (F.col("size") - F.size("prefix")).alias("behind"), "prefix").join(small(roots), F.col("node") == F.col("reached"), "left")
-    each = of.select("node", "size", "behind", F.coalesce("root", "node").alias("c"), F.explode("prefix").alias("h"))
-    mixed = each.groupBy("h").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.count("*").alias("n")).filter("least <> most")
-    mixed = staged(mixed.select("h", F.ceil(F.col("n") / PREFIX_CELL).cast("int").alias("cells")), "mixed")
-    met = staged(each.join(small(mixed), "h"), "met").withColumn("own", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int"))
+    of = nodes.join(small(roots.withColumnRenamed("node", "reached")), F.col("node") == F.col("reached"), "left")
+    of = of.select("node", "size", F.coalesce("root", "node").alias("c"), "prefix")
+    mixed = of.select("c", F.explode("prefix").alias("h")).groupBy("h").agg(F.min("c").alias("least"), F.max("c").alias("most"))
+    mixed = staged(mixed.filter("least <> most").select("h"), "mixed")
+    shared = of.select("node", F.explode("prefix").alias("h")).join(small(mixed), "h").groupBy("node").agg(F.count("*").alias("shared"))
+    partner = F.ceil(similarity * F.col("size") - 1e-9)
+    enough = shared.join(of.drop("prefix"), "node").filter(F.col("shared") >= 1 + F.floor(BEYOND * similarity * partner - 1e-9))
+    out = staged(few(enough.select("node", "size", "c"), n), "candidates")
+    unstaged(mixed)
+    return out
+
+
+def rest(some: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b), a < b, of candidates (node, size, c) of different c that may have the similarity: their sizes allow it, and
+    so does the place of a shingle that they share. No pair that has it is left out. sets: (node, found: hashes as bytes).
+
+    Of the whole sets the shingles of one component alone are dropped by an aggregate; a node that keeps too few of them for
+    any partner goes. Each node's kept shingles are ordered by how many candidates have them, the rarest first, and a
+    similar pair shares one of the first. What it shares from its first common shingle on is at most what either has from
+    there on (left); a pair for which that is too little doesn't meet there, so sets that are half alike aren't paired for
+    each shingle that they share. Shingles with more than PREFIX_CELL nodes are dealt into cells, each pair of cells on its own.
+    """
+
+    @F.pandas_udf("array<long>")
+    def members(found: pd.Series) -> pd.Series:
+        return found.map(lambda x: np.frombuffer(x, dtype=np.int64))
+
+    full = sets.join(some.select("node", "c"), "node").select("node", "c", F.explode(members("found")).alias("h"))
+    mixed = full.groupBy("h").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.count("*").alias("n")).filter("least <> most")
+    mixed = staged(mixed.select("h", "n"), "mixed")
+    kept = full.select("node", "h").join(small(mixed), "h").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("kept"))
+    wanted = F.ceil(similarity * F.col("size") - 1e-9).cast("int")
+    kept = kept.join(some, "node").withColumn("over", F.size("kept") - wanted).filter("over >= 0")
+    each = kept.select("node", "size", "c", F.size("kept").alias("all"), F.posexplode(F.slice("kept", F.lit(1), F.col("over") + 1)).alias("place", "x"))
+    met = each.select("node", "size", "c", F.col("x.h").alias("h"), (F.col("all") - F.col("place")).alias("left"), F.ceil(F.col("x.n") / PREFIX_CELL).cast("int").alias("cells"))
+    met = staged(met, "met").withColumn("own", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
-    a = met.select("h", F.col("own").alias("u"), other.alias("v"), F.col("node").alias("a"), F.col("size").alias("na"), F.col("behind").alias("ra"), F.col("c").alias("ca"))
-    b = met.select("h", other.alias("u"), F.col("own").alias("v"), F.col("node").alias("b"), F.col("size").alias("nb"), F.col("behind").alias("rb"), F.col("c").alias("cb"))
+    a = met.select("h", F.col("own").alias("u"), other.alias("v"), F.col("node").alias("a"), F.col("size").alias("na"), F.col("left").alias("la"), F.col("c").alias("ca"))
+    b = met.select("h", other.alias("u"), F.col("own").alias("v"), F.col("node").alias("b"), F.col("size").alias("nb"), F.col("left").alias("lb"), F.col("c").alias("cb"))
     apart = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
     fits = F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-6
-    lacks = F.ceil(similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - 1e-6) - F.greatest("ra", "rb")
-    met_in = a.join(b, ["h", "u", "v"]).filter(apart & fits).groupBy("a", "b").agg(F.count("*").alias("shared"), F.first(lacks).alias("lacks"))
-    return met_in.filter("shared >= lacks").select("a", "b")
+    enough = F.least("la", "lb") >= similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - 1e-6
+    pairs = staged(a.join(b, ["h", "u", "v"]).filter(apart & fits & enough).select("a", "b").distinct(), "rest")
+    unstaged(mixed)
+    return pairs
 
 
 def similar(
@@ -274,7 +323,8 @@ def similar(
     Two texts link if the Jaccard similarity of their sets of shingles (lower-cased A-Z) is similarity or more; that is
     computed exactly, so nothing is linked wrongly. Pairs are proposed by proposals() and verified by linked(); rest() gives
     all pairs between the components so far that may still have the similarity, and they are verified too, so no link is
-    missing. Texts with equal sets are one node throughout. Whole sets are built for nodes of such pairs alone.
+    missing. Texts with equal sets are one node throughout. Whole sets are built for nodes of proposed pairs and for
+    candidates() alone.
 
     Edge cases: null and blank texts have the empty set and are one group; a text shorter than a shingle is one shingle;
     repeated rows and ids share their component, of which one row is first; a null id is never the smallest and gets its
@@ -284,22 +334,27 @@ def similar(
     held = carry if text_col in carry else [*carry, text_col]
     marked = staged(salted(_marked(df, id_col, text_col, shingle, held, similarity).withColumn("n", F.monotonically_increasing_id())), "sets")
     nodes = staged(nodes_of(marked, "node", F.min("fp").alias("fp"), F.first("size").alias("size"), F.first("prefix").alias("prefix")), "nodes")
-    near = staged(proposals(nodes, similarity), "near")
+    near, n = staged(proposals(nodes, similarity), "near"), nodes.count()
 
     @F.pandas_udf("binary")
     def found(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: shingle_set((t or "").encode(), shingle).tobytes())
 
-    def sets(pairs: DataFrame) -> DataFrame:
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        asked = asked.join(nodes.select("node", F.col("least.n").alias("n")), "node")
+    def sets(asked: DataFrame) -> DataFrame:
+        asked = asked.join(nodes.select("node", F.col("least.n").alias("n")), "node").select("node", "n")
         texts = marked.select("n", F.col(f"row.{text_col}").alias("text")).join(small(asked), "n")
         return staged(texts.select("node", found("text").alias("found")), "found")
 
-    links = staged(linked(near, sets(near), similarity), "links")
-    more = staged(rest(nodes, links, similarity), "rest")
-    if not more.isEmpty():
-        links = links.unionByName(staged(verified(more, sets(more), similarity), "links"))
-    out = grouped(marked.drop("size", "prefix"), nodes, links, "node")
+    of = sets(near.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    roots = linked(near, of, similarity, n)
+    unstaged(of)
+    some = candidates(nodes, roots, similarity, n)
+    if not some.isEmpty():
+        of = sets(some)
+        more = rest(some, of, similarity)
+        if not more.isEmpty():
+            roots = joined(roots, staged(verified(more, of, similarity), "links"), n)
+        unstaged(of)
+    out = grouped(marked.drop("size", "prefix"), nodes, roots, "node")
     row = [F.struct(*(F.col(f"row.{c}").alias(c) for c in carry)).alias("row")] if carry else []
     return out.select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), "component_id", "first", *row)

@@ -8,6 +8,7 @@ import itertools
 import math
 import os
 import random
+import re
 import zlib
 
 import numpy as np
@@ -846,6 +847,39 @@ def test_similar_texts_that_no_table_proposes(spark, monkeypatch, cell):
     assert [got[i] for i in range(len(texts))] == roots
 
 
+def joined_rows(spark, keys, since=0):
+    """(next execution, most rows that a join on these keys gave in an execution from since on), as Spark counted them."""
+    store, most = spark._jsparkSession.sharedState().statusStore(), 0
+    count = store.executionsCount()
+    for k in range(since, count):
+        run = store.executionsList(k, 1).head()
+        values, nodes = store.executionMetrics(run.executionId()), store.planGraph(run.executionId()).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            if "Join" in node.name() and re.search(keys, re.sub(r"#\d+L?", "", node.desc())):
+                metrics = node.metrics()
+                for m in (metrics.apply(i) for i in range(metrics.size())):
+                    if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                        most = max(most, int(values.apply(m.accumulatorId()).replace(",", "")))
+    return count, most
+
+
+def test_half_alike_texts_do_not_meet_for_each_shingle(spark):
+    """Texts of one family that are alike but not similar don't meet for each shingle that they share; the similar ones are linked."""
+    rng = random.Random(29)
+    prose = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+    base = prose(250)
+    texts = [edited(base, rng, 8) for _ in range(120)]  # of each other's shingles they have about six tenths
+    texts += [edited(x, rng, 1) for x in texts[:10]]
+    roots, pairs = similar_groups(texts)
+    assert len(pairs) >= 5
+    since, _ = joined_rows(spark, "none", 10**9)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in similar_texts.similar(df).collect()}
+    assert [got[i] for i in range(len(texts))] == roots
+    rows = joined_rows(spark, r"\[h, u, v\]", since)[1]
+    assert rows < 10 * len(texts), rows
+
+
 def test_similar_texts_edges(spark):
     schema = "doc_id long, text string"
     assert similar_texts.similar(spark.createDataFrame([], schema)).count() == 0
