@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from corvina.llm.common import remembered, staged
 
 #: Words whose ids a worker remembers in each of two generations.
-CACHE = 400_000
+CACHE = 60_000
 #: Pieces that one packer takes, on average, in every round.
 PACKER_ROWS = 20_000
 #: Sequences filled to less than this share are opened again while that saves sequences.
@@ -51,12 +51,12 @@ class WordTokenizer:
         self.old: dict[bytes, bytes] = {}
 
     def batch(self, texts: list[bytes]) -> Iterator[bytes]:
-        """The ids of each text; the tokenizer is called once for all unseen words of up to a few megabytes of texts."""
+        """The ids of each text; the tokenizer is called once for all unseen words of about a megabyte of texts."""
         group, size = [], 0
         for t in texts:
             group.append(t)
             size += len(t)
-            if size > 4_000_000:
+            if size > 1_000_000:
                 yield from self._few(group)
                 group, size = [], 0
         yield from self._few(group)
