@@ -2,43 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from corvina.operators.usage import HARD_LIMIT, SOFT_LIMIT, period_id
 
-OUT = "user_id long, period string, event_id long, used long, allowed boolean, suggest boolean"
+from corvina.operators.usage import HARD_LIMIT, SOFT_LIMIT
+from corvina.streaming import stateful
 
 
 def verdicts(requests: DataFrame, hard: int = HARD_LIMIT, soft: int = SOFT_LIMIT) -> DataFrame:
     """A stream of requests (user_id, ts, event_id) with the verdict of each; the count of a key and local day is its state.
 
-    Keys are (user, day), so a day's state ends by itself: it times out two days after the watermark.
+    It is stateful.counted() without plans, so its state must live in RocksDB, where run_once() puts it.
     """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        used = state.get[0] if state.exists else 0
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"], kind="stable")
-        out = []
-        for event in rows["event_id"].tolist():
-            allowed = used < hard
-            used += allowed
-            out.append((key[0], key[1], event, used, allowed, allowed and used > soft))
-        state.update((used,))
-        end = pd.Timestamp(key[1]) + pd.Timedelta(days=2)
-        state.setTimeoutTimestamp(max(int(end.timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["user_id", "period", "event_id", "used", "allowed", "suggest"])
-
-    stamped = requests.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 day")
-    keyed = stamped.withColumn("period", period_id(F.col("ts"), "dia"))
-    return keyed.groupBy("user_id", "period").applyInPandasWithState(step, OUT, "n long", "append", GroupStateTimeout.EventTimeTimeout)
+    out = stateful.counted(requests, hard=hard, soft=soft)
+    user = F.substring("who", 2, 20).cast("long").alias("user_id")
+    return out.select(user, "period", "event_id", "used", "allowed", "suggest")
 
 
 def tumbling_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -48,10 +26,10 @@ def tumbling_counts(events: DataFrame, width: str = "1 hour", late: str = "10 mi
 
 
 def run_once(stream: DataFrame, spark: SparkSession, path: str, checkpoint: str) -> DataFrame:
-    """Drain what is there into Parquet and give the result as a table."""
-    stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", path).trigger(
-        availableNow=True
-    ).outputMode("append").start().awaitTermination()
+    """Drain what is there into Parquet and give the result as a table; the state lives in RocksDB."""
+    out = stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", path)
+    with stateful.rocks(spark):
+        out.trigger(availableNow=True).outputMode("append").start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
 
 

@@ -350,3 +350,14 @@ def test_periods_of_a_slot_end(spark, tmp_path):
         stateful.drained(stateful.counted(spark.readStream.schema(rows.schema).parquet(path), hard=3, soft=2, slots=2), f"{tmp_path}/out{k}", str(tmp_path / "checkpoint"))
     left = {r["period"] for r in stateful.counts_in_state(spark, str(tmp_path / "checkpoint")).select("period").distinct().collect()}
     assert left == {f"2026-01-{d:02d}" for d in range(6, 10)}  # the watermark is a day behind January 9, 8:00; a period stays two days after its end
+
+
+def test_quota_stream_of_many_keys_in_a_folder(spark, tmp_path):
+    from corvina.plans import register
+
+    rows, _ = requests(spark, "", list(range(150)), 2)
+    rows.repartition(2).write.parquet(f"{tmp_path}/events.parquet")  # files of other names than the table's
+    got = register.QUERIES["streaming_quota_equals_batch"](spark, str(tmp_path))
+    of = ["event_id", "user_id", "used", "allowed", "suggest"]
+    key = lambda x: sorted(map(tuple, x.select(*of).collect()))
+    assert key(got) == key(usage.daily_verdicts(rows, hard=3, soft=2))
