@@ -133,3 +133,17 @@ def test_search_end_to_end(spark, docs):
     assert {r["source"] for r in only} == {"b"}
     again = search(docs, vec, q, k=2, scorer=lambda qs, ts: [float("gato" in t) for t in ts]).orderBy("new_rank").collect()
     assert "gato" in again[0]["texto"]
+
+
+@pytest.mark.parametrize("columns, block_bytes", [(128, 64 << 20), (2, 16_000)])
+def test_native_knn_takes_any_number_of_queries(spark, monkeypatch, columns, block_bytes):
+    monkeypatch.setattr(vector, "COLUMNS", columns)
+    part = lambda k: (F.col("id") * (7 + k) % (31 + k) / 8).cast("float")
+    v = spark.range(2100).select(F.col("id").alias("vec_id"), F.array(*(part(k) for k in range(4))).alias("embedding")).repartition(3)
+    q = v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
+    odd = spark.createDataFrame([(9000, [0.0]), (9001, None)], "vec_id long, embedding array<float>")  # another length; none
+    rows = lambda x: sorted(map(tuple, x.select("query_id", "vec_id", "distance", "rank").collect()))
+    got = rows(vector.knn_native(v.unionByName(odd), q, 3, block_bytes=block_bytes))
+    assert got == rows(vector.knn(v, q, 3)) and len(got) == 6300  # more than 2,048 queries were refused
+    empty = spark.createDataFrame([(9002, [0.0, None, 0.0, 0.0])], odd.schema)
+    assert vector.knn_native(empty, q, 3).count() == 0 and vector.knn_native(v, q.limit(0), 3).count() == 0
