@@ -277,9 +277,11 @@ def court_hits(spark, d):
     text = F.when(F.col("conv_id") % 3 == 0, " Sin información ").otherwise(F.col("text"))
     source = F.struct(F.concat(F.lit("C-"), F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string")).alias("prov_sentencia"), text.alias("prov_sintesis"), F.lit("2001-01-01").alias("prov_f_sentencia"), F.lit("t").alias("prov_tema"))
     hit = F.struct(F.col("conv_id").cast("string").alias("_id"), source.alias("_source"))
-    answer = F.struct(F.struct(F.struct(F.array(hit, hit).alias("hits")).alias("hits")).alias("data"))
+    answer = F.struct(F.struct(F.struct(F.flatten(F.collect_list(F.array("hit", "hit"))).alias("hits")).alias("hits")).alias("data"))
     path = shared_path(spark, "court")
-    c.select(F.to_json(answer).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    # an answer, and so a file, has the hits of up to 1,000 rows of a partition: the driver lists every file
+    hits = c.select(hit.alias("hit"), (F.monotonically_increasing_id() / 1000).cast("long").alias("page"))
+    hits.groupBy("page").agg(F.to_json(answer).alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(path)
     return connectors.court_hits(spark, path).select("id", "identificador", "texto")
 
 

@@ -183,3 +183,16 @@ def test_fingerprints_of_addresses(spark):
     want = "ip:" + hmac.new(b"sal", "10.0.0.1".encode(), hashlib.sha256).hexdigest()[:32]
     got = spark.createDataFrame([("10.0.0.1",), (None,)], "a string").select(pilot.address_print(F.col("a"), "sal")).collect()
     assert [r[0] for r in got] == [want, None]
+
+
+def test_court_hits_come_in_few_files(spark, tmp_path):
+    from corvina.plans import register, register_legal  # noqa: F401  (the second adds to the first)
+
+    texts = [" Texto de la sentencia ", "sin información", "", None, "otro"]
+    rows = [(k // 3, k % 3, "user", texts[k % 5]) for k in range(2500)]
+    c = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    c.coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    out = register.QUERIES["court_hits"](spark, str(tmp_path))
+    assert len(out.inputFiles()) <= 3  # a file for each row before
+    want = {f"C-{a}/{b}": t.strip() for a, b, _, t in rows if a % 3 and t and t.strip() not in ("", "sin información")}
+    assert {r["identificador"]: r["texto"] for r in out.collect()} == want and out.count() == len(want)
